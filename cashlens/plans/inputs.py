@@ -436,7 +436,7 @@ def actual_lines(w):
         F.inline(
             F.array(
                 F.struct(F.lit("Gross Invoiced Revenue").alias("line_item"), F.col("total_revenue_ttm").alias("actual_usd")),
-                F.struct(F.lit("COGS & Interchange Fees"), F.col("total_cogs")),
+                F.struct(F.lit("COGS & Interchange Fees").alias("line_item"), F.col("total_cogs").alias("actual_usd")),
             )
         )
     )

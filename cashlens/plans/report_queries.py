@@ -162,7 +162,7 @@ query(
     FROM (SELECT * FROM daily ORDER BY date DESC NULLS FIRST LIMIT 30)""",
 )(lambda w: cashflow.flow_last_n_days(daily(w)))
 _SINCE = "occurred_date >= (SELECT MAX(occurred_date) - 30 FROM ledger)"
-_INFLOW = f"""SELECT product, {title("product")} AS category, amount,
+_INFLOW = f"""SELECT product, {title("product", fv.PRODUCT_LINES)} AS category, amount,
       {pct("amount", "SUM(amount) OVER ()")} AS percentage
     FROM (SELECT COALESCE(product_line, 'Direct Payments') AS product, {rnd(usd("SUM(amount)"), 2)} AS amount
       FROM ledger WHERE {REV_OK} AND {_SINCE} GROUP BY 1)"""
@@ -280,10 +280,15 @@ _SERIES = f"""SELECT month, total, CASE WHEN before > 0 THEN {js("(total - befor
     FROM (SELECT month, total, LAG(total) OVER (ORDER BY month) AS before
       FROM (SELECT month, {rnd("SUM(revenue_usd)", 2)} AS total FROM {{source}} GROUP BY 1))"""
 query("mom_series", _SERIES.format(source="rev"))(lambda w: revenue.mom_series(product_revenue(w)))
-_TOTALS = f"""SELECT product_line, {title("product_line")} AS label, {js("SUM(COALESCE(revenue_usd, 0))", 2)} AS total
-    FROM rev {{where}} GROUP BY 1"""
-query("product_totals", _TOTALS.format(where=""))(lambda w: revenue.product_totals(product_revenue(w)))
-query("product_mix_of_month", _TOTALS.format(where="WHERE strftime(month, '%Y-%m') = '2001-03'"))(
+
+
+def _totals_sql(where=""):
+    return f"""SELECT product_line, {title("product_line", fv.PRODUCT_LINES)} AS label,
+      {js("SUM(COALESCE(revenue_usd, 0))", 2)} AS total FROM rev {where} GROUP BY 1"""
+
+
+query("product_totals", _totals_sql())(lambda w: revenue.product_totals(product_revenue(w)))
+query("product_mix_of_month", _totals_sql("WHERE strftime(month, '%Y-%m') = '2001-03'"))(
     lambda w: revenue.product_totals(product_revenue(w), "2001-03")
 )
 query(

@@ -33,11 +33,10 @@ def usd(cents):
     return f"(CAST({cents} AS DOUBLE) / 100.0)"
 
 
-def title(expr):
-    return (
-        f"array_to_string(list_transform(string_split(replace({expr}, '_', ' '), ' '), "
-        "w -> upper(w[1]) || lower(w[2:])), ' ')"
-    )
+def title(expr, values):
+    """Title Case of snake_case values, spelled out."""
+    words = {v: v.replace("_", " ").title() for v in values}
+    return f"element_at({_map(words)}, {expr})[1]"
 
 
 def labelled(table, expr, fallback):
