@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import count_when, ratio
 from ..schema import MODEL_REGISTRY
+from ..session import written
 from .features import (
     current_cash,
     feature_columns,
@@ -57,8 +58,8 @@ def fit_quantiles(frame, validation_rows=30, calibration=0.2, max_iter=30):
     the 10th and 90th percentile of its residuals on the last part of the training rows, which
     the fit does not see. The newest rows validate.
     """
-    columns = [c for c in feature_columns(frame)]
-    split = time_split(frame, "posted_date", last=validation_rows)
+    columns = feature_columns(frame)
+    split = written(time_split(frame, "posted_date", last=validation_rows), "forecast-training")
     train, held = split.filter(F.col("split") == "train").drop("split"), split.filter(F.col("split") == "validate")
     parts = time_split(train, "posted_date", frac=1.0 - calibration)
     stages = [
@@ -113,7 +114,7 @@ def retry_frame(ledger, as_of, days=180):
 
 def fit_retry(frame, max_iter=20):
     """Class-weighted boosted trees for success within seven days; the last fifth validates."""
-    split = time_split(frame, "occurred_at", "transaction_id", frac=0.8)
+    split = written(time_split(frame, "occurred_at", "transaction_id", frac=0.8), "retry-training")
     train = split.filter(F.col("split") == "train")
     counts = train.agg(count_when(F.col("target") == 0).alias("neg"), count_when(F.col("target") == 1).alias("pos")).first()
     weight = counts["neg"] / max(counts["pos"], 1)

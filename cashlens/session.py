@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,4 +43,11 @@ def shared_dir(spark):
     return root
 
 
+def written(df, name):
+    """The frame written to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/cashlens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _local_roots = {}

@@ -5,6 +5,7 @@ same rows.
 """
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -205,6 +206,10 @@ class Workspace:
     def merchants(self):
         return self.once("merchants", lambda: build_merchants(self.spark, self.sf_dir))
 
+    def scratch(self, name):
+        """A fresh shared path for one run's output."""
+        return f"{self.root}/{name}-{uuid.uuid4().hex}"
+
     def table(self, name):
         return read_table(self.spark, self.sf_dir, name)
 

@@ -53,21 +53,34 @@ def removed_ids_stream(webhooks):
     return webhooks.filter(F.array_size("transactions_removed") > 0)
 
 
+def _timed(rows, delay):
+    """Rows with a watermark; event time must be an instant, so the session time zone is UTC."""
+    return rows.withColumn("event_time", F.col("occurred_at").cast("timestamp")).withWatermark(
+        "event_time", delay
+    )
+
+
 def hourly_counts(rows, delay="7 days"):
     """Counts by source and status over sliding hours, moving five minutes at a time."""
     return (
-        rows.withWatermark("occurred_at", delay)
-        .groupBy(F.window("occurred_at", "1 hour", "5 minutes"), "source", "status")
+        _timed(rows, delay)
+        .groupBy(F.window("event_time", "1 hour", "5 minutes"), "source", "status")
         .agg(F.count(F.lit(1)).alias("transactions"))
-        .select("window.start", "window.end", "source", "status", "transactions")
+        .select(
+            F.col("window.start").cast("timestamp_ntz").alias("start"),
+            F.col("window.end").cast("timestamp_ntz").alias("end"),
+            "source",
+            "status",
+            "transactions",
+        )
     )
 
 
 def daily_stats(rows, delay="7 days"):
     """Count, volume and settled share per day; a late event within the delay revises its day."""
     return (
-        rows.withWatermark("occurred_at", delay)
-        .groupBy(F.window("occurred_at", "1 day"))
+        _timed(rows, delay)
+        .groupBy(F.window("event_time", "1 day"))
         .agg(
             F.count(F.lit(1)).alias("volume"),
             or_zero(usd_sum("amount")).alias("total_usd"),
@@ -89,21 +102,22 @@ def stream_ledger(spark, path):
 
 
 def stream_hourly_counts(rows, path, checkpoint, delay="7 days", trigger=None):
-    """Rolling hourly counts kept in a table, one partition per day."""
-    counts = hourly_counts(rows, delay).withColumn("day", F.to_date("start"))
+    """Rolling hourly counts kept in a table by month."""
+    counts = hourly_counts(rows, delay).withColumn("month", F.date_format("start", "yyyy-MM"))
     return _serve(counts, path, ["start", "source", "status"], checkpoint, trigger)
 
 
 def stream_daily_stats(rows, path, checkpoint, delay="7 days", trigger=None):
-    """Daily statistics kept in a table, one partition per day."""
-    return _serve(daily_stats(rows, delay), path, ["day"], checkpoint, trigger)
+    """Daily statistics kept in a table by month."""
+    stats = daily_stats(rows, delay).withColumn("month", F.date_format("day", "yyyy-MM"))
+    return _serve(stats, path, ["day"], checkpoint, trigger)
 
 
 def _serve(result, path, keys, checkpoint, trigger):
     """Changed result rows replace their old values in the served table."""
 
     def merge(batch, _batch_id):
-        upsert_table(batch.sparkSession, path, batch, keys, ["day"], order_by=())
+        upsert_table(batch.sparkSession, path, batch, keys, ["month"], order_by=())
 
     writer = result.writeStream.outputMode("update").foreachBatch(merge)
     return _run(writer.option("checkpointLocation", checkpoint), trigger)
