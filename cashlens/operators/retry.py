@@ -37,7 +37,7 @@ def retry_outcomes(declined, ledger):
     The span (t, t + 7 d] is cut at day borders: the rest of the first day, six whole days, and
     the start of the eighth. Payments are first counted per customer and instant, then placed
     in the days that need them, so that a window holds one customer's two days of instants and
-    six day totals, not the customer's whole history.
+    six day totals, not the customer's whole history. Days without a decline are left out early.
     """
     attempts = (
         ledger.filter(revenue_type() & F.col("customer_id").isNotNull())
@@ -70,9 +70,11 @@ def retry_outcomes(declined, ledger):
     asked = declined.filter(F.col("customer_id").isNotNull()).select(
         "transaction_id", "customer_id", day.alias("day"), offset.alias("offset")
     )
-    rows = asked
-    for part in (same_day, last_day, whole_days):
-        rows = rows.unionByName(part, allowMissingColumns=True)
+    seen = same_day.unionByName(last_day, allowMissingColumns=True).unionByName(
+        whole_days, allowMissingColumns=True
+    )
+    cells = asked.select("customer_id", "day").distinct()
+    rows = asked.unionByName(seen.join(cells, ["customer_id", "day"], "left_semi"), allowMissingColumns=True)
 
     cell = Window.partitionBy("customer_id", "day")
     after = cell.orderBy("offset").rangeBetween(1, Window.unboundedFollowing)

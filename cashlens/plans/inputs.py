@@ -126,8 +126,8 @@ EVENT_STATES = ["succeeded", "failed", "pending", "canceled", "unknown"]
 
 def processor_events(w):
     """Processor events from the event table: some unsupported, some without an id, ids repeat."""
-    e = w.table("events")
-    k = F.get_json_object("props", "$.k").cast("int")
+    e = w.table("events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("k")
     pick = lambda values, index: F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
     created = F.timestamp_diff(
         "SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")

@@ -14,6 +14,8 @@ def local_session(name="cashlens", cores="*", **conf):
         .appName(name)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # above this size the JVM interprets a generated method instead of compiling it
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")

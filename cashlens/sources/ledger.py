@@ -40,15 +40,23 @@ def conform_to_schema(df):
     return df.select(stored_columns(df))
 
 
-def write_ledger(df, path, mode="overwrite"):
-    """Partitioned zstd Parquet by year and month, with the generated columns stored.
+def by_month(df):
+    """Rows brought together by month.
 
     The rebalance hint lets adaptive execution merge thin months and split a hot one, so file
     sizes follow the advisory size whatever the spread of rows over months.
     """
+    return df.hint("rebalance", *LEDGER_PARTITIONS)
+
+
+def write_ledger(df, path, mode="overwrite", arranged=False):
+    """Partitioned zstd Parquet by year and month, with the generated columns stored.
+
+    ``arranged`` rows come from ``by_month`` already and are not shuffled again.
+    """
+    rows = with_usd(conform_to_schema(df))
     (
-        with_usd(conform_to_schema(df))
-        .hint("rebalance", *LEDGER_PARTITIONS)
+        (rows if arranged else by_month(rows))
         .sortWithinPartitions(*LEDGER_PARTITIONS, "occurred_date")
         .write.partitionBy(*LEDGER_PARTITIONS)
         .option("compression", "zstd")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.rules import tag_recurring, with_date_parts, with_usd
 from ..session import shared_dir
-from .ledger import conform_to_schema, read_ledger, write_ledger
+from .ledger import by_month, conform_to_schema, read_ledger, write_ledger
 
 AS_OF = "2001-08-01"
 FX_RATES = [1.0, 0.92, 0.79, 0.73, 0.65, 0.0067]
@@ -28,15 +28,23 @@ def _pick(values, index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
 
 
-def build_ledger(spark, sf_dir, multi_currency=False):
-    """One ledger row per sales line, joined to its order for customer and product."""
+def build_ledger(spark, sf_dir, multi_currency=False, arranged=False):
+    """One ledger row per sales line, joined to its order for customer and product.
+
+    ``arranged`` groups the narrow source rows by month before the wide columns are derived, so
+    that a partitioned write does not shuffle the wide ones.
+    """
     lines = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority"
     )
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if arranged:
+        joined = by_month(
+            joined.withColumns({"occurred_year": F.year("l_shipdate"), "occurred_month": F.month("l_shipdate")})
+        ).drop("occurred_year", "occurred_month")
     keyed = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("h", F.expr("l_orderkey*31 + l_linenumber*17 + l_partkey*7 + l_suppkey*3"))
+        joined.withColumn("h", F.expr("l_orderkey*31 + l_linenumber*17 + l_partkey*7 + l_suppkey*3"))
         .withColumns({"ht": F.expr("h % 100"), "hs": F.expr("(h div 100) % 100")})
         .withColumn(
             "type",
@@ -220,7 +228,11 @@ class Workspace:
 
     def _write_ledger(self):
         path = f"{self.root}/ledger"
-        write_ledger(build_ledger(self.spark, self.sf_dir), path)
+        # wide projections outgrow what the JVM compiles as one method; a session of its own lets
+        # this job split them without touching the caller's settings
+        builder = self.spark.newSession()
+        builder.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+        write_ledger(build_ledger(builder, self.sf_dir, arranged=True), path, arranged=True)
         return read_ledger(self.spark, path)
 
 
