@@ -144,34 +144,44 @@ def feature_columns(df):
     return [c for c in df.columns if c not in IDENTITY_COLUMNS]
 
 
-def row_positions(df, order, tie, out="position"):
-    """1-based position of each row in time order, without one task sorting everything.
+def cutoff(df, levels, rank):
+    """Values of the level columns, coarse to fine, at the row of a given rank.
 
-    Rows are numbered within their day; the rows of earlier days come from a per-day count, whose
-    size the calendar bounds.
+    Each level counts rows per value inside the value the level before settled on, so a driver
+    sees one row per level and no task orders more than one level's values.
     """
-    day = F.to_date(order)
-    counts = df.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_day").orderBy(order, tie))
-    return (
-        df.withColumn("_day", day)
-        .join(F.broadcast(offsets), "_day")
-        .withColumn(out, F.col("_before") + within)
-        .drop("_day", "_before")
-    )
+    found = []
+    for level in levels:
+        counts = df.groupBy(level.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        running = counts.select("value", "n", F.sum("n").over(upto).alias("upto"))
+        hit = running.filter(F.col("upto") >= rank).orderBy("value").limit(1).first()
+        found.append(hit["value"])
+        rank -= hit["upto"] - hit["n"]
+        df = df.filter(level == F.lit(hit["value"]))
+    return found
 
 
 def time_split(df, order, tie=None, last=None, frac=None):
-    """Chronological split: the last rows, or those past a fraction, validate."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    train = total - last if last is not None else F.floor(total * F.lit(frac))
-    return (
-        row_positions(df, order, tie or order)
-        .withColumn("split", F.when(F.col("position") <= train, "train").otherwise("validate"))
-        .drop("position")
-    )
+    """Chronological split: the last rows, or those past a fraction, validate.
+
+    Rows of one instant are told apart by the hash of ``tie``. Only the boundary is looked up, by
+    narrowing it from days down; rows are neither sorted nor numbered.
+    """
+    total = df.count()
+    train = max(total - last, 0) if last is not None else int(total * frac)
+    at = F.col(order)
+    if train == 0:
+        return df.withColumn("split", F.lit("validate"))
+    if tie is None:
+        edge = cutoff(df, [at], train)[0]
+        inside = at <= F.lit(edge)
+    else:
+        code = F.md5(tie)
+        levels = [F.to_date(at), F.date_trunc("second", at), at, F.left(code, F.lit(2)), F.left(code, F.lit(4)), code]
+        edge = cutoff(df, levels, train)
+        inside = (at < F.lit(edge[2])) | ((at == F.lit(edge[2])) & (code <= F.lit(edge[-1])))
+    return df.withColumn("split", F.when(inside, "train").otherwise("validate"))
 
 
 def quantile_metrics(predictions, alpha, label="target_net_flow_1d", prediction="prediction"):

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.money import count_when, or_zero, percent, ratio, round_half_up, usd_sum
-from .marts import as_timestamp, newest_first, occurred_since, settled
+from .marts import as_timestamp, latest, newest_first, newest_month, occurred_since, settled
 
 FEED_COLUMNS = [
     "transaction_id",
@@ -39,22 +39,13 @@ def ledger_totals(ledger):
 
 def latest_day_stats(ledger):
     """Count, volume and settled share of the newest event date; one row, zeros when empty."""
-    days = (
-        ledger.filter(F.col("occurred_date").isNotNull())
-        .groupBy("occurred_date")
-        .agg(
-            F.count(F.lit(1)).alias("volume"),
-            usd_sum("amount").alias("total_usd"),
-            count_when(settled()).alias("succeeded"),
-        )
-    )
-    day = days.agg(
-        F.max_by(F.struct("volume", "total_usd", "succeeded"), "occurred_date").alias("day")
-    )
-    return day.select(
-        F.coalesce(F.col("day.volume"), F.lit(0)).alias("volume"),
-        or_zero("day.total_usd").alias("total_usd"),
-        or_zero(ratio("day.succeeded", "day.volume")).alias("success_rate"),
+    rows = newest_month(ledger)
+    day = rows.filter(F.col("occurred_date") == latest(ledger, "occurred_date"))
+    total = F.count(F.lit(1))
+    return day.agg(
+        total.alias("volume"),
+        or_zero(usd_sum("amount")).alias("total_usd"),
+        or_zero(ratio(count_when(settled()), total)).alias("success_rate"),
     )
 
 

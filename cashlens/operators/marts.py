@@ -28,30 +28,41 @@ def days_before(as_of, days):
     return as_timestamp(as_of) - F.make_dt_interval(days=F.lit(days))
 
 
+def month_number():
+    """Months since year 0 from the partition columns; NULL where those are missing."""
+    return F.col("occurred_year").cast("int") * 12 + F.col("occurred_month").cast("int")
+
+
+def _month_from(first):
+    return month_number().isNull() | (month_number() >= first)
+
+
 def occurred_since(cutoff):
     """Event time at or after a cutoff, with the year/month bound that prunes partitions."""
-    month = F.col("occurred_year").cast("int") * 12 + F.col("occurred_month").cast("int")
-    first = F.year(cutoff) * 12 + F.month(cutoff)
-    return (F.col("occurred_at") >= cutoff) & (month.isNull() | (month >= first))
+    return (F.col("occurred_at") >= cutoff) & _month_from(F.year(cutoff) * 12 + F.month(cutoff))
 
 
 def occurred_on_or_after(day):
     """Event date at or after a day, with the partition bound."""
-    month = F.col("occurred_year").cast("int") * 12 + F.col("occurred_month").cast("int")
-    first = F.year(day) * 12 + F.month(day)
-    return (F.col("occurred_date") >= day) & (month.isNull() | (month >= first))
+    return (F.col("occurred_date") >= day) & _month_from(F.year(day) * 12 + F.month(day))
 
 
 def occurred_between(lo, hi):
     """Event date within two days (inclusive), with the partition bounds."""
-    month = F.col("occurred_year").cast("int") * 12 + F.col("occurred_month").cast("int")
     number = lambda day: F.year(as_date(day)) * 12 + F.month(as_date(day))
-    inside = (month >= number(lo)) & (month <= number(hi))
-    return F.col("occurred_date").between(as_date(lo), as_date(hi)) & (month.isNull() | inside)
+    until = month_number().isNull() | (month_number() <= number(hi))
+    return F.col("occurred_date").between(as_date(lo), as_date(hi)) & _month_from(number(lo)) & until
+
+
+def newest_month(ledger):
+    """Rows of the newest partition, found from the partition columns alone."""
+    return ledger.filter(_month_from(ledger.agg(F.max(month_number())).scalar()))
 
 
 def latest(ledger, column):
-    """Greatest value of a column as a scalar subquery."""
+    """Greatest value of a column as a scalar subquery; event times look at the newest month only."""
+    if column in ("occurred_at", "occurred_date"):
+        ledger = newest_month(ledger)
     return ledger.agg(F.max(column)).scalar()
 
 
@@ -173,8 +184,7 @@ def disputes(ledger):
 
 def latest_forecast(forecast):
     """Rows of the newest forecast snapshot."""
-    newest = forecast.agg(F.max("forecast_date").alias("forecast_date"))
-    return forecast.join(newest, "forecast_date", "left_semi")
+    return forecast.filter(F.col("forecast_date") == latest(forecast, "forecast_date"))
 
 
 def ar_aging(ledger, customers, as_of, open_statuses=("pending", "succeeded"), with_oldest=False):

@@ -59,7 +59,7 @@ def fit_quantiles(frame, validation_rows=30, calibration=0.2, max_iter=30):
     the fit does not see. The newest rows validate.
     """
     columns = feature_columns(frame)
-    split = written(time_split(frame, "posted_date", last=validation_rows), "forecast-training")
+    split = time_split(written(frame, "forecast-training"), "posted_date", last=validation_rows)
     train, held = split.filter(F.col("split") == "train").drop("split"), split.filter(F.col("split") == "validate")
     parts = time_split(train, "posted_date", frac=1.0 - calibration)
     stages = [
@@ -114,7 +114,7 @@ def retry_frame(ledger, as_of, days=180):
 
 def fit_retry(frame, max_iter=20):
     """Class-weighted boosted trees for success within seven days; the last fifth validates."""
-    split = written(time_split(frame, "occurred_at", "transaction_id", frac=0.8), "retry-training")
+    split = time_split(written(frame, "retry-training"), "occurred_at", "transaction_id", frac=0.8)
     train = split.filter(F.col("split") == "train")
     counts = train.agg(count_when(F.col("target") == 0).alias("neg"), count_when(F.col("target") == 1).alias("pos")).first()
     weight = counts["neg"] / max(counts["pos"], 1)

@@ -151,7 +151,8 @@ def _with_history(declined, history):
 def retry_dataset(ledger, as_of, days=180):
     """Declines with their seven-day outcome and the customer's recent history."""
     declined = declined_events(ledger, as_of, days)
-    outcomes = retry_outcomes(declined, ledger)
+    since = occurred_on_or_after(F.date_sub(as_date(as_of), days))
+    outcomes = retry_outcomes(declined, ledger.filter(since))
     rows = _with_history(declined, history_before(ledger, as_of)).join(outcomes, "transaction_id", "left")
     return rows.withColumn("target", F.coalesce("succeeded_on_retry", F.lit(0))).drop("succeeded_on_retry")
 

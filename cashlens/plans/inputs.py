@@ -15,15 +15,15 @@ EARLIER = "2001-07-25"
 
 
 def daily(w):
-    return marts.daily_cash_position(w.ledger)
+    return w.stored("daily", lambda: marts.daily_cash_position(w.ledger))
 
 
 def revenue(w):
-    return marts.revenue_by_product(w.ledger)
+    return w.stored("revenue", lambda: marts.revenue_by_product(w.ledger))
 
 
 def rates(w):
-    return marts.success_rate_daily(w.ledger)
+    return w.stored("rates", lambda: marts.success_rate_daily(w.ledger))
 
 
 def disputes(w):
@@ -31,7 +31,8 @@ def disputes(w):
 
 
 def aging(w, with_oldest=False):
-    return marts.ar_aging(w.ledger, w.customers, w.as_of, with_oldest=with_oldest)
+    rows = w.stored("aging", lambda: marts.ar_aging(w.ledger, w.customers, w.as_of, with_oldest=True))
+    return rows if with_oldest else rows.drop("oldest_invoice_date")
 
 
 def _flow_quantiles(w, last=None):
@@ -47,15 +48,15 @@ def _flow_quantiles(w, last=None):
     ).withColumn("current_cash_usd", cash)
 
 
-def forecast(w):
+def build_forecast(w):
     """Two snapshots from plain flow quantiles: the newest from 90 days, an earlier from all."""
+    newest = features.forecast_path(_flow_quantiles(w, 90), forecast_date=AS_OF)
+    earlier = features.forecast_path(_flow_quantiles(w), forecast_date=EARLIER, version="v0")
+    return newest.unionByName(earlier)
 
-    def build():
-        newest = features.forecast_path(_flow_quantiles(w, 90), forecast_date=AS_OF)
-        earlier = features.forecast_path(_flow_quantiles(w), forecast_date=EARLIER, version="v0")
-        return newest.unionByName(earlier)
 
-    return w.once("forecast", build)
+def forecast(w):
+    return w.stored("forecast", lambda: build_forecast(w))
 
 
 def _forecast_sql(date, version, source):
@@ -86,16 +87,16 @@ VIEWS["forecast"] = (
 VIEWS["snapshot"] = "SELECT * FROM forecast WHERE forecast_date = (SELECT MAX(forecast_date) FROM forecast)"
 
 
-def predictions(w):
+def build_predictions(w):
     """Every decline with a score spread over 0..1 by its amount, so all policies occur."""
+    declined = retry.declined_events(w.ledger)
+    cents = F.round(F.col("amount_usd") * 100).cast("long")
+    scored = declined.withColumn("probability", (cents % 997).cast("double") / 997.0)
+    return retry.recommend(scored, AS_OF)
 
-    def build():
-        declined = retry.declined_events(w.ledger)
-        cents = F.round(F.col("amount_usd") * 100).cast("long")
-        scored = declined.withColumn("probability", (cents % 997).cast("double") / 997.0)
-        return retry.recommend(scored, AS_OF)
 
-    return w.once("predictions", build)
+def predictions(w):
+    return w.stored("predictions", lambda: build_predictions(w))
 
 
 VIEWS["declined"] = """

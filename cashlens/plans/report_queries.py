@@ -12,14 +12,14 @@ from .registry import query
 from .views import REV_OK, js, labelled, pct, rnd, title, usd
 
 # --- marts ---------------------------------------------------------------------------------
-query("daily_cash_position", "SELECT * FROM daily")(daily)
+query("daily_cash_position", "SELECT * FROM daily")(lambda w: marts.daily_cash_position(w.ledger))
 query("monthly_pl", "SELECT * FROM pl")(lambda w: marts.monthly_pl(w.ledger))
-query("revenue_by_product", "SELECT * FROM rev")(product_revenue)
-query("success_rate_daily", "SELECT * FROM rates")(rates)
+query("revenue_by_product", "SELECT * FROM rev")(lambda w: marts.revenue_by_product(w.ledger))
+query("success_rate_daily", "SELECT * FROM rates")(lambda w: marts.success_rate_daily(w.ledger))
 query("decline_analysis", "SELECT * FROM declines")(lambda w: marts.decline_analysis(w.ledger))
 query("disputes", "SELECT * FROM open_disputes")(disputes)
 query("latest_forecast", "SELECT * FROM snapshot")(lambda w: marts.latest_forecast(forecast(w)))
-query("ar_aging", "SELECT * FROM aging")(aging)
+query("ar_aging", "SELECT * FROM aging")(lambda w: marts.ar_aging(w.ledger, w.customers, w.as_of))
 
 # --- live ----------------------------------------------------------------------------------
 query(

@@ -202,6 +202,16 @@ class Workspace:
             self._tables[name] = build()
         return self._tables[name]
 
+    def stored(self, name, build):
+        """A derived table written once and read by every report that needs it."""
+
+        def write():
+            df, path = build(), f"{self.root}/marts/{name}"
+            df.write.mode("overwrite").parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        return self.once(f"stored {name}", write)
+
     @property
     def ledger(self):
         return self.once("ledger", self._write_ledger)
