@@ -16,7 +16,8 @@ def _quantiles(w):
 
 
 def _retry(w):
-    return w.once("retry model", lambda: models.fit_retry(models.retry_frame(w.ledger, w.as_of)))
+    frame = lambda: models.retry_frame(w.ledger, w.as_of, days=3650)
+    return w.once("retry model", lambda: models.fit_retry(frame()))
 
 
 @query("fit_quantiles")

@@ -278,7 +278,7 @@ query(
 _SERIES = f"""SELECT month, total, CASE WHEN before > 0 THEN {js("(total - before) / before * 100.0")}
       WHEN before IS NOT NULL THEN 0.0 END AS mom_growth_pct
     FROM (SELECT month, total, LAG(total) OVER (ORDER BY month) AS before
-      FROM (SELECT month, {rnd("SUM(revenue_usd)", 2)} AS total FROM {{source}} GROUP BY 1))"""
+      FROM (SELECT month, COALESCE({rnd("SUM(revenue_usd)", 2)}, 0.0) AS total FROM {{source}} GROUP BY 1))"""
 query("mom_series", _SERIES.format(source="rev"))(lambda w: revenue.mom_series(product_revenue(w)))
 
 
@@ -293,8 +293,10 @@ query("product_mix_of_month", _totals_sql("WHERE strftime(month, '%Y-%m') = '200
 )
 query(
     "income_statement",
-    f"""SELECT month, product_line, 0 AS is_subtotal, {rnd("revenue_usd", 2)} AS gross, {rnd("net_revenue_usd", 2)} AS net FROM rev
-    UNION ALL SELECT month, NULL, 1, {rnd("SUM(revenue_usd)", 2)}, {rnd("SUM(net_revenue_usd)", 2)} FROM rev GROUP BY month""",
+    f"""SELECT month, product_line, 0 AS is_subtotal, COALESCE({rnd("revenue_usd", 2)}, 0) AS gross,
+      COALESCE({rnd("net_revenue_usd", 2)}, 0) AS net FROM rev
+    UNION ALL SELECT month, NULL, 1, COALESCE({rnd("SUM(revenue_usd)", 2)}, 0),
+      COALESCE({rnd("SUM(net_revenue_usd)", 2)}, 0) FROM rev GROUP BY month""",
 )(lambda w: revenue.income_statement(product_revenue(w)))
 query(
     "product_month_pivot",
