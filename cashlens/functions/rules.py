@@ -92,10 +92,13 @@ def tag_recurring(df):
 
 
 def runway_days(cash, flow):
-    """Days until cash runs out at a daily flow; 999 when the flow is not negative."""
+    """Days until cash runs out at a daily flow; 999 when the flow is not negative.
+
+    NULL when a vanishing flow gives more days than a long can hold.
+    """
     cash, flow = as_col(cash), as_col(flow)
     return F.when(flow >= 0, F.lit(fv.RUNWAY_UNLIMITED).cast("long")).otherwise(
-        (cash / F.nullif(F.abs(flow), F.lit(0.0))).cast("long")
+        (cash / F.nullif(F.abs(flow), F.lit(0.0))).try_cast("long")
     )
 
 
