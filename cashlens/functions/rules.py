@@ -66,6 +66,25 @@ def with_date_parts(df, column="occurred_at"):
     )
 
 
+def day_micros(at):
+    """Microseconds since midnight of a wall-clock time."""
+    t = as_col(at)
+    seconds = F.extract(F.lit("SECOND"), t).cast("decimal(8,6)")
+    return (F.hour(t) * 60 + F.minute(t)).cast("long") * 60_000_000 + (seconds * 1_000_000).cast("long")
+
+
+def wall_micros(at):
+    """Microseconds since 1970 of a UTC wall-clock time, whatever the session time zone."""
+    return F.unix_date(F.to_date(as_col(at))).cast("long") * 86_400_000_000 + day_micros(at)
+
+
+def from_micros(micros):
+    """UTC wall-clock time of microseconds since 1970."""
+    seconds = as_col(micros).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def with_usd(df):
     """Generated columns: cents times rate over 100."""
     return df.withColumns(

@@ -1,5 +1,7 @@
 """Daily features and the cash forecast."""
 
+from datetime import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -158,10 +160,15 @@ def cutoff(df, levels, rank):
         hit = running.filter(F.col("upto") >= rank).orderBy("value").limit(1).first()
         found.append(hit["value"])
         rank -= hit["upto"] - hit["n"]
-        df = df.filter(level == F.lit(hit["value"]))
+        df = df.filter(level == _literal(hit["value"]))
     return found
 
 
+def _literal(value):
+    """A collected value as a literal; wall-clock times stay clear of the session time zone."""
+    return F.lit(str(value)).cast("timestamp_ntz") if isinstance(value, datetime) else F.lit(value)
+
+
 def time_split(df, order, tie=None, last=None, frac=None):
     """Chronological split: the last rows, or those past a fraction, validate.
 
@@ -175,12 +182,14 @@ def time_split(df, order, tie=None, last=None, frac=None):
         return df.withColumn("split", F.lit("validate"))
     if tie is None:
         edge = cutoff(df, [at], train)[0]
-        inside = at <= F.lit(edge)
+        inside = at <= _literal(edge)
     else:
         code = F.md5(tie)
-        levels = [F.to_date(at), F.date_trunc("second", at), at, F.left(code, F.lit(2)), F.left(code, F.lit(4)), code]
+        second = F.date_trunc("second", at).cast("timestamp_ntz")
+        levels = [F.to_date(at), second, at, F.left(code, F.lit(2)), F.left(code, F.lit(4)), code]
         edge = cutoff(df, levels, train)
-        inside = (at < F.lit(edge[2])) | ((at == F.lit(edge[2])) & (code <= F.lit(edge[-1])))
+        instant = _literal(edge[2])
+        inside = (at < instant) | ((at == instant) & (code <= F.lit(edge[-1])))
     return df.withColumn("split", F.when(inside, "train").otherwise("validate"))
 
 

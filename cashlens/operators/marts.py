@@ -227,3 +227,22 @@ def ar_aging(ledger, customers, as_of, open_statuses=("pending", "succeeded"), w
         "days_90_plus_usd",
         *oldest,
     )
+
+
+def create_views(ledger, customers, forecast, as_of):
+    """The marts as temporary views for SQL users."""
+    views = {
+        "transactions": ledger,
+        "customers": customers,
+        "daily_cash_position": daily_cash_position(ledger),
+        "monthly_pl": monthly_pl(ledger),
+        "revenue_by_product": revenue_by_product(ledger),
+        "success_rate_daily": success_rate_daily(ledger),
+        "decline_analysis": decline_analysis(ledger),
+        "disputes": disputes(ledger),
+        "forecasts": latest_forecast(forecast),
+        "ar_aging": ar_aging(ledger, customers, as_of),
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return sorted(views)

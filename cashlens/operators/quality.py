@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.money import count_when, or_zero, ratio, round_half_up, usd_sum
-from ..functions.rules import with_usd
+from ..functions.rules import wall_micros, with_usd
 from .marts import as_date, as_timestamp, occurred_between, revenue_type, settled
 
 
@@ -16,7 +16,7 @@ def freshness(ledger, as_of, max_hours=48):
     Events after the reference time count as age 0; an empty ledger is not fresh.
     """
     newest = ledger.agg(F.max("occurred_at").alias("latest"))
-    micros = F.timestamp_diff("MICROSECOND", F.col("latest"), as_timestamp(as_of))
+    micros = wall_micros(as_timestamp(as_of)) - wall_micros("latest")
     hours = F.greatest(micros, F.lit(0)) / F.lit(3600e6)
     return newest.select(
         "latest",

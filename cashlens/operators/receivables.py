@@ -144,8 +144,14 @@ def top_overdue(aging, n=5):
 
 
 def _account_columns(accounts, customers):
-    """Balances with contact columns, for accounts already cut to a top-k list."""
-    contacts = customers.select("customer_id", "customer_email", "plan", "country")
+    """Balances with contact columns, for accounts already cut to a top-k list.
+
+    The list's ids (k of them, so safe to broadcast) pick their customers from the dimension.
+    """
+    listed = F.broadcast(accounts.select("customer_id"))
+    contacts = customers.select("customer_id", "customer_email", "plan", "country").join(
+        listed, "customer_id", "left_semi"
+    )
     joined = accounts.join(contacts, "customer_id", "left")
     money = lambda c, name: or_zero(round_half_up(c, 2)).alias(name)
     plan = F.coalesce("plan", F.lit("standard"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.money import cents_sum, count_when, or_zero, round_half_up, to_usd
-from ..functions.rules import map_lookup, retry_action
+from ..functions.rules import day_micros, map_lookup, retry_action
 from .marts import as_date, latest, occurred_on_or_after, occurred_since, revenue_type, settled
 
 WINDOW_DAYS = 7
@@ -45,7 +45,7 @@ def retry_outcomes(declined, ledger):
         .agg(count_when(settled()).alias("good"), count_when(F.col("status") == "failed").alias("bad"))
     )
     day, at = F.to_date("occurred_at"), F.col("occurred_at")
-    offset = F.timestamp_diff("MICROSECOND", F.date_trunc("day", at).cast("timestamp_ntz"), at)
+    offset = day_micros("occurred_at")
     first_good = F.when(F.col("good") > 0, at)
     sums = lambda *cols: [F.sum(c).alias(c) for c in cols]
 
@@ -234,9 +234,15 @@ FEATURES = [
 
 
 def scoring_rows(ledger, n=100):
-    """The n latest declines with history and features, ready to score."""
+    """The n latest declines with history and features, ready to score.
+
+    History is taken for their customers only; at most n ids are broadcast to pick the rows.
+    """
     declined = declined_events(ledger).orderBy(F.col("occurred_at").desc(), "transaction_id").limit(n)
-    rows = _with_history(declined, history_of_data(ledger))
+    ids = F.broadcast(declined.select("customer_id").distinct())
+    since = latest(ledger, "occurred_at") - F.make_dt_interval(days=F.lit(30))
+    recent = ledger.filter(occurred_since(since)).join(ids, "customer_id", "left_semi")
+    rows = _with_history(declined, customer_history(recent, F.lit(True)))
     return retry_features(encode_ordinals(rows), mode="scoring")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.rules import map_lookup
+from ..functions.rules import map_lookup, wall_micros
 from ..operators import features, marts, retry
 from ..operators.executive import latest_value
 from ..operators.revenue import expenses_by_department, financial_summary
@@ -130,9 +130,7 @@ def processor_events(w):
     e = w.table("events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     k = F.col("k")
     pick = lambda values, index: F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
-    created = F.timestamp_diff(
-        "SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")
-    )
+    created = F.floor(wall_micros("ts") / 1_000_000)
     detail = F.create_map(
         F.lit("product_line"), pick(fv.PRODUCT_LINES, k % 5), F.lit("order"), F.col("event_id").cast("string")
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.rules import (
     fee_cents,
+    from_micros,
     idempotency_key,
     map_event_type,
     map_lookup,
@@ -21,8 +22,8 @@ def utc_now():
 
 
 def from_epoch(seconds):
-    """Epoch seconds to UTC wall-clock, whatever the session time zone."""
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    """Epoch seconds to UTC wall-clock time."""
+    return from_micros(seconds * 1_000_000)
 
 
 def _text_or(*choices):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.money import count_when, or_zero, ratio, usd_sum
+from ..functions.rules import from_micros, wall_micros
 from ..operators.marts import settled
 from ..operators.merge import mark_removed, upsert_ledger_path, upsert_table
 from ..schema import BANK_WEBHOOK
@@ -54,10 +55,13 @@ def removed_ids_stream(webhooks):
 
 
 def _timed(rows, delay):
-    """Rows with a watermark; event time must be an instant, so the session time zone is UTC."""
-    return rows.withColumn("event_time", F.col("occurred_at").cast("timestamp")).withWatermark(
-        "event_time", delay
-    )
+    """Rows with a watermark, which needs the event time as an instant."""
+    instant = F.timestamp_micros(wall_micros("occurred_at"))
+    return rows.withColumn("event_time", instant).withWatermark("event_time", delay)
+
+
+def _wall(instant):
+    return from_micros(F.unix_micros(instant))
 
 
 def hourly_counts(rows, delay="7 days"):
@@ -67,8 +71,8 @@ def hourly_counts(rows, delay="7 days"):
         .groupBy(F.window("event_time", "1 hour", "5 minutes"), "source", "status")
         .agg(F.count(F.lit(1)).alias("transactions"))
         .select(
-            F.col("window.start").cast("timestamp_ntz").alias("start"),
-            F.col("window.end").cast("timestamp_ntz").alias("end"),
+            _wall("window.start").alias("start"),
+            _wall("window.end").alias("end"),
             "source",
             "status",
             "transactions",
@@ -87,7 +91,7 @@ def daily_stats(rows, delay="7 days"):
             count_when(settled()).alias("succeeded"),
         )
         .select(
-            F.to_date("window.start").alias("day"),
+            F.to_date(_wall("window.start")).alias("day"),
             "volume",
             "total_usd",
             ratio("succeeded", "volume").alias("success_rate"),
