@@ -4,6 +4,7 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..functions.rules import with_usd
@@ -34,7 +35,7 @@ def merge_upsert(target, updates, keys, update_cols=None, order_by=("ingested_at
     """
     keys = list(keys)
     latest = one_per_key(updates, keys, [c for c in order_by if c in updates.columns])
-    changed = update_cols or [c for c in latest.columns if c not in keys]
+    changed = [c for c in (update_cols or latest.columns) if c in latest.columns and c not in keys]
     carried = latest.select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in changed])
     merged = target.join(carried, keys, "left").select(
         *[
@@ -99,7 +100,8 @@ def upsert_table(spark, path, updates, keys, partitions, merge=None, order_by=("
     if not _has_table(spark, path):
         _write_partitions(merge(rows.limit(0), rows), path, partitions)
         return
-    table = spark.read.parquet(path)
+    kinds = {f.name: f.dataType for f in rows.schema if f.name in partitions}
+    table = _read_partitions(spark, path, kinds)
     hits = table.join(rows.select(*keys), keys, "left_semi").select(*keys, *partitions)
     fresh = rows.join(hits.select(*keys), keys, "left_anti").select(*partitions)
     # the list of touched partitions is calendar-sized (months or days), whatever the row counts
@@ -108,10 +110,17 @@ def upsert_table(spark, path, updates, keys, partitions, merge=None, order_by=("
         return
     inside = reduce(
         lambda a, b: a | b,
-        [reduce(lambda a, b: a & b, [F.col(p) == F.lit(row[p]) for p in partitions]) for row in touched],
+        [reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(row[p])) for p in partitions]) for row in touched],
     )
     _write_partitions(merge(table.filter(inside), rows), f"{staging}/merged", partitions)
-    _write_partitions(spark.read.parquet(f"{staging}/merged"), path, partitions)
+    _write_partitions(_read_partitions(spark, f"{staging}/merged", kinds), path, partitions)
+
+
+def _read_partitions(spark, path, kinds):
+    """A partitioned table whose partition columns keep their types, however few values they hold."""
+    found = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])
+    return spark.read.schema(schema).parquet(path)
 
 
 def _write_partitions(df, path, partitions):

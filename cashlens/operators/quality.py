@@ -17,7 +17,7 @@ def freshness(ledger, as_of, max_hours=48):
     """
     newest = ledger.agg(F.max("occurred_at").alias("latest"))
     micros = wall_micros(as_timestamp(as_of)) - wall_micros("latest")
-    hours = F.greatest(micros, F.lit(0)) / F.lit(3600e6)
+    hours = F.when(F.col("latest").isNotNull(), F.greatest(micros, F.lit(0)) / F.lit(3600e6))
     return newest.select(
         "latest",
         hours.alias("age_hours"),

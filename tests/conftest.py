@@ -11,7 +11,7 @@ from cashlens.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("cashlens-tests", cores="8", spark__sql__shuffle__partitions="8")
+    session = local_session("cashlens-tests", cores="8", spark__sql__shuffle__partitions="2")
     yield session
     session.stop()
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from cashlens import fixed_values as fv
-from cashlens.operators import marts, merge
+from cashlens.operators import marts, merge, quality
 from cashlens.schema import BANK_TRANSACTION, BANK_WEBHOOK, MANUAL_ENTRY, PROCESSOR_EVENT
 from cashlens.sources import feeds
 from cashlens.sources.ledger import read_ledger, write_ledger
@@ -208,3 +208,46 @@ def test_path_upsert_touches_its_months_only(spark, ledger_of, new_dir):
 
 def test_fixed_tables():
     assert len(fv.EVENT_TYPES) == 10 and len(fv.BANK_CATEGORIES) == 17 and len(fv.DECLINE_CODES) == 15
+
+
+def test_missing_partition_values_survive_a_merge(spark, new_dir):
+    path, schema = new_dir("table"), "id int, v string, part string"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    merge.upsert_table(spark, path, rows((1, "a", None), (2, "b", None), (3, "c", "x")), ["id"], ["part"], order_by=())
+    merge.upsert_table(spark, path, rows((1, "new", None), (4, "d", None)), ["id"], ["part"], order_by=())
+    got = sorted(tuple(r) for r in spark.read.parquet(path).select("id", "v", "part").collect())
+    assert got == [(1, "new", None), (2, "b", None), (3, "c", "x"), (4, "d", None)]
+
+
+def test_freshness(ledger_of):
+    ledger = ledger_of([base()])
+    assert quality.freshness(ledger, "2024-01-17").first().is_fresh
+    assert not quality.freshness(ledger, "2024-01-18").first().is_fresh
+    assert quality.freshness(ledger, "2024-01-01").first().age_hours == 0
+    assert not quality.freshness(ledger.limit(0), "2024-01-01").first().is_fresh
+
+
+def test_control_totals(ledger_of, spark):
+    rows = [
+        base(transaction_id="a", amount=30000, net_amount=29000, fee_amount=1000),
+        base(transaction_id="b", amount=10000, net_amount=9000, fee_amount=1000, status="failed"),
+        base(transaction_id="c", type="payout", amount=100, net_amount=-100, fee_amount=0),
+        base(transaction_id="d", occurred_at="2024-02-01 00:00:00", amount=777),
+    ]
+    ledger = ledger_of(rows)
+    targets = spark.createDataFrame([("2024-01", 150.0, 0.5)], "period string, inflows double, outflows double")
+    pick = lambda df: {r.transaction_id: (r.amount, r.net_amount, r.fee_amount) for r in df.collect()}
+    plain = pick(quality.scale_to_targets(ledger, targets))
+    assert plain == {"a": (15000, 14500, 500), "b": (5000, 4500, 500), "c": (50, -50, 0), "d": (777, 9710, 290)}
+    floors = pick(quality.scale_to_targets(ledger, targets, floors=True))
+    assert floors["c"] == (100, -100, 0) and floors["a"] == (15000, 14500, 500)
+    days = spark.createDataFrame([("2024-01-15", 295.0, 0.5)], "period string, inflows double, outflows double")
+    days = days.withColumn("period", F.to_date("period"))
+    capped = pick(quality.cap_daily_spikes(ledger, days))
+    assert capped["a"] == (30000, 29000, 1000) and capped["c"] == (100, -100, 0)
+
+
+def test_sparse_days(ledger_of):
+    rows = [base(transaction_id=str(i)) for i in range(5)] + [base(transaction_id="x", occurred_at="2024-01-16 09:00:00")]
+    got = {str(r.occurred_date): r.row_count for r in quality.sparse_days(ledger_of(rows), "2024-01-14", "2024-01-17").collect()}
+    assert got == {"2024-01-14": 0, "2024-01-16": 1, "2024-01-17": 0}
