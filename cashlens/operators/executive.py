@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.money import as_col, cents_sum, or_zero, percent, ratio, round_half_up, to_usd
+from ..functions.money import as_col, cents_sum, or_zero, percent, round_half_up, to_usd
 from ..functions.rules import runway_status
 from .marts import (
     as_date,

@@ -15,7 +15,6 @@ from ..functions.money import (
     to_usd,
     usd_sum,
 )
-from .executive import mom_growth
 from .marts import revenue_type, settled
 
 
