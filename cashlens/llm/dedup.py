@@ -7,8 +7,8 @@ pairs, the share of equal registers (less the share that is equal by chance) est
 what can reach the threshold is confirmed on the full shingle sets.
 
 Copies form one class by the fingerprint of their whole set before anything is paired. Within a bucket of a
-band no all-pairs list is made: members meet the smallest member, then the largest one, and only members that
-are still in different components after that meet each other.
+band no all-pairs list is made: members meet the smallest member, then the largest one, and members that are
+still in different components after that meet pair by pair in small buckets and block by block in large ones.
 
 Defined results: null or empty texts have no shingles and are linked with nothing; a text with fewer words
 than a shingle is one shingle; rows with a null doc_id are returned, linked with nothing; rows that share a
@@ -17,6 +17,7 @@ doc_id are judged by their own texts; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from functools import reduce
 
 import numpy as np
@@ -36,35 +37,93 @@ MANTISSA_BITS = 10
 BAND_REGISTERS = 4
 #: Estimates this far below the threshold are still confirmed: more than six standard errors of 128 registers.
 ESTIMATE_MARGIN = 0.25
-#: Word hashes that a task keeps at most before it starts anew.
-WORD_MEMORY = 400_000
+#: Members that meet pair by pair; a bucket with more is compared in blocks of about BLOCK members.
+SMALL_BUCKET = 32
+BLOCK = 256
+#: Bytes of text that are hashed at a time.
+CHUNK_BYTES = 2_000_000
 
 _BUCKETS = 1 << BUCKET_BITS
 _REST_BITS = 64 - BUCKET_BITS
 _BANDS = _BUCKETS // BAND_REGISTERS
 
 
-class _WordHashes(dict):
-    def __missing__(self, word):
-        if len(self) >= WORD_MEMORY:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: A random odd number for each byte, the same for both cases of A-Z; 0 for white space.
+_BYTE_VALUES = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_VALUES[65:91] = _BYTE_VALUES[97:123]
+_BYTE_VALUES[[32, 9, 10, 11, 12, 13]] = 0
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_hashes(text: str, words: int, memory: dict) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles: words lower-cased A-Z, split at white space of ASCII."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(memory.__getitem__, parts), np.uint64, len(parts))
-    width = min(words, len(hashes))
-    mixed = np.full(len(hashes) - width + 1, np.uint64(width), np.uint64)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and first byte of every word: byte values weighted by powers of a base, summed per word."""
+    values = _BYTE_VALUES[np.frombuffer(data, np.uint8)]
+    word = values != 0
+    starts = np.flatnonzero(word & ~np.append(False, word[:-1]))
+    if not len(starts):
+        return np.empty(0, np.uint64), starts
+    place = np.arange(len(values)) - np.repeat(np.append(0, starts), np.diff(np.concatenate(([0], starts, [len(values)]))))
+    powers = np.cumprod(np.full(int(place.max()) + 1, _BASE))
+    return _mixed(np.add.reduceat(values * powers[place], starts)), starts
+
+
+def _pieces(data: bytes):
+    """The text in pieces of about CHUNK_BYTES that end with a white space."""
+    start = 0
+    while len(data) - start > 2 * CHUNK_BYTES:
+        end = min((e for e in (data.find(space, start + CHUNK_BYTES) for space in (b" ", b"\n", b"\t")) if e >= 0), default=len(data))
+        yield data[start:end]
+        start = end
+    yield data[start:]
+
+
+def _shingled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of `width` words."""
+    n = len(hashes) - width + 1
+    mixed = np.full(n, np.uint64(width), np.uint64)
     for i in range(width):
-        mixed = (mixed ^ hashes[i : len(hashes) - width + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(mixed ^ (mixed >> np.uint64(29)))
+        mixed = mixed * _BASE + hashes[i : n + i]
+        mixed ^= mixed >> np.uint64(31)
+    return _mixed(mixed)
+
+
+def _utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles: words lower-cased A-Z, split at white space of ASCII."""
+    hashes = np.concatenate([word_hashes(piece)[0] for piece in _pieces(_utf8(text))])
+    return np.unique(_shingled(hashes, min(words, len(hashes)))) if len(hashes) else hashes
+
+
+def shingle_hashes_of(texts_: list[str], words: int):
+    """shingle_hashes of each text; the words of short texts are hashed together."""
+    group, size = [], 0
+    for text in [*texts_, None]:
+        if group and (text is None or size + len(text) > CHUNK_BYTES):
+            data = [_utf8(t) for t in group]
+            if len(data) == 1:
+                yield shingle_hashes(group[0], words)
+            else:
+                hashes, starts = word_hashes(b"\n".join(data))
+                ends = np.cumsum([len(d) + 1 for d in data])
+                cuts = np.append(0, np.searchsorted(starts, ends)).tolist()
+                whole = _shingled(hashes, words) if len(hashes) >= words else hashes[:0]
+                for low, high in zip(cuts, cuts[1:]):
+                    if high - low >= words:
+                        yield np.unique(whole[low : high - words + 1])
+                    else:
+                        yield _shingled(hashes[low:high], high - low) if high > low else hashes[:0]
+            group, size = [], 0
+        if text is not None:
+            group.append(text)
+            size += len(text)
 
 
 def _borrowing_order() -> np.ndarray:
@@ -74,18 +133,24 @@ def _borrowing_order() -> np.ndarray:
     return np.argsort(draw, axis=1)
 
 
-def registers(hashes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """One 16-bit register per bucket of a nonempty sorted set of hashes."""
-    starts = np.arange(_BUCKETS, dtype=np.uint64) << np.uint64(_REST_BITS)
-    first = np.searchsorted(hashes, starts)
-    filled = np.diff(np.append(first, len(hashes))) > 0
-    if not filled.all():
-        source = order[np.arange(_BUCKETS), filled[order].argmax(axis=1)]
-        first = first[source]
-    least = hashes[first] & np.uint64((1 << _REST_BITS) - 1)
+def registers(sets: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """A row of 16-bit registers for each nonempty sorted set of hashes."""
+    hashes, lengths = np.concatenate(sets), [len(x) for x in sets]
+    cell = np.repeat(np.arange(len(sets)) * _BUCKETS, lengths) + (hashes >> np.uint64(_REST_BITS)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    least, filled = np.zeros(len(sets) * _BUCKETS, np.uint64), np.zeros(len(sets) * _BUCKETS, bool)
+    least[cell[first]], filled[cell[first]] = hashes[first] & np.uint64((1 << _REST_BITS) - 1), True
+    empty, owned, step = np.flatnonzero(~filled), filled.copy(), 0
+    while len(empty):
+        step += 1
+        bucket = empty % _BUCKETS
+        lender = empty - bucket + order[bucket, step]
+        lends = owned[lender]
+        least[empty[lends]] = least[lender[lends]]
+        empty = empty[~lends]
     mantissa, length = np.frexp(least.astype(np.float64))
     fraction = np.clip(((mantissa * 2 - 1) * (1 << MANTISSA_BITS)).astype(np.int64), 0, (1 << MANTISSA_BITS) - 1)
-    return ((np.maximum(_REST_BITS - length, 0) << MANTISSA_BITS) + fraction).astype(np.uint16)
+    return ((np.maximum(_REST_BITS - length, 0) << MANTISSA_BITS) + fraction).astype(np.uint16).reshape(-1, _BUCKETS)
 
 
 def chance_equal(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -109,7 +174,8 @@ def chance_equal(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Similarity estimates from register matrices: the share of equal registers, corrected for chance."""
-    chance = chance_equal(n_a, n_b)
+    sizes, which = np.unique(np.stack([n_a, n_b]).astype(np.int64), axis=1, return_inverse=True)
+    chance = chance_equal(sizes[0], sizes[1])[which.ravel()]
     return np.clip(((a == b).mean(axis=1) - chance) / (1 - chance), 0, 1)
 
 
@@ -117,25 +183,23 @@ def signatures(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, fingerprint of the whole set, registers; the last two null without shingles."""
 
     def sign(batches):
-        memory, order = _WordHashes(), _borrowing_order()
+        order = _borrowing_order()
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                hashes = shingle_hashes(text, words, memory)
-                if len(hashes):
-                    out.append((len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), registers(hashes, order).tobytes()))
-                else:
-                    out.append((0, None, None))
-            yield pd.DataFrame(out, columns=["n_shingles", "fingerprint", "registers"]).assign(doc_id=batch["doc_id"].astype("Int64"))
+            for low in range(0, len(batch), 500):
+                part = batch.iloc[low : low + 500]
+                sets = list(shingle_hashes_of(part["text"].tolist(), words))
+                rows = iter(registers(full, order)) if (full := [x for x in sets if len(x)]) else None
+                out = [(len(x), xxhash.xxh3_128_digest(x.tobytes()), next(rows).tobytes()) if len(x) else (0, None, None) for x in sets]
+                yield pd.DataFrame(out, columns=["n_shingles", "fingerprint", "registers"]).assign(doc_id=part["doc_id"].astype("Int64").array)
 
     return texts(docs).mapInPandas(sign, "n_shingles long, fingerprint binary, registers binary, doc_id long")
 
 
 def _banded(sketches: DataFrame) -> DataFrame:
-    """bucket, node: one row for each band of each sketch."""
+    """band, bucket, node: one row for each band of each sketch."""
     width = 2 * BAND_REGISTERS
     keys = [F.xxhash64(F.lit(i), F.substring("registers", 1 + width * i, width)) for i in range(_BANDS)]
-    return sketches.select(F.explode(F.array(*keys)).alias("bucket"), "node")
+    return sketches.select(F.posexplode(F.array(*keys)).alias("band", "bucket"), "node")
 
 
 def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -151,7 +215,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFra
     def keep(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, _BUCKETS) for c in ("regs_a", "regs_b"))
-            near = estimate(a, b, batch["n_a"].to_numpy(float), batch["n_b"].to_numpy(float)) >= similarity - ESTIMATE_MARGIN
+            near = estimate(a, b, batch["n_a"].to_numpy(), batch["n_b"].to_numpy()) >= similarity - ESTIMATE_MARGIN
             yield batch.loc[near, ["a", "b"]]
 
     rows = _with_sketches(pairs, sketches).where(small >= F.lit(similarity) * large - 1e-9)
@@ -163,13 +227,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
     percent = round(similarity * 100)
 
     def check(batches):
-        memory, last, set_a = _WordHashes(), None, None
+        last, set_a = None, None
         for batch in batches:
             out = []
             for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
                 if a != last:
-                    last, set_a = a, shingle_hashes(text_a, words, memory)
-                set_b = shingle_hashes(text_b, words, memory)
+                    last, set_a = a, shingle_hashes(text_a, words)
+                set_b = shingle_hashes(text_b, words)
                 common = len(set_a) + len(set_b) - len(np.union1d(set_a, set_b))
                 if 100 * common >= percent * (len(set_a) + len(set_b) - common):
                     out.append((a, b))
@@ -223,27 +287,92 @@ def _met(banded: DataFrame, labels: DataFrame | None, pick) -> DataFrame:
     return pairs.select("a", F.col("node").alias("b")).distinct()
 
 
-def _rest(banded: DataFrame, labels: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs of members of one bucket in different components that the registers allow.
+def _mixed_buckets(banded: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, band, node, component of the buckets that still hold several components, with their size."""
+    rows = banded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows.join(mixed.where("low != high").select("bucket", "members"), "bucket")
+
+
+def _pairs_of_small(mixed: DataFrame) -> DataFrame:
+    """Distinct pairs of different components within buckets of at most SMALL_BUCKET members."""
+    rows = mixed.where(F.col("members") <= SMALL_BUCKET).select("bucket", "node", "component")
+    other = rows.toDF("of", "b", "other")
+    meet = (F.col("bucket") == F.col("of")) & (F.col("node") < F.col("b")) & (F.col("component") != F.col("other"))
+    return rows.join(other, meet).select(F.col("node").alias("a"), "b").distinct()
+
 
-    Only buckets that still hold several components take part; sizes and registers are compared within the
-    join, so that only likely pairs leave it.
+def _links_of_large(mixed: DataFrame, nodes: DataFrame, sketches: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links between different components within larger buckets.
+
+    Members are dealt to blocks by hash; a component that fills a block of its own gets blocks of its own.
+    Two blocks meet in one row unless both belong to the same component, and only confirmed links leave it. A
+    pair is judged in the first band that it shares.
     """
-    rows = banded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    rows = rows.join(mixed.select("bucket"), "bucket", "left_semi").join(sketches.select("node", "n_shingles", "registers"), "node")
-    values = F.transform(F.sequence(F.lit(0), F.lit(_BUCKETS - 1)), lambda i: F.substring(F.col("registers"), 2 * i + 1, F.lit(2)))
-    rows = written(rows.select("bucket", "node", "component", "n_shingles", values.alias("regs")), "mixed-buckets")
-    other = rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n_shingles", "regs")])
-    equal = F.size(F.filter(F.zip_with("regs", "regs_b", lambda x, y: x == y), lambda x: x))
-    near = (
-        (F.col("node") < F.col("node_b"))
-        & (F.col("component") != F.col("component_b"))
-        & (F.least("n_shingles", "n_shingles_b") >= F.lit(similarity) * F.greatest("n_shingles", "n_shingles_b") - 1e-9)
-        & (equal >= int((similarity - ESTIMATE_MARGIN) * _BUCKETS))
+    rows = mixed.where(F.col("members") > SMALL_BUCKET)
+    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("of_component"))
+    dealt = (
+        rows.join(sizes, ["bucket", "component"])
+        .withColumn("owner", F.when(F.col("of_component") >= BLOCK, F.col("component")).otherwise(F.lit(-1)))
+        .withColumn("share", F.when(F.col("owner") == -1, F.col("members")).otherwise(F.col("of_component")))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("share") / F.lit(BLOCK))))
+        .select("bucket", "band", "owner", "block", "node", "component")
+        .join(sketches.select("node", "registers"), "node")
+        .join(nodes, "node")
     )
-    joined = rows.join(other, (rows["bucket"] == other["bucket"]) & near)
-    return joined.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    percent = round(similarity * 100)
+
+    def pack(key, rows):
+        sets = list(shingle_hashes_of(rows["text"].tolist(), words))
+        parts = (rows["node"].to_numpy(np.int64), rows["component"].to_numpy(np.int64), [len(x) for x in sets], b"".join(rows["registers"]), np.concatenate(sets))
+        return pd.DataFrame([(*key, pickle.dumps(parts))], columns=["bucket", "band", "owner", "block", "packed"])
+
+    packed = written(
+        dealt.dropDuplicates(["bucket", "node"]).groupBy("bucket", "band", "owner", "block")
+        .applyInPandas(pack, "bucket long, band int, owner long, block long, packed binary"),
+        "blocks",
+    )
+    other = packed.select(F.col("bucket").alias("of"), F.col("owner").alias("owner_b"), F.col("block").alias("block_b"), F.col("packed").alias("packed_b"))
+    meet = (
+        (F.col("bucket") == F.col("of"))
+        & ((F.col("owner") == -1) | (F.col("owner") != F.col("owner_b")))
+        & ((F.col("owner") < F.col("owner_b")) | ((F.col("owner") == F.col("owner_b")) & (F.col("block") <= F.col("block_b"))))
+    )
+
+    def judge(batches):
+        for batch in batches:
+            for band, blob_a, blob_b in zip(batch["band"], batch["packed"], batch["packed_b"], strict=True):
+                found = _links_between(int(band), pickle.loads(blob_a), pickle.loads(blob_b), similarity, percent)
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return packed.join(other, meet).select("band", "packed", "packed_b").mapInPandas(judge, "a long, b long").distinct()
+
+
+def _links_between(band, block_a, block_b, similarity, percent):
+    """Links between members of two packed blocks of a bucket of the given band."""
+    node_a, comp_a, len_a, regs_a, sets_a = block_a
+    node_b, comp_b, len_b, regs_b, sets_b = block_b
+    len_a, len_b = np.asarray(len_a), np.asarray(len_b)
+    regs_a, regs_b = (np.frombuffer(r, np.uint16).reshape(-1, _BUCKETS) for r in (regs_a, regs_b))
+    bands_a, bands_b = (r.view(np.uint64).reshape(len(r), -1) for r in (regs_a, regs_b))
+    ends_a, ends_b = np.append(0, np.cumsum(len_a)), np.append(0, np.cumsum(len_b))
+    pairs, least = [], similarity - ESTIMATE_MARGIN
+    for i in range(len(node_a)):
+        ratio = np.minimum(len_a[i], len_b) >= similarity * np.maximum(len_a[i], len_b) - 1e-9
+        near = np.flatnonzero(ratio & (comp_a[i] != comp_b))
+        near = near[~(bands_b[near, :band] == bands_a[i, :band]).any(axis=1)]
+        near = near[(regs_b[near] == regs_a[i]).mean(axis=1) >= least]  # the corrected estimate is never larger
+        pairs.append(np.stack([np.full(len(near), i), near], axis=1))
+    at_a, at_b = np.concatenate(pairs).T
+    near = estimate(regs_a[at_a], regs_b[at_b], len_a[at_a], len_b[at_b]) >= least
+    found = []
+    for i, j in zip(at_a[near].tolist(), at_b[near].tolist(), strict=True):
+        own, other = sets_a[ends_a[i] : ends_a[i + 1]], sets_b[ends_b[j] : ends_b[j + 1]]
+        place = np.searchsorted(own, other)
+        common = int((own[np.minimum(place, len(own) - 1)] == other).sum())
+        if 100 * common >= percent * (len(own) + len(other) - common):
+            found.append((node_a[i], node_b[j]))
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -272,7 +401,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: flo
     labels = components(links[0])
     links.append(confirm(_met(banded, labels, F.max)))
     labels = components(reduce(DataFrame.union, links))
-    links.append(confirm(_rest(banded, labels, sketches, similarity)))
+    mixed = written(_mixed_buckets(banded, labels), "mixed-buckets")
+    links.append(confirm(_pairs_of_small(mixed)))
+    links.append(_links_of_large(mixed, nodes, sketches, words, similarity))
     labels = components(reduce(DataFrame.union, links))
     return (
         signed.select("doc_id", "n_shingles", "fingerprint")
