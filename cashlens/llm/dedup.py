@@ -412,3 +412,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: flo
         .withColumn("component_id", F.coalesce("component", "node", "doc_id"))
         .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
+
+
+def distinct_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each class, as it came: the one with the smallest doc_id. Of repeated rows one stays."""
+    kept = near_duplicates(docs, words, similarity).where("kept AND doc_id IS NOT NULL")
+    ids = written(kept.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("rows_of_id")), "kept")
+    rows = docs.join(ids, docs["doc_id"] == ids["kept_id"])
+    once = rows.where("rows_of_id = 1").select(*docs.columns)
+    repeated = rows.where("rows_of_id > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
