@@ -197,7 +197,7 @@ def edited_counts(trees: DataFrame, ranks: bytes) -> DataFrame:
                     again, n = again + pieces, n + 1
                 out.append((before, tree.total, n, again, text))
             names = ["tokens_before", "tokens_after", "n_edits", "n_pretokens_again", "text"]
-            yield pd.DataFrame(out, columns=names).assign(doc_id=batch["doc_id"].astype("Int64").array)
+            yield pd.DataFrame(out, columns=names).astype({"text": object}).assign(doc_id=batch["doc_id"].astype("Int64").array)
 
     columns = "tokens_before long, tokens_after long, n_edits long, n_pretokens_again long, text string, doc_id long"
     return trees.select("doc_id", "text", "edits", "leaf_chars", "leaf_tokens").mapInPandas(follow, columns)

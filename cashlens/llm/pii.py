@@ -137,7 +137,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans = spans_text(base, KINDS)
                 near = [dict(zip(fields, (*x, text.count(x[3])), strict=True)) for x in instances(text, base)]
                 out.append((doc_id, key, *counts, spans, sha256(spans), near))
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "base_spans": object, "base_sha256": object})
 
     instance = "array<struct<start: long, end: long, value: string, pattern: string, seed: boolean, occurrences: long>>"
     schema = "doc_id long, row_key long, " + ", ".join(f"n_{k} long" for k in kinds) + f", base_spans string, base_sha256 string, instances {instance}"

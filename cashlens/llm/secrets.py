@@ -158,7 +158,7 @@ def contract(docs: DataFrame) -> DataFrame:
                 n = Counter(kind for _, _, kind in base)
                 out.append((n["assign"], n["access"], n["hex"], sha256(spans_text(base, KINDS)), spans_text([*base, *lexed], KINDS)))
             names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-            yield pd.DataFrame(out, columns=names).assign(doc_id=batch["doc_id"].astype("Int64").array)
+            yield pd.DataFrame(out, columns=names).astype({"base_sha256": object, "spans": object}).assign(doc_id=batch["doc_id"].astype("Int64").array)
 
     columns = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, doc_id long"
     return secret_spans(docs).mapInPandas(digest, columns).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

@@ -127,11 +127,12 @@ def dictionaries(rows: DataFrame) -> ToxicityModel:
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"], strict=True):
                 counts[int(label)].update(beginnings(text))
-        both = list(counts[1])
-        yield pd.DataFrame({"beginning": both, "toxic": [counts[1][g] for g in both], "ordinary": [counts[0][g] for g in both]})
         # beginnings that this partition saw in ordinary rows only still count against those of others
-        rest = [g for g in counts[0] if g not in counts[1]]
-        yield pd.DataFrame({"beginning": rest, "toxic": 0, "ordinary": [counts[0][g] for g in rest]})
+        found = sorted(counts[0].keys() | counts[1].keys())
+        for low in range(0, len(found), 100_000):
+            part = found[low : low + 100_000]
+            out = {"beginning": part, "toxic": [counts[1][g] for g in part], "ordinary": [counts[0][g] for g in part]}
+            yield pd.DataFrame(out).astype({"beginning": object})
 
     def cut(batches):
         for batch in batches:
