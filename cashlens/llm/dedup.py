@@ -7,18 +7,18 @@ pairs, the share of equal registers (less the share that is equal by chance) est
 what can reach the threshold is confirmed on the full shingle sets.
 
 Copies form one class by the fingerprint of their whole set before anything is paired. Within a bucket of a
-band no all-pairs list is made: members meet the smallest member, then the largest one, and members that are
-still in different components after that meet pair by pair in small buckets and block by block in large ones.
+band no all-pairs list is made: members meet the smallest member, and members that are still in different
+components after that meet pair by pair in small buckets and block by block in large ones.
 
 Defined results: null or empty texts have no shingles and are linked with nothing; a text with fewer words
 than a shingle is one shingle; rows with a null doc_id are returned, linked with nothing; rows that share a
-doc_id are judged by their own texts; an empty table gives an empty result.
+doc_id are one document, and if their texts differ one of them speaks for its near duplicates; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import pickle
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -196,39 +196,27 @@ def signatures(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def _banded(sketches: DataFrame) -> DataFrame:
-    """band, bucket, node: one row for each band of each sketch."""
-    width = 2 * BAND_REGISTERS
-    keys = [F.xxhash64(F.lit(i), F.substring("registers", 1 + width * i, width)) for i in range(_BANDS)]
-    return sketches.select(F.posexplode(F.array(*keys)).alias("band", "bucket"), "node")
+    """bucket, node: one row for each band of each sketch; the last bits of a bucket name the band."""
+    width, bits = 2 * BAND_REGISTERS, (_BANDS - 1).bit_length()
+    keys = [
+        F.shiftleft(F.xxhash64(F.lit(i), F.substring("registers", 1 + width * i, width)), bits).bitwiseOR(F.lit(i).cast("long"))
+        for i in range(_BANDS)
+    ]
+    return sketches.select(F.explode(F.array(*keys)).alias("bucket"), "node")
 
 
-def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    of_a = sketches.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("regs_a"))
-    of_b = sketches.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("registers").alias("regs_b"))
-    return pairs.join(of_a, "a").where(F.col("a") != F.col("b")).join(of_b, "b")
+def _confirmed(pairs: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b that are links: first by sizes and estimates, then by full shingle sets.
 
-
-def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose estimate and set sizes allow the similarity."""
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-
-    def keep(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, _BUCKETS) for c in ("regs_a", "regs_b"))
-            near = estimate(a, b, batch["n_a"].to_numpy(), batch["n_b"].to_numpy()) >= similarity - ESTIMATE_MARGIN
-            yield batch.loc[near, ["a", "b"]]
-
-    rows = _with_sketches(pairs, sketches).where(small >= F.lit(similarity) * large - 1e-9)
-    return rows.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInPandas(keep, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity, as links a, b. docs: node, text."""
-    percent = round(similarity * 100)
+    members: node, n_shingles, registers, text.
+    """
+    percent, least = round(similarity * 100), similarity - ESTIMATE_MARGIN
 
     def check(batches):
         last, set_a = None, None
         for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, _BUCKETS) for c in ("registers_a", "registers_b"))
+            batch = batch[estimate(a, b, batch["n_shingles_a"].to_numpy(), batch["n_shingles_b"].to_numpy()) >= least]
             out = []
             for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
                 if a != last:
@@ -239,17 +227,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
                     out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    rows = pairs.join(docs.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
-        docs.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"
-    )
-    return rows.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
+    def side(name):
+        return members.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n_shingles", "registers", "text")])
+
+    small, large = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").where(small >= F.lit(similarity) * large - 1e-9)
+    return rows.mapInPandas(check, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node reachable, for all nodes of the links a, b.
 
     Alternates large-star and small-star steps: every node hands the nodes it knows to the smallest one, until
-    the links no longer change. Each round is written, so a lost executor costs no earlier round.
+    every node hangs on one root. Each round is written, so a lost executor costs no earlier round.
     """
 
     def large_star(edges):
@@ -262,34 +252,21 @@ def components(links: DataFrame) -> DataFrame:
         to_least = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return to_least.union(least.select("u", F.col("m").alias("v"))).distinct()
 
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    before = None
-    while True:
+    def settled(edges):
+        """Whether every node hangs on one root."""
+        many = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return many.isEmpty() and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    while not settled(edges):
         edges = written(small_star(large_star(edges)), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
-def _met(banded: DataFrame, labels: DataFrame | None, pick) -> DataFrame:
-    """Distinct pairs of a bucket's picked member with its other members of other components."""
-    if labels is not None:
-        banded = banded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    else:
-        banded = banded.withColumn("component", F.col("node"))
-    leaders = banded.groupBy("bucket").agg(
-        pick("node").alias("a"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low != high")
-    pairs = banded.join(leaders.select("bucket", "a"), "bucket").where("node != a")
-    return pairs.select("a", F.col("node").alias("b")).distinct()
-
-
-def _mixed_buckets(banded: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, band, node, component of the buckets that still hold several components, with their size."""
-    rows = banded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _mixed_buckets(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node, component of the buckets that still hold several components, with their number of members."""
+    rows = crowded.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
     return rows.join(mixed.where("low != high").select("bucket", "members"), "bucket")
 
@@ -302,7 +279,7 @@ def _pairs_of_small(mixed: DataFrame) -> DataFrame:
     return rows.join(other, meet).select(F.col("node").alias("a"), "b").distinct()
 
 
-def _links_of_large(mixed: DataFrame, nodes: DataFrame, sketches: DataFrame, words: int, similarity: float) -> DataFrame:
+def _links_of_large(mixed: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links between different components within larger buckets.
 
     Members are dealt to blocks by hash; a component that fills a block of its own gets blocks of its own.
@@ -311,25 +288,23 @@ def _links_of_large(mixed: DataFrame, nodes: DataFrame, sketches: DataFrame, wor
     """
     rows = mixed.where(F.col("members") > SMALL_BUCKET)
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("of_component"))
+    own = sizes.where(F.col("of_component") >= BLOCK)
     dealt = (
-        rows.join(sizes, ["bucket", "component"])
-        .withColumn("owner", F.when(F.col("of_component") >= BLOCK, F.col("component")).otherwise(F.lit(-1)))
-        .withColumn("share", F.when(F.col("owner") == -1, F.col("members")).otherwise(F.col("of_component")))
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("share") / F.lit(BLOCK))))
-        .select("bucket", "band", "owner", "block", "node", "component")
-        .join(sketches.select("node", "registers"), "node")
-        .join(nodes, "node")
+        rows.join(own, ["bucket", "component"], "left")
+        .withColumn("owner", F.when(F.col("of_component").isNotNull(), F.col("component")).otherwise(F.lit(-1)))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("of_component", "members") / F.lit(BLOCK))))
+        .select("bucket", "owner", "block", "node", "component")
+        .join(members, "node")
     )
     percent = round(similarity * 100)
 
     def pack(key, rows):
         sets = list(shingle_hashes_of(rows["text"].tolist(), words))
         parts = (rows["node"].to_numpy(np.int64), rows["component"].to_numpy(np.int64), [len(x) for x in sets], b"".join(rows["registers"]), np.concatenate(sets))
-        return pd.DataFrame([(*key, pickle.dumps(parts))], columns=["bucket", "band", "owner", "block", "packed"])
+        return pd.DataFrame([(*key, pickle.dumps(parts))], columns=["bucket", "owner", "block", "packed"])
 
     packed = written(
-        dealt.dropDuplicates(["bucket", "node"]).groupBy("bucket", "band", "owner", "block")
-        .applyInPandas(pack, "bucket long, band int, owner long, block long, packed binary"),
+        dealt.groupBy("bucket", "owner", "block").applyInPandas(pack, "bucket long, owner long, block long, packed binary"),
         "blocks",
     )
     other = packed.select(F.col("bucket").alias("of"), F.col("owner").alias("owner_b"), F.col("block").alias("block_b"), F.col("packed").alias("packed_b"))
@@ -341,11 +316,11 @@ def _links_of_large(mixed: DataFrame, nodes: DataFrame, sketches: DataFrame, wor
 
     def judge(batches):
         for batch in batches:
-            for band, blob_a, blob_b in zip(batch["band"], batch["packed"], batch["packed_b"], strict=True):
-                found = _links_between(int(band), pickle.loads(blob_a), pickle.loads(blob_b), similarity, percent)
+            for bucket, blob_a, blob_b in zip(batch["bucket"], batch["packed"], batch["packed_b"], strict=True):
+                found = _links_between(int(bucket) % _BANDS, pickle.loads(blob_a), pickle.loads(blob_b), similarity, percent)
                 yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return packed.join(other, meet).select("band", "packed", "packed_b").mapInPandas(judge, "a long, b long").distinct()
+    return packed.join(other, meet).select("bucket", "packed", "packed_b").mapInPandas(judge, "a long, b long").distinct()
 
 
 def _links_between(band, block_a, block_b, similarity, percent):
@@ -378,33 +353,25 @@ def _links_between(band, block_a, block_b, similarity, percent):
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     signed = written(signatures(docs, words), "signatures")
-    classes = written(
-        signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "classes"
-    )
-    # rows that share a doc_id with another text would make a node ambiguous: nodes are (class, smallest doc_id)
     sketches = written(
-        signed.join(classes, "fingerprint").where("doc_id = node")
-        .groupBy("node").agg(F.min(F.struct("fingerprint", "n_shingles", "registers")).alias("s"))
-        .select("node", "s.*"),
+        signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("fingerprint")
+        .agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("s"))
+        .select("fingerprint", F.col("s.doc_id").alias("node"), "s.n_shingles", "s.registers"),
         "sketches",
     )
-    nodes = texts(docs).withColumnRenamed("doc_id", "node")
     banded = _banded(sketches)
-
-    def confirm(pairs):
-        likely = written(_likely(pairs, sketches, similarity), "likely")
-        named = likely.select("a").union(likely.select("b")).distinct().toDF("node")
-        sides = written(nodes.join(named, "node", "left_semi").dropDuplicates(["node"]), "sides")
-        return written(_confirmed(likely, sides, words, similarity), "confirmed")
-
-    links = [confirm(_met(banded, None, F.min))]
-    labels = components(links[0])
-    links.append(confirm(_met(banded, labels, F.max)))
-    labels = components(reduce(DataFrame.union, links))
-    mixed = written(_mixed_buckets(banded, labels), "mixed-buckets")
-    links.append(confirm(_pairs_of_small(mixed)))
-    links.append(_links_of_large(mixed, nodes, sketches, words, similarity))
-    labels = components(reduce(DataFrame.union, links))
+    leaders = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = written(banded.join(leaders.select("bucket", "a"), "bucket"), "crowded")
+    # only these nodes are ever compared: their texts cross the network once
+    near = crowded.select("node").distinct().join(sketches.select("node", "n_shingles", "registers"), "node")
+    members = written(texts(docs).withColumnRenamed("doc_id", "node").join(near, "node").dropDuplicates(["node"]), "members")
+
+    met = crowded.where("node != a").select("a", F.col("node").alias("b")).distinct()
+    links = written(_confirmed(met, members, words, similarity), "confirmed")
+    mixed = written(_mixed_buckets(crowded, components(links)), "mixed-buckets")
+    links = links.union(_confirmed(_pairs_of_small(mixed), members, words, similarity))
+    labels = components(links.union(_links_of_large(mixed, members, words, similarity)))
+    classes = sketches.select("fingerprint", "node")
     return (
         signed.select("doc_id", "n_shingles", "fingerprint")
         .join(classes, "fingerprint", "left")
