@@ -7,7 +7,9 @@ not depend on the order in which partitions arrive. Results leave as double USD.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SUM_TYPE = "decimal(37,8)"
+_SUM_TYPE = "decimal(38,11)"
+# Cents of any long times a rate fill 38 digits: rates below ten million keep eleven places.
+CENTS, RATE = "decimal(19,0)", "decimal(18,11)"
 
 
 def as_col(value):
@@ -21,8 +23,8 @@ def cents_sum(cents, when=None):
         value = F.when(when, value)
     at_par = F.col("fx_rate").eqNullSafe(1.0)
     plain = F.sum(F.when(at_par, value)).cast(_SUM_TYPE)
-    rate = F.col("fx_rate").cast("decimal(12,8)")
-    converted = F.sum(F.when(~at_par, value.cast("decimal(20,0)") * rate)).cast(_SUM_TYPE)
+    rate = F.col("fx_rate").cast(RATE)
+    converted = F.sum(F.when(~at_par, value.cast(CENTS) * rate)).cast(_SUM_TYPE)
     return F.coalesce(plain + converted, plain, converted)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import count_when, or_zero, usd_sum
 from ..functions.rules import runway_days, split_flow
+from ..session import written
 from .executive import latest_value
 from .marts import as_date, latest, revenue_type, settled
 
@@ -175,6 +176,7 @@ def time_split(df, order, tie=None, last=None, frac=None):
     Rows of one instant are told apart by the hash of ``tie``. Only the boundary is looked up, by
     narrowing it from days down; rows are neither sorted nor numbered.
     """
+    df = written(df, "split")
     total = df.count()
     train = max(total - last, 0) if last is not None else int(total * frac)
     at = F.col(order)

@@ -91,15 +91,17 @@ def upsert_table(spark, path, updates, keys, partitions, merge=None, order_by=("
 
     The merged partitions are written beside the table first and then replace the old ones, so
     nothing overwrites what it reads, and a repeated call gives the same table. A key must not
-    change its partition. ``merge(target, updates)`` defaults to a full-column upsert.
+    change its partition. ``merge(target, updates)`` defaults to a full-column upsert. Returns the
+    touched partitions, or None for a new table; what was written beside it is deleted.
     """
     merge = merge or (lambda target, rows: merge_upsert(target, rows, keys, None, order_by))
     staging = f"{shared_dir(spark)}/cashlens-merge-{uuid.uuid4().hex}"
     updates.write.parquet(f"{staging}/updates")
     rows = spark.read.parquet(f"{staging}/updates")
     if not _has_table(spark, path):
-        _write_partitions(merge(rows.limit(0), rows), path, partitions)
-        return
+        write_partitions(merge(rows.limit(0), rows), path, partitions)
+        _delete(spark, staging)
+        return None
     kinds = {f.name: f.dataType for f in rows.schema if f.name in partitions}
     table = _read_partitions(spark, path, kinds)
     hits = table.join(rows.select(*keys), keys, "left_semi").select(*keys, *partitions)
@@ -107,13 +109,16 @@ def upsert_table(spark, path, updates, keys, partitions, merge=None, order_by=("
     # the list of touched partitions is calendar-sized (months or days), whatever the row counts
     touched = hits.select(*partitions).unionByName(fresh).distinct().collect()
     if not touched:
-        return
+        _delete(spark, staging)
+        return []
     inside = reduce(
         lambda a, b: a | b,
         [reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(row[p])) for p in partitions]) for row in touched],
     )
-    _write_partitions(merge(table.filter(inside), rows), f"{staging}/merged", partitions)
-    _write_partitions(_read_partitions(spark, f"{staging}/merged", kinds), path, partitions)
+    write_partitions(merge(table.filter(inside), rows), f"{staging}/merged", partitions)
+    write_partitions(_read_partitions(spark, f"{staging}/merged", kinds), path, partitions)
+    _delete(spark, staging)
+    return [tuple(row) for row in touched]
 
 
 def _read_partitions(spark, path, kinds):
@@ -123,7 +128,7 @@ def _read_partitions(spark, path, kinds):
     return spark.read.schema(schema).parquet(path)
 
 
-def _write_partitions(df, path, partitions):
+def write_partitions(df, path, partitions):
     (
         df.hint("rebalance", *partitions)
         .write.partitionBy(*partitions)
@@ -135,7 +140,7 @@ def _write_partitions(df, path, partitions):
 
 
 def upsert_ledger_path(spark, path, updates, order_by=("ingested_at",)):
-    """Merge staged rows into a written ledger.
+    """Merge staged rows into a written ledger; returns the months it touched, None for a new one.
 
     An existing row keeps its month because a merge never changes the event time.
     """
@@ -146,12 +151,22 @@ def upsert_ledger_path(spark, path, updates, order_by=("ingested_at",)):
         stored = target.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGER_STORED])
         return with_usd(merge_upsert(stored, latest, keys, fv.MERGE_UPDATE_COLUMNS))
 
-    upsert_table(spark, path, rows, keys, LEDGER_PARTITIONS, merge)
+    return upsert_table(spark, path, rows, keys, LEDGER_PARTITIONS, merge)
 
 
-def _has_table(spark, path):
+def _folder(spark, path):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _has_table(spark, path):
+    files, folder = _folder(spark, path)
+    return files.exists(folder)
+
+
+def _delete(spark, path):
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
 
 
 def count_by_source(ledger, source):

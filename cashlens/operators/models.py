@@ -2,10 +2,10 @@
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.money import count_when, ratio
@@ -25,6 +25,8 @@ from .features import (
 from .retry import FEATURES, encode_ordinals, recommend, retry_dataset, retry_features, scoring_rows
 
 SEED = 42
+# ranges of scores between 0 and 1 that are summed on their own
+SCORE_RANGES = 1000
 FLOW_TARGET = "target_net_flow_1d"
 
 
@@ -102,7 +104,7 @@ def forecast_cash(fitted, ledger, daily, horizon=91, forecast_date=None, version
     """Forecast rows from the newest complete day."""
     newest = fitted.predict(latest_features(ledger))
     start = newest.select("posted_date", "cumulative_cash_usd", "p10", "p50", "p90")
-    point = current_cash(daily, start).crossJoin(start.select("p10", "p50", "p90"))
+    point = current_cash(daily, start).select("*", *[start.select(q).scalar().alias(q) for q in ("p10", "p50", "p90")])
     return forecast_path(point, horizon, forecast_date, version)
 
 
@@ -114,7 +116,7 @@ def retry_frame(ledger, as_of, days=180):
 
 def fit_retry(frame, max_iter=20):
     """Class-weighted boosted trees for success within seven days; the last fifth validates."""
-    split = time_split(written(frame, "retry-training"), "occurred_at", "transaction_id", frac=0.8)
+    split = time_split(frame, "occurred_at", "transaction_id", frac=0.8)
     train = split.filter(F.col("split") == "train")
     counts = train.agg(count_when(F.col("target") == 0).alias("neg"), count_when(F.col("target") == 1).alias("pos")).first()
     weight = counts["neg"] / max(counts["pos"], 1)
@@ -135,16 +137,40 @@ def with_probability(model, rows):
 
 
 def classifier_metrics(scored, label="target"):
-    """ROC-AUC, PR-AUC, and precision and recall at 0.5, in one row."""
-    evaluate = lambda metric: BinaryClassificationEvaluator(
-        labelCol=label, rawPredictionCol="probability", metricName=metric
-    ).evaluate(scored)
-    hit, said = F.col(label) == 1, F.col("probability") >= 0.5
-    return scored.agg(
-        F.lit(float(evaluate("areaUnderROC"))).alias("roc_auc"),
-        F.lit(float(evaluate("areaUnderPR"))).alias("pr_auc"),
-        ratio(count_when(hit & said), count_when(said)).alias("precision_at_50"),
-        ratio(count_when(hit & said), count_when(hit)).alias("recall_at_50"),
+    """Area under the ROC curve, average precision, and the report of both classes at 0.5, in one row.
+
+    Both areas are exact: rows shrink to one per score, and what lies below a score is the sum of the
+    lower ranges of scores and of its own range. No task sorts more than a range.
+    """
+    scored = written(scored.select(label, "probability"), "scored")
+    real, p = F.col(label) == 1, F.col("probability")
+    scores = scored.groupBy(p.alias("p")).agg(count_when(real).alias("pos"), count_when(~real).alias("neg"))
+    scores = scores.withColumn("range", F.floor(F.col("p") * SCORE_RANGES))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = scores.groupBy("range").agg(F.sum("pos").alias("pos_in"), F.sum("neg").alias("neg_in"))
+    ranges = ranges.select(
+        F.col("range"), *[F.coalesce(F.sum(f"{c}_in").over(before), F.lit(0)).alias(f"{c}_before") for c in ("pos", "neg")]
+    )
+    here = Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    below = [(F.col(f"{c}_before") + F.sum(c).over(here) - F.col(c)).alias(f"{c}_below") for c in ("pos", "neg")]
+    placed = scores.join(ranges, "range").select("pos", "neg", *below)
+    totals = scores.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    all_pos, all_neg = totals.select("all_pos").scalar(), totals.select("all_neg").scalar()
+    pos, neg = F.col("pos"), F.col("neg")
+    pos_from, neg_from = all_pos - F.col("pos_below"), all_neg - F.col("neg_below")
+    areas = placed.agg(
+        ratio(F.sum(2 * pos * F.col("neg_below") + pos * neg), 2 * F.sum(pos) * F.sum(neg)).alias("roc_auc"),
+        F.round(ratio(F.sum(pos * ratio(pos_from, pos_from + neg_from)), F.sum(pos)), 6).alias("pr_auc"),
+    )
+    report = []
+    for c, said, is_ in ((0, p < 0.5, ~real), (1, p >= 0.5, real)):
+        hit, told, there = count_when(said & is_), count_when(said), count_when(is_)
+        report += [
+            ratio(hit, told).alias(f"precision_{c}"), ratio(hit, there).alias(f"recall_{c}"),
+            ratio(2 * hit, told + there).alias(f"f1_{c}"), there.alias(f"support_{c}"),
+        ]
+    return scored.agg(*report).select(
+        areas.select("roc_auc").scalar().alias("roc_auc"), areas.select("pr_auc").scalar().alias("pr_auc"), "*"
     )
 
 

@@ -29,20 +29,24 @@ def success_trend(rates, n=60):
     )
 
 
-def success_pivot(trend, sources=None):
-    """Date by source matrix of rates, NULL where a source has none."""
-    return trend.groupBy("date").pivot("source", sources).agg(F.first("rate")).orderBy("date")
+def success_pivot(trend, sources=fv.SOURCES):
+    """Date by source matrix of rates, NULL where a source has none; ``other`` is the best rate of sources not listed."""
+    column = F.when(F.col("source").isin(*sources), F.col("source")).otherwise("other")
+    pivot = trend.withColumn("_column", column).groupBy("date").pivot("_column", [*sources, "other"])
+    return pivot.agg(F.max("rate")).orderBy("date")
+
+
+def decline_counts(analysis):
+    """Every decline code with its count."""
+    return analysis.select(F.coalesce("decline_code", F.lit("unknown")).alias("code"), F.col("total_declines").alias("count"))
 
 
 def top_declines(analysis, k=10):
-    return (
-        analysis.orderBy(F.col("total_declines").desc(), "decline_code")
-        .limit(k)
-        .select(F.coalesce("decline_code", F.lit("unknown")).alias("code"), F.col("total_declines").alias("count"))
-    )
+    return decline_counts(analysis.orderBy(F.col("total_declines").desc(), "decline_code").limit(k))
 
 
-def _advisor_rows(predictions, min_probability, code):
+def advisor_rows(predictions, min_probability=0, code=None):
+    """Every scored decline above a percentage and of one decline code."""
     rows = predictions.select(
         "transaction_id",
         "decline_code",
@@ -66,13 +70,13 @@ def retry_advisor(predictions, min_probability=0, code=None, n=20):
 
     The code matches whatever its case and with spaces for underscores.
     """
-    rows = _advisor_rows(predictions, min_probability, code)
+    rows = advisor_rows(predictions, min_probability, code)
     return rows.orderBy(F.col("recovery_usd").desc(), "transaction_id").limit(n)
 
 
 def retry_recovery_total(predictions, min_probability=0, code=None):
     """Expected recovery of all rows the advisor filter keeps."""
-    return _advisor_rows(predictions, min_probability, code).agg(
+    return advisor_rows(predictions, min_probability, code).agg(
         F.count(F.lit(1)).alias("retries"),
         or_zero(round_half_up(F.sum("recovery_usd"), 2)).alias("total_recovery_usd"),
     )
@@ -167,7 +171,7 @@ def retry_summary(predictions):
 
 
 def ops_kpis(declines, trend, advisor, disputes):
-    """Headline figures over the report's decline, trend, advisor and dispute lists."""
+    """Headline figures over all declines, scored retries and open disputes, and over the rates of the trend."""
     scored = advisor.agg(
         or_zero(round_toward_plus(F.sum("recovery_usd"), 2)).alias("recovery"),
         count_when(F.col("probability") >= 70).alias("confident"),

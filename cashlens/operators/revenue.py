@@ -133,7 +133,7 @@ def performance_trends(revenue, n=12):
         .limit(n)
     )
     gross = F.col("gross")
-    net = F.when(F.col("net") != 0, F.col("net")).otherwise(gross * 0.95)
+    net = or_zero("net")
     opex = round_half_up(gross * fv.OPEX_RATE, 2)
     income = round_half_up(net - opex, 2)
     return months.select(
@@ -184,15 +184,24 @@ def income_statement(revenue):
     )
 
 
-def product_month_pivot(revenue, products=None):
-    """Month by product matrix of revenue, 0 where a product has none."""
-    pivot = revenue.groupBy("month").pivot("product_line", products)
+def product_month_pivot(revenue, products=fv.PRODUCT_LINES):
+    """Month by product matrix of revenue, 0 where a product has none; products not listed add up to ``other``."""
+    column = F.when(F.col("product_line").isin(*products), F.col("product_line")).otherwise("other")
+    pivot = revenue.withColumn("_column", column).groupBy("month").pivot("_column", [*products, "other"])
     return pivot.agg(round_half_up(F.sum("revenue_usd"), 2)).na.fill(0.0).orderBy("month")
 
 
 def budget_vs_actual(actuals, budget):
-    """Actuals (line_item, actual_usd) against budget rows (line_item, category, budget_usd)."""
-    rows = budget.join(actuals, "line_item").withColumns(
+    """Actuals (line_item, actual_usd) against budget rows (line_item, category, budget_usd).
+
+    Lines of either side stay: what was not planned has budget 0 and the category that the actuals
+    name, or ``Unbudgeted``; what was not spent has actual 0.
+    """
+    told = F.col("_category") if "category" in actuals.columns else F.lit(None).cast("string")
+    if "category" in actuals.columns:
+        actuals = actuals.withColumnRenamed("category", "_category")
+    joined = budget.join(actuals, "line_item", "full")
+    rows = joined.withColumn("category", F.coalesce("category", told, F.lit("Unbudgeted"))).withColumns(
         {
             "actual_usd": or_zero(round_half_up("actual_usd", 2)),
             "budget_usd": or_zero(round_half_up("budget_usd", 2)),

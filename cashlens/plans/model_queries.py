@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import merge, models
+from ..operators import merge, models, retry
 from ..sources import feeds
 from ..sources.ledger import read_ledger, write_ledger
 from ..streaming import streams
 from . import inputs
 from .inputs import daily
+from .ledger_queries import OUTCOMES
 from .registry import query
 
 
@@ -40,9 +41,34 @@ def _forecast_cash(w):
     return models.forecast_cash(_quantiles(w), w.ledger, daily(w), forecast_date=w.as_of)
 
 
-@query("classifier_metrics")
+_SCORED = f"""SELECT p.retry_success_probability AS p, o.succeeded_on_retry AS y
+    FROM predictions p JOIN ({OUTCOMES.format(declined="declined")}) o ON o.transaction_id = p.transaction_id"""
+
+
+def _metrics_sql():
+    names, parts = ("precision", "recall", "f1", "support"), []
+    for c, said, is_ in ((0, "WHERE p < 0.5", "y = 0"), (1, "WHERE p >= 0.5", "y = 1")):
+        hit, told, real = f"COUNT(*) FILTER ({said} AND {is_})", f"COUNT(*) FILTER ({said})", f"COUNT(*) FILTER (WHERE {is_})"
+        share = lambda a, b: f"CAST({a} AS DOUBLE) / CAST(NULLIF({b}, 0) AS DOUBLE)"
+        values = share(hit, told), share(hit, real), share(f"2 * {hit}", f"{told} + {real}"), real
+        parts += [f"{v} AS {n}_{c}" for n, v in zip(names, values)]
+    return f"""WITH s AS ({_SCORED}), g AS (SELECT p, COUNT(*) FILTER (WHERE y = 1) AS pos, COUNT(*) FILTER (WHERE y = 0) AS neg
+        FROM s GROUP BY p),
+      c AS (SELECT *, SUM(neg) OVER (ORDER BY p) - neg AS neg_below, SUM(pos) OVER (ORDER BY p DESC) AS pos_from,
+        SUM(pos + neg) OVER (ORDER BY p DESC) AS all_from FROM g)
+    SELECT (SELECT CAST(SUM(2 * pos * neg_below + pos * neg) AS DOUBLE) / CAST(2 * SUM(pos) * SUM(neg) AS DOUBLE) FROM c) AS roc_auc,
+      (SELECT ROUND(SUM(CAST(pos AS DOUBLE) * CAST(pos_from AS DOUBLE) / CAST(all_from AS DOUBLE)) / CAST(SUM(pos) AS DOUBLE), 6) FROM c) AS pr_auc,
+      {", ".join(parts)} FROM s"""
+
+
+@query("classifier_metrics", _metrics_sql())
 def _classifier_metrics(w):
-    return models.classifier_metrics(_retry(w)[1])
+    """Metrics of the derived predictions against what became of the declines."""
+    outcomes = retry.retry_outcomes(retry.declined_events(w.ledger), w.ledger)
+    scored = inputs.predictions(w).join(outcomes, "transaction_id").select(
+        F.col("retry_success_probability").alias("probability"), F.col("succeeded_on_retry").alias("target")
+    )
+    return models.classifier_metrics(scored)
 
 
 @query("fit_retry")
@@ -62,11 +88,14 @@ def _events(w):
     return feeds.stream_processor_events(w.spark, path)
 
 
+_MERGED = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id
+      ORDER BY created DESC, occurred_at DESC, idempotency_key DESC) AS rank FROM normalized_events) WHERE rank = 1"""
+
+
 @query(
     "stream_to_ledger",
-    """SELECT transaction_id, idempotency_key, occurred_at, type, status, amount, net_amount, fee_amount, decline_code
-    FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY created DESC, occurred_at DESC, idempotency_key DESC) AS rank
-      FROM normalized_events) WHERE rank = 1""",
+    f"""SELECT transaction_id, idempotency_key, occurred_at, type, status, amount, net_amount, fee_amount, decline_code
+    FROM ({_MERGED})""",
 )
 def _stream_to_ledger(w):
     path = w.scratch("stream_ledger")
@@ -95,28 +124,26 @@ def _stream_removals(w):
 
 @query(
     "stream_hourly_counts",
-    """SELECT start, start + INTERVAL 1 HOUR AS "end", source, status, COUNT(*) AS transactions
+    f"""SELECT start, start + INTERVAL 1 HOUR AS "end", source, status, COUNT(*) AS transactions
     FROM (SELECT time_bucket(INTERVAL 5 MINUTE, occurred_at, TIMESTAMP '1970-01-01') - to_minutes(5 * i) AS start,
-        'stripe' AS source, status FROM normalized_events, range(0, 12) r(i)) GROUP BY 1, 2, 3, 4""",
+        'stripe' AS source, status FROM ({_MERGED}), range(0, 12) r(i)) GROUP BY 1, 2, 3, 4""",
 )
 def _stream_hourly_counts(w):
-    path = w.scratch("hourly")
-    rows = feeds.normalize_processor(_events(w), "acct_main")
-    streams.stream_hourly_counts(rows, path, w.scratch("ckpt")).awaitTermination()
-    return w.spark.read.parquet(path).drop("month")
+    path, ledger = w.scratch("hourly"), w.scratch("hourly_ledger")
+    streams.stream_hourly_counts(_events(w), ledger, path, w.scratch("ckpt")).awaitTermination()
+    return w.spark.read.parquet(path).drop("day")
 
 
 @query(
     "stream_daily_stats",
-    """SELECT CAST(occurred_at AS DATE) AS day, COUNT(*) AS volume, CAST(SUM(amount) AS DOUBLE) / 100.0 AS total_usd,
+    f"""SELECT CAST(occurred_at AS DATE) AS day, COUNT(*) AS volume, CAST(SUM(amount) AS DOUBLE) / 100.0 AS total_usd,
       CAST(COUNT(*) FILTER (WHERE status = 'succeeded') AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS success_rate
-    FROM normalized_events GROUP BY 1""",
+    FROM ({_MERGED}) GROUP BY 1""",
 )
 def _stream_daily_stats(w):
-    path = w.scratch("stats")
-    rows = feeds.normalize_processor(_events(w), "acct_main")
-    streams.stream_daily_stats(rows, path, w.scratch("ckpt")).awaitTermination()
-    return w.spark.read.parquet(path).drop("month")
+    path, ledger = w.scratch("stats"), w.scratch("stats_ledger")
+    streams.stream_daily_stats(_events(w), ledger, path, w.scratch("ckpt")).awaitTermination()
+    return w.spark.read.parquet(path)
 
 
 @query(

@@ -298,6 +298,7 @@ query(
     UNION ALL SELECT month, NULL, 1, COALESCE({rnd("SUM(revenue_usd)", 2)}, 0),
       COALESCE({rnd("SUM(net_revenue_usd)", 2)}, 0) FROM rev GROUP BY month""",
 )(lambda w: revenue.income_statement(product_revenue(w)))
+_OTHER = f"SUM(revenue_usd) FILTER (WHERE COALESCE(product_line NOT IN {tuple(fv.PRODUCT_LINES)}, TRUE))"
 query(
     "product_month_pivot",
     "SELECT month, "
@@ -305,8 +306,8 @@ query(
         f"COALESCE({rnd(f'''SUM(revenue_usd) FILTER (WHERE product_line = '{p}')''', 2)}, 0) AS {p}"
         for p in fv.PRODUCT_LINES
     )
-    + " FROM rev GROUP BY month",
-)(lambda w: revenue.product_month_pivot(product_revenue(w), fv.PRODUCT_LINES))
+    + f", COALESCE({rnd(_OTHER, 2)}, 0) AS other FROM rev GROUP BY month",
+)(lambda w: revenue.product_month_pivot(product_revenue(w)))
 _BUDGET = f"""WITH s AS ({_SUMMARY}), d AS ({_DEPARTMENTS}),
     b AS (SELECT 'Gross Invoiced Revenue' AS line_item, 'Revenue' AS category, total_revenue_ttm AS actual_usd,
         {rnd("total_revenue_ttm * 0.94", 2)} AS budget_usd FROM s
@@ -355,8 +356,9 @@ query(
     "success_pivot",
     "SELECT date, "
     + ", ".join(f"MAX(rate) FILTER (WHERE source = '{s}') AS {s}" for s in fv.SOURCES)
-    + f" FROM ({_SUCCESS}) GROUP BY date",
-)(lambda w: ops.success_pivot(ops.success_trend(rates(w)), fv.SOURCES))
+    + f""", MAX(rate) FILTER (WHERE COALESCE(source NOT IN {tuple(fv.SOURCES)}, TRUE)) AS other
+    FROM ({_SUCCESS}) GROUP BY date""",
+)(lambda w: ops.success_pivot(ops.success_trend(rates(w))))
 _TOP = """SELECT decline_code AS code, total_declines AS count FROM declines
     ORDER BY total_declines DESC, decline_code LIMIT 10"""
 query("top_declines", _TOP)(lambda w: ops.top_declines(marts.decline_analysis(w.ledger)))
@@ -417,19 +419,19 @@ query(
 )(lambda w: ops.retry_summary(predictions(w)))
 query(
     "ops_kpis",
-    f"""SELECT CAST((SELECT SUM(count) FROM ({_TOP})) AS BIGINT) AS total_declines,
+    f"""SELECT CAST((SELECT SUM(total_declines) FROM declines) AS BIGINT) AS total_declines,
       (SELECT replace(code, '_', ' ') FROM ({_TOP}) ORDER BY count DESC, code LIMIT 1) AS top_decline_code,
       (SELECT {js("ROUND(AVG(rate), 6)", 1)} FROM ({_SUCCESS})) AS avg_success_rate,
-      (SELECT {js("SUM(recovery_usd)", 2)} FROM ({_ADVISOR_20})) AS potential_recovery_usd,
-      (SELECT COUNT(*) FROM ({_ADVISOR_20}) WHERE probability >= 70) AS high_confidence_retry_count,
-      (SELECT COUNT(*) FROM ({_DISPUTES})) AS active_disputes_count,
-      (SELECT {js("SUM(amount_usd)", 2)} FROM ({_DISPUTES})) AS total_dispute_amount""",
+      (SELECT {js("SUM(CAST(recovery_usd AS DECIMAL(28, 2)))", 2)} FROM ({_ADVISOR})) AS potential_recovery_usd,
+      (SELECT COUNT(*) FROM ({_ADVISOR}) WHERE probability >= 70) AS high_confidence_retry_count,
+      (SELECT COUNT(*) FROM open_disputes) AS active_disputes_count,
+      (SELECT {js("SUM(CAST(amount_usd AS DECIMAL(28, 2)))", 2)} FROM open_disputes) AS total_dispute_amount""",
 )(
     lambda w: ops.ops_kpis(
-        ops.top_declines(marts.decline_analysis(w.ledger)),
+        ops.decline_counts(marts.decline_analysis(w.ledger)),
         ops.success_trend(rates(w)),
-        ops.retry_advisor(predictions(w)),
-        ops.dispute_list(disputes(w)),
+        ops.advisor_rows(predictions(w)),
+        disputes(w),
     )
 )
 

@@ -91,36 +91,36 @@ def revenue_report(ledger, customers, daily, products, budget=None):
         "kpis": revenue.revenue_kpis(products),
     }
     if budget is not None:
-        line = lambda name, column: F.struct(F.lit(name).alias("line_item"), F.col(column).alias("actual_usd"))
-        totals = summary.select(
-            F.inline(F.array(line("Gross Invoiced Revenue", "total_revenue_ttm"), line("COGS & Interchange Fees", "total_cogs")))
+        line = lambda name, column, category: F.struct(
+            F.lit(name).alias("line_item"), F.col(column).alias("actual_usd"), F.lit(category).alias("category")
         )
-        actuals = totals.unionByName(
-            departments.select(F.col("department").alias("line_item"), F.col("amount_usd").alias("actual_usd"))
+        gross = line("Gross Invoiced Revenue", "total_revenue_ttm", "Revenue")
+        costs = line("COGS & Interchange Fees", "total_cogs", "Direct Costs")
+        spent = departments.select(
+            F.col("department").alias("line_item"), F.col("amount_usd").alias("actual_usd"), F.lit("Operating Expenses").alias("category")
         )
+        actuals = summary.select(F.inline(F.array(gross, costs))).unionByName(spent)
         lines = revenue.budget_vs_actual(actuals, budget)
         sections |= {"budget_vs_actual": lines, "budget_totals": revenue.budget_opex_totals(lines)}
     return sections
 
 
 def ops_report(ledger, rates, predictions):
-    declines = ops.top_declines(marts.decline_analysis(ledger))
-    trend, advisor = ops.success_trend(rates), ops.retry_advisor(predictions)
+    analysis, trend = marts.decline_analysis(ledger), ops.success_trend(rates)
     open_disputes = marts.disputes(ledger)
-    listed = ops.dispute_list(open_disputes)
     monitoring = ops.transaction_monitoring(ledger)
     return {
         "success_trend": trend,
-        "declines": declines,
-        "retry_advisor": advisor,
-        "disputes": listed,
+        "declines": ops.top_declines(analysis),
+        "retry_advisor": ops.retry_advisor(predictions),
+        "disputes": ops.dispute_list(open_disputes),
         "transaction_monitoring": monitoring,
         "gateways": ops.gateway_metrics(ledger),
         "risk_counts": ops.risk_counts(ledger),
         "dispute_rate": ops.dispute_rate_bps(monitoring),
         "dispute_outcomes": ops.dispute_outcomes(open_disputes),
         "retry_summary": ops.retry_summary(predictions),
-        "kpis": ops.ops_kpis(declines, trend, advisor, listed),
+        "kpis": ops.ops_kpis(ops.decline_counts(analysis), trend, ops.advisor_rows(predictions), open_disputes),
     }
 
 

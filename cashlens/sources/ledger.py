@@ -71,17 +71,17 @@ def read_ledger(spark, path, start=None, end=None):
     if start is not None:
         df = df.filter(
             (F.col("occurred_date") >= F.lit(start).cast("date"))
-            & (_month_number() >= _literal_month(start))
+            & (month_number() >= _literal_month(start))
         )
     if end is not None:
         df = df.filter(
             (F.col("occurred_date") <= F.lit(end).cast("date"))
-            & (_month_number() <= _literal_month(end))
+            & (month_number() <= _literal_month(end))
         )
     return df
 
 
-def _month_number():
+def month_number():
     return F.col("occurred_year").cast("int") * 12 + F.col("occurred_month").cast("int")
 
 

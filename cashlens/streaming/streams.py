@@ -1,32 +1,38 @@
 """Structured Streaming forms of ingestion and live statistics."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..functions.money import count_when, or_zero, ratio, usd_sum
 from ..functions.rules import from_micros, wall_micros
 from ..operators.marts import settled
-from ..operators.merge import mark_removed, upsert_ledger_path, upsert_table
+from ..operators.merge import mark_removed, upsert_ledger_path, write_partitions
 from ..schema import BANK_WEBHOOK
 from ..sources.feeds import normalize_processor, removed_ids
-from ..sources.ledger import read_ledger
+from ..sources.ledger import month_number, read_ledger
 
 
 def _run(writer, trigger):
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_to_ledger(events, ledger_path, checkpoint, account_id="acct_main", trigger=None):
+def stream_to_ledger(events, ledger_path, checkpoint, account_id="acct_main", trigger=None, hourly=None, daily=None):
     """Event stream into the ledger.
 
     Every micro-batch is a keyed merge, so a repeated batch or event leaves the table as it was and
-    an event may come any time late. Within a batch the event created last wins.
+    an event may come any time late. Within a batch the event created last wins. ``hourly`` and
+    ``daily`` name tables of live statistics that follow the ledger.
     """
 
     def merge(batch, _batch_id):
+        spark = batch.sparkSession
         rows = normalize_processor(
             batch.withColumn("event_created", F.col("created")), account_id, keep=("event_created",)
         )
-        upsert_ledger_path(batch.sparkSession, ledger_path, rows, order_by=("event_created", "occurred_at"))
+        touched = upsert_ledger_path(spark, ledger_path, rows, order_by=("event_created", "occurred_at"))
+        if hourly or daily:
+            refresh_live(spark, ledger_path, rows.select("transaction_id"), touched, hourly, daily)
 
     return _run(events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint), trigger)
 
@@ -54,20 +60,19 @@ def removed_ids_stream(webhooks):
     return webhooks.filter(F.array_size("transactions_removed") > 0)
 
 
-def _timed(rows, delay):
-    """Rows with a watermark, which needs the event time as an instant."""
-    instant = F.timestamp_micros(wall_micros("occurred_at"))
-    return rows.withColumn("event_time", instant).withWatermark("event_time", delay)
+def _timed(rows):
+    """Rows with the event time as an instant, which time windows need."""
+    return rows.withColumn("event_time", F.timestamp_micros(wall_micros("occurred_at")))
 
 
 def _wall(instant):
     return from_micros(F.unix_micros(instant))
 
 
-def hourly_counts(rows, delay="7 days"):
+def hourly_counts(rows):
     """Counts by source and status over sliding hours, moving five minutes at a time."""
     return (
-        _timed(rows, delay)
+        _timed(rows)
         .groupBy(F.window("event_time", "1 hour", "5 minutes"), "source", "status")
         .agg(F.count(F.lit(1)).alias("transactions"))
         .select(
@@ -80,48 +85,57 @@ def hourly_counts(rows, delay="7 days"):
     )
 
 
-def daily_stats(rows, delay="7 days"):
-    """Count, volume and settled share per day; a late event within the delay revises its day."""
+def daily_stats(rows):
+    """Count, volume and settled share per day."""
     return (
-        _timed(rows, delay)
-        .groupBy(F.window("event_time", "1 day"))
+        rows.groupBy(F.to_date("occurred_at").alias("day"))
         .agg(
             F.count(F.lit(1)).alias("volume"),
             or_zero(usd_sum("amount")).alias("total_usd"),
             count_when(settled()).alias("succeeded"),
         )
-        .select(
-            F.to_date(_wall("window.start")).alias("day"),
-            "volume",
-            "total_usd",
-            ratio("succeeded", "volume").alias("success_rate"),
-        )
+        .select("day", "volume", "total_usd", ratio("succeeded", "volume").alias("success_rate"))
     )
 
 
-def stream_ledger(spark, path):
-    """The ledger's files as a stream."""
-    schema = read_ledger(spark, path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
+def refresh_live(spark, ledger_path, ids, touched=None, hourly=None, daily=None):
+    """Recompute the live statistics of the days on which the named transactions lie.
 
+    ``touched`` lists the months (year, month) that hold them; None looks through all. The list of
+    days is calendar-sized, and only their months are read. A day's statistics are replaced as a
+    whole, so a status that a transaction left disappears, and a repeated refresh changes nothing.
+    """
+    ledger = read_ledger(spark, ledger_path)
+    inside = ledger if touched is None else ledger.filter(_in_months(touched))
+    days = inside.join(ids.distinct(), "transaction_id", "left_semi").select("occurred_date").distinct()
+    days = {r[0] for r in days.collect() if r[0] is not None}
+    if not days:
+        return
+    if daily:
+        write_partitions(daily_stats(_on_days(ledger, days)), daily, ["day"])
+    if hourly:
+        # a window that starts on a day reaches into the next one, and a row lies in windows that start the day before
+        one = timedelta(days=1)
+        starts = days | {d - one for d in days}
+        counts = hourly_counts(_on_days(ledger, starts | {d + one for d in starts}))
+        counts = counts.withColumn("day", F.to_date("start")).filter(F.col("day").isin(sorted(starts)))
+        write_partitions(counts, hourly, ["day"])
 
-def stream_hourly_counts(rows, path, checkpoint, delay="7 days", trigger=None):
-    """Rolling hourly counts kept in a table by month."""
-    counts = hourly_counts(rows, delay).withColumn("month", F.date_format("start", "yyyy-MM"))
-    return _serve(counts, path, ["start", "source", "status"], checkpoint, trigger)
 
+def _in_months(months):
+    numbers = sorted({int(year) * 12 + int(month) for year, month in months})
+    return month_number().isin(numbers)
 
-def stream_daily_stats(rows, path, checkpoint, delay="7 days", trigger=None):
-    """Daily statistics kept in a table by month."""
-    stats = daily_stats(rows, delay).withColumn("month", F.date_format("day", "yyyy-MM"))
-    return _serve(stats, path, ["day"], checkpoint, trigger)
 
+def _on_days(ledger, days):
+    return ledger.filter(_in_months({(d.year, d.month) for d in days}) & F.col("occurred_date").isin(sorted(days)))
 
-def _serve(result, path, keys, checkpoint, trigger):
-    """Changed result rows replace their old values in the served table."""
 
-    def merge(batch, _batch_id):
-        upsert_table(batch.sparkSession, path, batch, keys, ["month"], order_by=())
+def stream_hourly_counts(events, ledger_path, path, checkpoint, account_id="acct_main", trigger=None):
+    """Event stream into the ledger and the rolling hourly counts of its transactions."""
+    return stream_to_ledger(events, ledger_path, checkpoint, account_id, trigger, hourly=path)
+
 
-    writer = result.writeStream.outputMode("update").foreachBatch(merge)
-    return _run(writer.option("checkpointLocation", checkpoint), trigger)
+def stream_daily_stats(events, ledger_path, path, checkpoint, account_id="acct_main", trigger=None):
+    """Event stream into the ledger and the daily statistics of its transactions."""
+    return stream_to_ledger(events, ledger_path, checkpoint, account_id, trigger, daily=path)

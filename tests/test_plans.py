@@ -5,10 +5,11 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from cashlens.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 ACTIONS = {
-    "fit_quantiles", "feature_importance", "forecast_cash", "classifier_metrics", "fit_retry", "score_declines",
+    "fit_quantiles", "feature_importance", "forecast_cash", "fit_retry", "score_declines",
     "stream_to_ledger", "stream_removals", "stream_hourly_counts", "stream_daily_stats", "upsert_ledger_path",
 }
 
@@ -24,7 +25,7 @@ def test_no_cross_joins_and_no_unchecked_broadcasts(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for name, run in entry.queries().items():
+        for name, run in QUERIES.items():
             if name in ACTIONS:
                 continue
             text = plan(run(spark, SF))
@@ -42,7 +43,7 @@ def columns_read(df):
 
 
 def test_scans_read_what_they_need(spark):
-    queries = entry.queries()
+    queries = QUERIES
     assert columns_read(queries["daily_cash_position"](spark, SF)) == [
         "posted_date:date,status:string,fx_rate:double,net_amount:bigint,basis:string"
     ]
@@ -59,8 +60,8 @@ def test_date_ranges_prune_months(spark, name):
 
 
 def test_every_query_is_named_once():
-    names, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) <= set(names) and len(names) >= 150
+    names, oracles = QUERIES, ORACLES
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(names) <= set(entry.queries()) and len(names) >= 150
     without = set(names) - set(oracles)
     assert without == ACTIONS - {
         "stream_to_ledger", "stream_removals", "stream_hourly_counts", "stream_daily_stats", "upsert_ledger_path",

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cashlens.functions.labels import label, short_id
-from cashlens.operators import cashflow, executive, filters, ops, receivables, revenue
+from cashlens.functions import money
+from cashlens.operators import cashflow, executive, filters, models, ops, receivables, revenue
 
 MONTHS = [
     ("2024-01-01", "subscriptions", 10000.0, 9700.0),
@@ -165,3 +166,59 @@ def test_labels(spark):
 def test_short_id(spark):
     df = spark.createDataFrame([("txn_demo_82937402948271",), ("txn_12345",), ("",), (None,)], "id string")
     assert [r[0] for r in df.select(short_id("id")).collect()] == ["txn_demo…948271", "txn_12345", "—", "—"]
+
+
+def test_nothing_falls_outside_the_lists(spark):
+    rows = spark.createDataFrame(
+        [("2024-01-01", "ecommerce", 5.0), ("2024-01-01", "new line", 2.0), ("2024-01-01", None, 1.0)],
+        "month string, product_line string, revenue_usd double",
+    )
+    row = revenue.product_month_pivot(rows).first()
+    assert row["ecommerce"] == 5.0 and row["other"] == 3.0
+    trend = spark.createDataFrame([("2024-01-01", "stripe", 90.0), ("2024-01-01", "manual", 80.0)], "date string, source string, rate double")
+    row = ops.success_pivot(trend).first()
+    assert row["stripe"] == 90.0 and row["other"] == 80.0
+
+
+def test_budget_keeps_lines_of_both_sides(spark):
+    budget = spark.createDataFrame([("A", "Operating Expenses", 10.0), ("B", "Operating Expenses", 5.0)], "line_item string, category string, budget_usd double")
+    actual = spark.createDataFrame([("A", 8.0, "Operating Expenses"), ("C", 3.0, "Operating Expenses")], "line_item string, actual_usd double, category string")
+    lines = revenue.budget_vs_actual(actual, budget)
+    got = {r.line_item: (r.actual_usd, r.budget_usd, r.category) for r in lines.collect()}
+    opex = "Operating Expenses"
+    assert got == {"A": (8.0, 10.0, opex), "B": (0.0, 5.0, opex), "C": (3.0, 0.0, opex)}
+    assert tuple(revenue.budget_opex_totals(lines).first())[:2] == (11.0, 15.0)
+    plain = {r.line_item: r.category for r in revenue.budget_vs_actual(actual.drop("category"), budget).collect()}
+    assert plain == {"A": opex, "B": opex, "C": "Unbudgeted"}
+
+
+def test_a_month_without_net_stays_at_zero(spark):
+    rows = spark.createDataFrame([("2024-01-01", 100.0, 0.0), ("2024-02-01", 100.0, None)], "month string, revenue_usd double, net_revenue_usd double")
+    got = revenue.performance_trends(rows.withColumn("month", F.col("month").cast("date"))).collect()
+    assert [r.cogs for r in got] == [100.0, 100.0]
+
+
+def test_large_and_small_exchange_rates(spark):
+    rows = spark.createDataFrame([(100, 60_000.0), (1_000_000_000_00, 0.000000061), (250, 1.0)], "amount long, fx_rate double")
+    assert rows.agg(money.usd_sum("amount")).first()[0] == 60_000.0 + 61.0 + 2.5
+    one = rows.filter("fx_rate < 1").select((F.lit(1_000_000_000).cast("long")).alias("amount"), "fx_rate")
+    assert one.agg(money.cents_sum("amount")).first()[0] == 61
+
+
+def test_classifier_metrics_are_exact(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(round(rng.random(), 3), int(rng.random() < 0.3)) for _ in range(3000)]
+    got = models.classifier_metrics(spark.createDataFrame(rows, "probability double, target int")).first()
+    pos, neg = [p for p, y in rows if y], [p for p, y in rows if not y]
+    roc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    precision = 0.0
+    for p in {p for p, _ in rows}:
+        there = sum(y for q, y in rows if q == p)
+        precision += there / len(pos) * sum(y for q, y in rows if q >= p) / sum(q >= p for q, _ in rows)
+    hit = sum(p >= 0.5 for p in pos)
+    told = sum(p >= 0.5 for p, _ in rows)
+    assert got.roc_auc == pytest.approx(roc) and got.pr_auc == pytest.approx(precision, abs=1e-6)
+    assert (got.precision_1, got.recall_1, got.support_1) == (hit / told, hit / len(pos), len(pos))
+    assert got.f1_1 == pytest.approx(2 * hit / (told + len(pos))) and got.support_0 == len(neg)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cashlens.operators import merge
 from cashlens.schema import PROCESSOR_EVENT
+from cashlens.session import shared_dir
 from cashlens.sources import feeds
 from cashlens.sources.ledger import read_ledger, write_ledger
 from cashlens.streaming import streams
@@ -90,20 +91,26 @@ def test_stream_removals(spark, new_dir):
     assert {k for k, v in got.items() if v == "removed"} == {"plaid_b1", "plaid_b2"} and len(got) == 6
 
 
-def _normalized(spark, landed, **options):
-    return feeds.normalize_processor(feeds.stream_processor_events(spark, landed, **options), "acct")
-
-
-def test_live_streams_match_batch(spark, landed, new_dir):
-    """With a delay longer than the spread, several micro-batches revise windows to the batch result."""
-    batch = feeds.normalize_processor(spark.read.schema(PROCESSOR_EVENT).json(landed), "acct")
+def test_live_streams_follow_the_ledger(spark, landed, new_dir):
+    """With default arguments and a file per batch: repeated, recovered and 30-day-late events give the batch result."""
     for start, pick in ((streams.stream_hourly_counts, streams.hourly_counts), (streams.stream_daily_stats, streams.daily_stats)):
-        path = new_dir(start.__name__)
-        rows = _normalized(spark, landed, maxFilesPerTrigger=2)
-        start(rows, path, new_dir(f"{start.__name__}-ckpt"), delay="100 days").awaitTermination()
-        got = spark.read.parquet(path).drop("month")
-        want = pick(batch).select(got.columns)
+        path, ledger = new_dir(start.__name__), new_dir(f"{start.__name__}-ledger")
+        events = feeds.stream_processor_events(spark, landed, maxFilesPerTrigger=1)
+        start(events, ledger, path, new_dir(f"{start.__name__}-ckpt")).awaitTermination()
+        want = pick(read_ledger(spark, ledger))
+        got = spark.read.parquet(path).select(want.columns)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert read_ledger(spark, ledger).count() == 13
+    volumes = {str(r.day): r.volume for r in spark.read.parquet(new_dir("stream_daily_stats")).collect()}
+    assert sum(volumes.values()) == 13 and volumes["2023-10-15"] == 1
+
+
+def test_merges_leave_no_staging(spark, landed, new_dir):
+    shared = shared_dir(spark).removeprefix("file://")
+    before = {x for x in os.listdir(shared) if x.startswith("cashlens-merge-")}
+    events = feeds.stream_processor_events(spark, landed, maxFilesPerTrigger=1)
+    streams.stream_to_ledger(events, new_dir("clean"), new_dir("clean-ckpt")).awaitTermination()
+    assert {x for x in os.listdir(shared) if x.startswith("cashlens-merge-")} <= before
 
 
 def test_copied_tables(spark):
