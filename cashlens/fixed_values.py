@@ -17,7 +17,6 @@ ACCOUNT_CODES = {
     "ecommerce": "4300-revenue",
     "platform_fees": "4400-revenue",
 }
-RISK_LEVELS = ["normal", "elevated", "highest"]
 DISPUTE_STATUSES = ["warning_needs_response", "warning_under_review", "won", "lost"]
 DECLINE_CODES = [
     "insufficient_funds",

@@ -56,8 +56,8 @@ def health(ledger, customers, merchants, forecast, as_of):
     }
 
 
-def train_forecast(spark, ledger_path, model_path, as_of, version, days=365):
-    """Fit and save the cash forecast; returns the fitted model and its registry row."""
+def train_forecast(spark, ledger_path, model_path, as_of, version, days=365, registry_path=None):
+    """Fit and save the cash forecast, register it; returns the fitted model and its registry row."""
     frame = models.training_frame(read_ledger(spark, ledger_path), as_of, days)
     fitted = models.fit_quantiles(frame)
     details = json.dumps({**fitted.metrics, "low": fitted.low, "high": fitted.high})
@@ -65,18 +65,24 @@ def train_forecast(spark, ledger_path, model_path, as_of, version, days=365):
     row = models.save_model(
         spark, fitted.model, model_path, "cash_forecast", version, fitted.columns, models.FLOW_TARGET, details, trained
     )
-    return fitted, row
+    models.save_forecast(spark, fitted, model_path)
+    return fitted, models.registered(row, registry_path) if registry_path else row
 
 
 def predict_cash(spark, fitted, ledger_path, forecast_path, as_of, version, horizon=91):
-    """Forecast rows from the newest day, merged into the forecast table by date pair."""
+    """Forecast rows from the newest day, merged into the forecast table by date pair.
+
+    ``fitted`` is a forecast or the path of a saved one.
+    """
+    if isinstance(fitted, str):
+        fitted = models.load_forecast(spark, fitted)
     ledger = read_ledger(spark, ledger_path)
     daily = written(marts.daily_cash_position(ledger), "daily")
     rows = models.forecast_cash(fitted, ledger, daily, horizon, as_of, version)
     upsert_table(spark, forecast_path, rows, ["forecast_date", "prediction_date"], ["forecast_date"], order_by=())
 
 
-def train_and_score_retries(spark, ledger_path, predictions_path, model_path, as_of, version, n=100, days=180):
+def train_and_score_retries(spark, ledger_path, predictions_path, model_path, as_of, version, n=100, days=180, registry_path=None):
     """Fit and save the retry model, then score the latest declines into the prediction table."""
     ledger = read_ledger(spark, ledger_path)
     model, held = models.fit_retry(models.retry_frame(ledger, as_of, days))
@@ -85,6 +91,8 @@ def train_and_score_retries(spark, ledger_path, predictions_path, model_path, as
     row = models.save_model(
         spark, model, model_path, "decline_retry", version, models.FEATURES, "target", metrics, trained
     )
-    scored = models.score_declines(model, ledger, as_of, n, version)
-    upsert_table(spark, predictions_path, scored, ["transaction_id"], ["decline_code"], order_by=("scored_at",))
-    return row
+    scored = models.score_declines(model, ledger, as_of, n, version, keep=("occurred_at",))
+    # the month of the decline never changes for a transaction, and a run touches the latest months only
+    scored = scored.withColumn("decline_month", F.date_format("occurred_at", "yyyy-MM")).drop("occurred_at")
+    upsert_table(spark, predictions_path, scored, ["transaction_id"], ["decline_month"], order_by=("scored_at",))
+    return models.registered(row, registry_path) if registry_path else row

@@ -1,5 +1,7 @@
 """Model fits on Spark ML (M8, M10, M21, M22, M24) and their registry rows."""
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -58,7 +60,7 @@ def fit_quantiles(frame, validation_rows=30, calibration=0.2, max_iter=30):
 
     The median is a boosted-tree fit of the absolute error. The outer quantiles are the median plus
     the 10th and 90th percentile of its residuals on the last part of the training rows, which
-    the fit does not see. The newest rows validate.
+    the fit does not see. The newest rows validate, and boosting stops when they no longer gain.
     """
     columns = feature_columns(frame)
     split = time_split(written(frame, "forecast-training"), "posted_date", last=validation_rows)
@@ -67,10 +69,12 @@ def fit_quantiles(frame, validation_rows=30, calibration=0.2, max_iter=30):
     stages = [
         VectorAssembler(inputCols=columns, outputCol="features"),
         GBTRegressor(
-            labelCol=FLOW_TARGET, lossType="absolute", maxIter=max_iter, maxDepth=4, stepSize=0.1, seed=SEED
+            labelCol=FLOW_TARGET, lossType="absolute", maxIter=max_iter, maxDepth=4, stepSize=0.1, seed=SEED,
+            validationIndicatorCol="stops",
         ),
     ]
-    model = Pipeline(stages=stages).fit(parts.filter(F.col("split") == "train"))
+    seen = parts.filter(F.col("split") == "train").withColumn("stops", F.lit(False))
+    model = Pipeline(stages=stages).fit(seen.unionByName(held.withColumn("stops", F.lit(True))))
     residual = F.col(FLOW_TARGET) - F.col("prediction")
     low, high = (
         model.transform(parts.filter(F.col("split") == "validate"))
@@ -115,15 +119,20 @@ def retry_frame(ledger, as_of, days=180):
 
 
 def fit_retry(frame, max_iter=20):
-    """Class-weighted boosted trees for success within seven days; the last fifth validates."""
+    """Class-weighted boosted trees for success within seven days; the last fifth validates and ends the boosting."""
     split = time_split(frame, "occurred_at", "transaction_id", frac=0.8)
     train = split.filter(F.col("split") == "train")
     counts = train.agg(count_when(F.col("target") == 0).alias("neg"), count_when(F.col("target") == 1).alias("pos")).first()
     weight = counts["neg"] / max(counts["pos"], 1)
-    weighted = train.withColumn("weight", F.when(F.col("target") == 1, F.lit(float(weight))).otherwise(1.0))
+    weighted = split.withColumns(
+        {
+            "weight": F.when(F.col("target") == 1, F.lit(float(weight))).otherwise(1.0),
+            "stops": F.col("split") == "validate",
+        }
+    )
     stages = [
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
-        GBTClassifier(labelCol="target", weightCol="weight", maxIter=max_iter, maxDepth=4, stepSize=0.1, seed=SEED),
+        GBTClassifier(labelCol="target", weightCol="weight", maxIter=max_iter, maxDepth=4, stepSize=0.1, seed=SEED, validationIndicatorCol="stops"),
     ]
     model = Pipeline(stages=stages).fit(weighted)
     return model, with_probability(model, split.filter(F.col("split") == "validate"))
@@ -174,9 +183,9 @@ def classifier_metrics(scored, label="target"):
     )
 
 
-def score_declines(model, ledger, scored_at, n=100, version="v1"):
+def score_declines(model, ledger, scored_at, n=100, version="v1", keep=()):
     """Recommendations for the n latest declines."""
-    return recommend(with_probability(model, scoring_rows(ledger, n)), scored_at, version)
+    return recommend(with_probability(model, scoring_rows(ledger, n)), scored_at, version, keep)
 
 
 def save_model(spark, model, path, name, version, columns, target, metrics_json, trained_at):
@@ -188,3 +197,23 @@ def save_model(spark, model, path, name, version, columns, target, metrics_json,
 
 def load_model(path):
     return PipelineModel.load(path)
+
+
+def save_forecast(spark, fitted, path):
+    """Save all that a forecast needs: the pipeline, and beside it columns, offsets and metrics."""
+    fitted.model.write().overwrite().save(path)
+    row = [(list(fitted.columns), float(fitted.low), float(fitted.high), json.dumps(fitted.metrics))]
+    rows = spark.createDataFrame(row, "columns array<string>, low double, high double, metrics_json string")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/quantiles")
+
+
+def load_forecast(spark, path):
+    """The forecast that ``save_forecast`` saved, in any session."""
+    row = spark.read.parquet(f"{path}/quantiles").first()
+    return QuantileForecast(load_model(path), row["columns"], row["low"], row["high"], json.loads(row["metrics_json"]))
+
+
+def registered(row, registry_path):
+    """Append a registry row to the registry's table."""
+    row.coalesce(1).write.mode("append").parquet(registry_path)
+    return row

@@ -35,46 +35,32 @@ def retry_outcomes(declined, ledger):
     """What the same customer's payments did in the seven days after each decline.
 
     The span (t, t + 7 d] is cut at day borders: the rest of the first day, six whole days, and
-    the start of the eighth. Payments are first counted per customer and instant, then placed
-    in the days that need them, so that a window holds one customer's two days of instants and
-    six day totals, not the customer's whole history. Days without a decline are left out early.
+    the start of the eighth. The days with declines name the eight days they need, and payments
+    meet these in one join, so that each crosses the network once and those far from any decline
+    go no further. What the whole days hold shrinks to totals; a window holds one customer's two
+    days of instants and the totals, not the customer's whole history.
     """
-    attempts = (
-        ledger.filter(revenue_type() & F.col("customer_id").isNotNull())
-        .groupBy("customer_id", "occurred_at")
-        .agg(count_when(settled()).alias("good"), count_when(F.col("status") == "failed").alias("bad"))
-    )
-    day, at = F.to_date("occurred_at"), F.col("occurred_at")
-    offset = day_micros("occurred_at")
-    first_good = F.when(F.col("good") > 0, at)
-    sums = lambda *cols: [F.sum(c).alias(c) for c in cols]
-
-    same_day = attempts.select(
-        "customer_id", day.alias("day"), offset.alias("offset"),
-        F.col("good").alias("own_good"), F.col("bad").alias("own_bad"), first_good.alias("own_at"),
-    )
-    last_day = attempts.select(
-        "customer_id", F.date_sub(day, WINDOW_DAYS).alias("day"), offset.alias("offset"),
-        F.col("good").alias("tail_good"), F.col("bad").alias("tail_bad"), first_good.alias("tail_at"),
-    )
-    whole_days = (
-        attempts.groupBy("customer_id", day.alias("on"))
-        .agg(*sums("good", "bad"), F.min(first_good).alias("at"))
-        .select(
-            "customer_id",
-            F.explode(F.transform(F.sequence(F.lit(1), F.lit(WINDOW_DAYS - 1)), lambda k: F.date_sub("on", k))).alias("day"),
-            F.lit(-1).cast("long").alias("offset"),
-            F.col("good").alias("mid_good"), F.col("bad").alias("mid_bad"), F.col("at").alias("mid_at"),
-        )
-    )
+    day, offset = F.to_date("occurred_at"), day_micros("occurred_at")
     asked = declined.filter(F.col("customer_id").isNotNull()).select(
         "transaction_id", "customer_id", day.alias("day"), offset.alias("offset")
     )
-    seen = same_day.unionByName(last_day, allowMissingColumns=True).unionByName(
-        whole_days, allowMissingColumns=True
+    needed = asked.select("customer_id", "day").distinct().select(
+        "customer_id", "day", F.explode(F.sequence(F.lit(0), F.lit(WINDOW_DAYS))).alias("later")
+    )
+    payments = ledger.filter(revenue_type() & F.col("customer_id").isNotNull()).select(
+        "customer_id", day.alias("on"), offset.alias("offset"), "occurred_at",
+        settled().cast("int").alias("good"), (F.col("status") == "failed").cast("int").alias("bad"),
+    )
+    near = payments.join(needed.withColumn("on", F.date_add("day", "later")), ["customer_id", "on"])
+    later = F.col("later")
+    parts = {"own": later == 0, "tail": later == WINDOW_DAYS, "mid": later.between(1, WINDOW_DAYS - 1)}
+    seen = near.groupBy(
+        "customer_id", "day", F.when(parts["mid"], F.lit(-1).cast("long")).otherwise(F.col("offset")).alias("offset")
+    ).agg(
+        *[F.sum(F.when(is_, F.col(kind))).alias(f"{part}_{kind}") for part, is_ in parts.items() for kind in ("good", "bad")],
+        *[F.min(F.when(is_ & (F.col("good") > 0), F.col("occurred_at"))).alias(f"{part}_at") for part, is_ in parts.items()],
     )
-    cells = asked.select("customer_id", "day").distinct()
-    rows = asked.unionByName(seen.join(cells, ["customer_id", "day"], "left_semi"), allowMissingColumns=True)
+    rows = asked.unionByName(seen, allowMissingColumns=True)
 
     cell = Window.partitionBy("customer_id", "day")
     after = cell.orderBy("offset").rangeBetween(1, Window.unboundedFollowing)
@@ -246,8 +232,8 @@ def scoring_rows(ledger, n=100):
     return retry_features(encode_ordinals(rows), mode="scoring")
 
 
-def recommend(scored, scored_at, version="v1"):
-    """Prediction rows from scored declines (column ``probability``)."""
+def recommend(scored, scored_at, version="v1", keep=()):
+    """Prediction rows from scored declines (column ``probability``); ``keep`` names further columns to carry."""
     at = F.lit(str(scored_at)).cast("timestamp_ntz")
     p = F.col("probability")
     action, retry_at = retry_action(p, at)
@@ -266,4 +252,5 @@ def recommend(scored, scored_at, version="v1"):
         round_half_up(p * or_zero("amount_usd"), 2).alias("expected_recovery_usd"),
         F.lit(version).alias("model_version"),
         at.alias("scored_at"),
+        *keep,
     )

@@ -57,6 +57,12 @@ def test_forecast_job(spark, w, ledger_path, new_dir):
     flow = rows[0].p50_net_flow_usd
     assert rows[90].p50_cumulative_cash_usd == pytest.approx(rows[0].starting_cash_usd + 91 * flow)
     assert models.load_model(new_dir("model")).stages[-1].getNumTrees > 0
+    # a saved forecast gives the same rows in another session, and its registry row is kept
+    again = new_dir("forecast-again")
+    jobs.predict_cash(spark.newSession(), new_dir("model"), ledger_path, again, w.as_of, "v2")
+    assert sorted(map(str, spark.read.parquet(again).collect())) == sorted(map(str, spark.read.parquet(path).collect()))
+    models.registered(row, new_dir("registry"))
+    assert spark.read.parquet(new_dir("registry")).first().version == "v1"
 
 
 def test_retry_job(spark, w, ledger_path, new_dir):
