@@ -91,7 +91,7 @@ def _queued(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights=WEIGHTS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, offset.
+    """One row per document: doc_id, size, source_size, target, taken, source, offset.
 
     taken: words the mix takes of the document, repeats counted, at most `most` times its size. offset: words
     of the mix before the document's first one; null if nothing is taken.
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights=WEIGHTS) ->
         & (F.col("place") == F.col("t_place"))
     )
     return queued.join(taken, same, "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "offset"
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "offset"
     )
 
 
