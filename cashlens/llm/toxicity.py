@@ -147,10 +147,8 @@ def dictionaries(rows: DataFrame) -> ToxicityModel:
         .orderBy(F.desc("odds"), F.desc("toxic"), "beginning").limit(MOST_MARKS).collect()
     )
     marks = marking({r["beginning"]: (r["toxic"], r["ordinary"]) for r in found}, sizes.get(1, 0), sizes.get(0, 0))
-    samples = [
-        bytes(r[0]) for r in rows.where("label = 0").select("text").mapInPandas(cut, "window binary")
-        .orderBy(F.xxhash64("window"), "window").limit(TRAINING_WINDOWS).collect()
-    ]
+    ordinary_windows = written(rows.where("label = 0").select("text").mapInPandas(cut, "window binary"), "toxic-windows")
+    samples = sorted(bytes(r[0]) for r in bounded_sample(ordinary_windows, TRAINING_WINDOWS, "window").collect())
     try:
         ordinary = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few windows to train on: they are the dictionary
