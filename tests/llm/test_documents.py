@@ -309,6 +309,16 @@ def test_classifiers_on_odd_rows(spark, odd, labels, operator, column):
     assert operator.contract(odd, unknown).count() == len(ODD)
 
 
+def test_most_frequent_word_is_counted_over_the_whole_text():
+    at = quality.STATISTICS.index("top_word")
+    rng = random.Random(6)
+    texts = ["a b c d e f g h x x x x x", " ".join("top" if i % 8 == 5 else f"w{i}" for i in range(800)), "", " \n"]
+    texts += [" ".join(rng.choices("abcdefghij", weights=range(1, 11), k=n)) for n in (1, 7, 9, 15, 17, 23, 500)]
+    for text in texts:
+        words = text.split()
+        assert quality.statistics(text)[at] == max(map(words.count, words), default=0) / max(len(words), 1), text
+
+
 def test_isotonic_curve_rises():
     x, y, n = np.arange(6.0), np.array([0.1, 0.3, 0.2, 0.6, 0.5, 0.9]), np.ones(6)
     place, value = quality.isotonic(x, y, n)
