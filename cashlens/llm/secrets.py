@@ -39,8 +39,6 @@ SENSITIVE = {
 #: Least product of the name's and the literal's score.
 LEAST_SCORE = 0.45
 LEAST_CHARS = 8
-#: Times that a constant is handed from name to name.
-STEPS = 8
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*+(?:[.-][A-Za-z_][A-Za-z0-9_]*+)*+"
 # one operand: a quoted literal, a bare literal or a name
@@ -112,10 +110,8 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
         if not weight:
             continue
         reached, front = {name}, {name}
-        for _ in range(STEPS):
+        while front:
             front = {t for n in front for t in takes.get(n, ())} - reached
-            if not front:
-                break
             reached |= front
         spans |= {s for n in reached for s in holds.get(n, ()) if weight * literal_score(text[s[0] : s[1]]) >= LEAST_SCORE}
     return [(start, end, "lexed") for start, end in spans]

@@ -257,6 +257,13 @@ def test_lexer_follows_names_and_ignores_ordinary_ones():
     assert all(s == (0, 0, 0) for s in []) and secrets.name_score("colour") == 0
 
 
+def test_constants_are_handed_on_through_any_number_of_names():
+    chain = "n0 = 'f9Kx82mQz71LpWc4'\n" + "".join(f"n{i} = n{i - 1}\n" for i in range(1, 20))
+    assert [(s, e) for s, e, _ in secrets.lexed_spans(chain + "my_password = n19\n")] == [(6, 22)]
+    cycle = "a = b\nb = c\nc = a\nb = 'f9Kx82mQz71LpWc4'\ntoken = a\n"
+    assert [cycle[s:e] for s, e, _ in secrets.lexed_spans(cycle)] == ["f9Kx82mQz71LpWc4"]
+
+
 def test_redaction(spark, odd):
     frame = spark.createDataFrame([(1, "a token = 'abcdef123' b", 9), (2, None, 0), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redacted(frame).collect()}
