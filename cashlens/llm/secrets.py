@@ -3,7 +3,8 @@
 Source and configuration syntax is lexed into name-literal pairs: `name = "literal"`, `name: literal`,
 `"name": "literal"`, `name := other_name`, `a = b + "tail"`. Names carry their literals forward, so a literal
 that reaches a sensitive name through other names counts as well; its own span is reported. A literal's score
-combines how sensitive the name is and how random the literal looks.
+combines how sensitive the name is and how random the literal looks. Operands that are joined are scored as one
+value as well, and all of its pieces are reported.
 
 Defined results: a null text counts as the empty one; overlapping finds of the lexer and of the fixed patterns
 are all kept, a lexed literal only where no base span covers it; repeated rows are scanned one by one; an empty
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
@@ -39,6 +41,8 @@ SENSITIVE = {
 #: Least product of the name's and the literal's score.
 LEAST_SCORE = 0.45
 LEAST_CHARS = 8
+#: From this name's score on, literals may hold white space.
+HIGHLY_SENSITIVE = 0.9
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*+(?:[.-][A-Za-z_][A-Za-z0-9_]*+)*+"
 # one operand: a quoted literal, a bare literal or a name
@@ -83,17 +87,79 @@ def name_score(name: str) -> float:
     return 1 - left
 
 
-def literal_score(value: str) -> float:
-    """How random a literal looks: its entropy a character, and whether it mixes kinds of characters."""
-    if len(value) < LEAST_CHARS or any(c.isspace() for c in value):
+def literal_score(value: str | Counter, blanks: bool = False) -> float:
+    """How random a literal looks: its entropy a character, and whether it mixes kinds of characters.
+
+    A literal with white space scores only where `blanks` allows it.
+    """
+    counts = Counter(value)
+    n = sum(counts.values())
+    if n < LEAST_CHARS or (not blanks and any(map(str.isspace, counts))):
         return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    kinds = sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search("[^A-Za-z0-9]", value))))
+    entropy = -sum(x / n * math.log2(x / n) for x in counts.values())
+    every = "".join(counts)
+    kinds = sum(map(bool, (re.search("[a-z]", every), re.search("[A-Z]", every), re.search("[0-9]", every), re.search("[^A-Za-z0-9]", every))))
     return min(1.0, entropy / 3.5) * (0.4, 0.4, 0.8, 0.95, 1.0)[kinds]
 
 
+def _closure(front: set[str], takes: dict[str, set[str]], reached: set[str]) -> set[str]:
+    """Names from which constants flow into `front`, itself included, that were not reached before; adds them."""
+    new = set()
+    while front := front - reached:
+        reached |= front
+        new |= front
+        front = {t for n in front for t in takes.get(n, ())}
+    return new
+
+
+class _Joined:
+    """Characters of the value of each assignment, with names replaced by what they hold there.
+
+    A name stands for its latest assignment above, or its first one where there is none above; a name that hangs
+    on itself adds nothing.
+    """
+
+    def __init__(self, text: str, found: list):
+        self.text, self.found, self.known = text, found, {}
+        self.lines: dict[str, list[int]] = {}
+        for i, (name, _) in enumerate(found):
+            self.lines.setdefault(name, []).append(i)
+
+    def operands(self, i: int) -> list:
+        """Assignments for the operands that are names, and literals for the others."""
+        out = []
+        for start, end, quoted in self.found[i][1]:
+            value = self.text[start:end]
+            lines = self.lines.get(value) if not quoted else None
+            out.append(value if lines is None else lines[max(0, bisect_left(lines, i) - 1)])
+        return out
+
+    def value(self, i: int) -> Counter:
+        waiting, opened = [i], set()
+        while waiting:
+            at = waiting[-1]
+            if at in self.known:
+                waiting.pop()
+                continue
+            parts = self.operands(at)
+            ahead = [p for p in parts if not isinstance(p, str) and p not in self.known and p not in opened]
+            if at not in opened and ahead:
+                opened.add(at)
+                waiting += ahead
+                continue
+            total = Counter()
+            for p in parts:
+                total.update(p if isinstance(p, str) else self.known.get(p, ()))
+            self.known[at] = total
+            waiting.pop()
+        return self.known[i]
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans of literals that reach a sensitive name, directly or through names assigned before or after it."""
+    """Spans of literals that reach a sensitive name, directly or through names assigned before or after it.
+
+    Joined literals count alone and as the joined value; where that scores, all that flows into it is reported.
+    """
     holds: dict[str, set[tuple[int, int]]] = {}
     takes: dict[str, set[str]] = {}
     found = pairs(text)
@@ -104,16 +170,23 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
                 takes.setdefault(name, set()).add(text[start:end])
             else:
                 holds.setdefault(name, set()).add((start, end))
-    spans = set()
-    for name in names:
-        weight = name_score(name)
+    # the most sensitive name that each name's constants reach decides
+    weights, reached = {}, set()
+    for weight, name in sorted(((name_score(n), n) for n in names), reverse=True):
         if not weight:
-            continue
-        reached, front = {name}, {name}
-        while front:
-            front = {t for n in front for t in takes.get(n, ())} - reached
-            reached |= front
-        spans |= {s for n in reached for s in holds.get(n, ()) if weight * literal_score(text[s[0] : s[1]]) >= LEAST_SCORE}
+            break
+        weights |= dict.fromkeys(_closure({name}, takes, reached), weight)
+
+    def scores(weight: float, value: str | Counter) -> bool:
+        return weight * literal_score(value, weight >= HIGHLY_SENSITIVE) >= LEAST_SCORE
+
+    spans = {s for n, weight in weights.items() for s in holds.get(n, ()) if scores(weight, text[s[0] : s[1]])}
+    joined, whole = _Joined(text, found), set()
+    for i, (name, operands) in enumerate(found):
+        if len(operands) > 1 and name in weights and scores(weights[name], joined.value(i)):
+            spans |= {(s, e) for s, e, quoted in operands if quoted or text[s:e] not in names}
+            for n in _closure({text[s:e] for s, e, quoted in operands if not quoted and text[s:e] in names}, takes, whole):
+                spans |= holds.get(n, set())
     return [(start, end, "lexed") for start, end in spans]
 
 

@@ -257,6 +257,23 @@ def test_lexer_follows_names_and_ignores_ordinary_ones():
     assert all(s == (0, 0, 0) for s in []) and secrets.name_score("colour") == 0
 
 
+def lexed(text):
+    return sorted(text[s:e] for s, e, _ in secrets.lexed_spans(text))
+
+
+def test_lexer_takes_literals_with_blanks_and_joined_ones_whole(spark):
+    assert lexed('password = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert lexed("passwd: 'my own dog Rex 12'") == ["my own dog Rex 12"]
+    assert not lexed('client_name = "correct horse battery staple"') and not lexed("password = see the manual")
+    pieces = ["9Kq2", "Lm7z", "aB3x"]
+    assert lexed('token = "aB3x" + "9Kq2" + "Lm7z"') == pieces
+    assert lexed('a = "aB3x"\nb = a + "9Kq2"\ntoken = b + c\nc = "Lm7z"') == pieces
+    assert lexed('token = "aB3x"\ntoken = token + "9Kq2"\ntoken = token + "Lm7z"') == pieces
+    assert not lexed('colour = "aB3x" + "9Kq2" + "Lm7z"')
+    frame = spark.createDataFrame([(1, 'password = "correct horse battery staple" # end')], "doc_id long, text string")
+    assert secrets.redacted(frame).first().text == '[SECRET]" # end'
+
+
 def test_constants_are_handed_on_through_any_number_of_names():
     chain = "n0 = 'f9Kx82mQz71LpWc4'\n" + "".join(f"n{i} = n{i - 1}\n" for i in range(1, 20))
     assert [(s, e) for s, e, _ in secrets.lexed_spans(chain + "my_password = n19\n")] == [(6, 22)]
