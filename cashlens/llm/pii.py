@@ -6,8 +6,9 @@ pattern is as good as the share of its occurrences that stand before good instan
 its patterns leave no doubt. Instances before a pattern of high confidence that enough seeds support are added
 as spans of kind "context".
 
-Occurrences of a pattern are counted in the whole text of each document in which it precedes an instance, so
-that ordinary words, which stand before anything, never become patterns.
+Occurrences of a candidate pattern are counted at every place of all documents in a second pass, so that ordinary
+words, which stand before anything, never become patterns. A bitmap of the candidates' checksums lets only them and
+a few others into the shuffle; a join removes the others.
 
 Defined results: a null text counts as the empty one; repeated rows are scanned one by one and count once in
 the graph; an instance is at most MOST_CHARS long; an empty table gives an empty result.
@@ -16,7 +17,10 @@ the graph; an instance is at most MOST_CHARS long; an empty table gives an empty
 from __future__ import annotations
 
 import re
+from collections import Counter
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +46,10 @@ ENDS = frozenset(" \t\n\r\v\f\"'`<>(){}[],;|=:!?#$%&*")
 #: A pattern needs this many different seeds and this confidence; scores settle in this many turns.
 LEAST_SEEDS, LEAST_CONFIDENCE, TURNS = 5, 0.8, 3
 PATTERN_CHARS = 48
+#: A run with the blanks behind it, and the last of a pattern.
+RUN, LAST_RUN = re.compile(r"\S+\s*"), re.compile(r"\S+\s*\Z")
+#: Bits of a bitmap at most; with more candidates than that suits, more others reach the join.
+MOST_BITS = 1 << 25
 
 
 def luhn(digits: str) -> bool:
@@ -122,11 +130,71 @@ def patterns_before(text: str, start: int) -> set[str]:
     return {p for p in (before[w.start() :] for w in words[-2:]) if len(p) > 1 and any(map(str.isalpha, p))}
 
 
+def places(text: str):
+    """Every place that something may stand at, after a run and its blanks or within one, with the run before it."""
+    for m in RUN.finditer(text):
+        word = m[0].rstrip()
+        if not word.isalnum():
+            for i in range(1, len(word)):
+                if not word[i - 1].isalnum():
+                    yield m.start() + i, word[max(0, i - PATTERN_CHARS) : i]
+        yield m.end(), m[0][-PATTERN_CHARS:]
+
+
+def checksum(text: str) -> int:
+    return crc32(text.encode("utf-8", "surrogatepass"))
+
+
+def bitmaps(patterns: DataFrame) -> tuple[bytes, bytes]:
+    """Bits of the checksums of the patterns, and of their last words with what follows; about 1 in 16 is set."""
+    bits = min(MOST_BITS, 1 << max(16, (16 * patterns.count()).bit_length()))
+
+    def fill(batches):
+        out = np.zeros((2, bits), bool)
+        for batch in batches:
+            for pattern in batch["pattern"]:
+                out[0, checksum(pattern) % bits] = out[1, checksum(LAST_RUN.search(pattern)[0]) % bits] = True
+        yield pd.DataFrame({"bits": [np.packbits(out, axis=1, bitorder="little").tobytes()]})
+
+    total = np.zeros(bits // 4, np.uint8)
+    for row in patterns.select("pattern").coalesce(4).mapInPandas(fill, "bits binary").toLocalIterator():
+        total |= np.frombuffer(bytes(row["bits"]), np.uint8)
+    return total[: bits // 8].tobytes(), total[bits // 8 :].tobytes()
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, occurrences: how often each of `patterns` stands before a place of any text; repeated rows count once."""
+    whole, last = bitmaps(patterns)
+    bits = 8 * len(whole)
+
+    def known(bitmap: bytes, text: str) -> int:
+        at = checksum(text) % bits
+        return bitmap[at >> 3] >> (at & 7) & 1
+
+    def count(batches):
+        for batch in batches:
+            out = []
+            for key, text in zip(batch["row_key"], batch["text"], strict=True):
+                times = Counter()
+                for at, run in places(text):
+                    if known(last, run):
+                        times.update(p for p in patterns_before(text, at) if known(whole, p))
+                out += [(key, pattern, n) for pattern, n in times.items()]
+            yield pd.DataFrame(out, columns=["row_key", "pattern", "n"]).astype({"row_key": "int64", "pattern": object, "n": "int64"})
+
+    found = texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).select("row_key", "text").mapInPandas(count, "row_key long, pattern string, n long")
+    return (
+        found.groupBy("row_key", "pattern").agg(F.max("n").alias("n"))
+        .groupBy("pattern").agg(F.sum("n").alias("occurrences"))
+        .join(patterns.select("pattern"), "pattern", "left_semi")
+    )
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, row_key, counts, base spans as text with their digest, and instances."""
     kinds = ("email", "ip", "card", "phone")
     names = ["doc_id", "row_key", *[f"n_{k}" for k in kinds], "base_spans", "base_sha256", "instances"]
-    fields = ("start", "end", "value", "pattern", "seed", "occurrences")
+    fields = ("start", "end", "value", "pattern", "seed")
 
     def find(batches):
         for batch in batches:
@@ -135,28 +203,29 @@ def scan(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 counts = [sum(s[2] == k for s in base) for k in kinds]
                 spans = spans_text(base, KINDS)
-                near = [dict(zip(fields, (*x, text.count(x[3])), strict=True)) for x in instances(text, base)]
+                near = [dict(zip(fields, x, strict=True)) for x in instances(text, base)]
                 out.append((doc_id, key, *counts, spans, sha256(spans), near))
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "base_spans": object, "base_sha256": object})
 
-    instance = "array<struct<start: long, end: long, value: string, pattern: string, seed: boolean, occurrences: long>>"
+    instance = "array<struct<start: long, end: long, value: string, pattern: string, seed: boolean>>"
     schema = "doc_id long, row_key long, " + ", ".join(f"n_{k} long" for k in kinds) + f", base_spans string, base_sha256 string, instances {instance}"
     return texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).mapInPandas(find, schema)
 
 
-def confident_patterns(scanned: DataFrame, least_seeds: int = LEAST_SEEDS, least: float = LEAST_CONFIDENCE, turns: int = TURNS) -> DataFrame:
+def confident_patterns(docs: DataFrame, scanned: DataFrame, least_seeds: int = LEAST_SEEDS, least: float = LEAST_CONFIDENCE, turns: int = TURNS) -> DataFrame:
     """pattern, confidence of the patterns that enough seeds support, from the graph of patterns and instances."""
     rows = scanned.where(F.size("instances") > 0).dropDuplicates(["row_key"])
     each = rows.select("row_key", F.explode("instances").alias("i")).select("row_key", "i.*")
-    in_doc = each.groupBy("row_key", "pattern").agg(F.max("occurrences").alias("occurrences"))
     # value: 1 for a seed anywhere, else what its patterns make of it
     graph = each.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("int")).alias("seed"), F.count(F.lit(1)).alias("times"))
-    often = in_doc.groupBy("pattern").agg(F.sum("occurrences").alias("occurrences"))
     support = graph.groupBy("pattern").agg(F.sum("seed").alias("seeds"))
     # a pattern without seeds at first can only follow from found instances; those with too few values cannot qualify
     values = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_seeds)
-    graph = written(graph.join(values.select("pattern"), "pattern", "left_semi"), "pii-graph")
-    often = written(often.join(support, "pattern").join(values.select("pattern"), "pattern", "left_semi"), "pii-patterns")
+    candidates = written(support.join(values.select("pattern"), "pattern", "left_semi"), "pii-candidates")
+    graph = written(graph.join(candidates.select("pattern"), "pattern", "left_semi"), "pii-graph")
+    # a place that follows a letter or digit is not counted, so a pattern may have no occurrences but its instances
+    often = candidates.join(occurrences(docs, candidates), "pattern", "left").na.fill(0, ["occurrences"])
+    often = written(often, "pii-patterns")
     scores = graph.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
     for _ in range(turns):
         good = (
@@ -178,7 +247,7 @@ def confident_patterns(scanned: DataFrame, least_seeds: int = LEAST_SEEDS, least
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, counts of base spans, base_sha256, spans (base and context), n_context."""
     scanned = written(scan(docs), "pii-scan")
-    patterns = confident_patterns(scanned)
+    patterns = confident_patterns(docs, scanned)
     found = (
         scanned.where(F.size("instances") > 0).dropDuplicates(["row_key"])
         .select("row_key", F.explode("instances").alias("i")).select("row_key", "i.*").where("NOT seed")

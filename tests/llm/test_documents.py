@@ -298,6 +298,17 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[21].spans == "" and got[22].spans == "" and got[0].spans.startswith("email:") and got[0].n_context == 0
 
 
+def test_patterns_are_counted_in_documents_without_instances(spark):
+    texts = [f"please call u{i}@mail.example.com" for i in range(6)] + ["nothing to call 83920-1177 here"]
+    texts += [f"they call back later {'and call again ' * (i % 3)}" for i in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    patterns = spark.createDataFrame([("call ",), ("to call ",)], "pattern string")
+    want = {"call ": sum(t.count("call ") for t in texts), "to call ": 1}
+    assert {r.pattern: r.occurrences for r in pii.occurrences(frame.union(frame), patterns).collect()} == want
+    got = {r.doc_id: r for r in pii.personal_data(frame).collect()}
+    assert got[6].spans == "" and all(r.n_context == 0 for r in got.values())
+
+
 # classifiers
 
 
