@@ -3,8 +3,9 @@
 The fixed patterns give the seed entities. Every identifier-like token (one with enough digits) is an instance,
 and the text just before it is a lexical pattern. Spark scores the graph of patterns and instances in turns: a
 pattern is as good as the share of its occurrences that stand before good instances, an instance is as good as
-its patterns leave no doubt. Instances before a pattern of high confidence that enough seeds support are added
-as spans of kind "context".
+its patterns leave no doubt. An instance that scores the confidence supports patterns like a seed, and turns go on
+until no new pattern or instance qualifies. Instances behind a pattern of high confidence with enough support are
+added as spans of kind "context".
 
 Occurrences of a candidate pattern are counted at every place of all documents in a second pass, so that ordinary
 words, which stand before anything, never become patterns. A bitmap of the candidates' checksums lets only them and
@@ -43,8 +44,8 @@ NOT_DIGITS = re.compile(r"[^0-9]+")
 #: What an identifier-like token is: digits and characters in it, and what ends it.
 LEAST_DIGITS, MOST_CHARS = 5, 64
 ENDS = frozenset(" \t\n\r\v\f\"'`<>(){}[],;|=:!?#$%&*")
-#: A pattern needs this many different seeds and this confidence; scores settle in this many turns.
-LEAST_SEEDS, LEAST_CONFIDENCE, TURNS = 5, 0.8, 3
+#: A pattern needs this many different seeds or found values, and this confidence.
+LEAST_SEEDS, LEAST_CONFIDENCE = 5, 0.8
 PATTERN_CHARS = 48
 #: A run with the blanks behind it, and the last of a pattern.
 RUN, LAST_RUN = re.compile(r"\S+\s*"), re.compile(r"\S+\s*\Z")
@@ -212,24 +213,28 @@ def scan(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).mapInPandas(find, schema)
 
 
-def confident_patterns(docs: DataFrame, scanned: DataFrame, least_seeds: int = LEAST_SEEDS, least: float = LEAST_CONFIDENCE, turns: int = TURNS) -> DataFrame:
-    """pattern, confidence of the patterns that enough seeds support, from the graph of patterns and instances."""
+def confident_patterns(docs: DataFrame, scanned: DataFrame, least_seeds: int = LEAST_SEEDS, least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """pattern, confidence of the patterns that enough seeds or found values support, from the graph of both."""
     rows = scanned.where(F.size("instances") > 0).dropDuplicates(["row_key"])
     each = rows.select("row_key", F.explode("instances").alias("i")).select("row_key", "i.*")
     # value: 1 for a seed anywhere, else what its patterns make of it
     graph = each.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("int")).alias("seed"), F.count(F.lit(1)).alias("times"))
-    support = graph.groupBy("pattern").agg(F.sum("seed").alias("seeds"))
-    # a pattern without seeds at first can only follow from found instances; those with too few values cannot qualify
+    # those with too few values can never qualify
     values = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_seeds)
-    candidates = written(support.join(values.select("pattern"), "pattern", "left_semi"), "pii-candidates")
+    candidates = written(values.select("pattern"), "pii-candidates")
     graph = written(graph.join(candidates.select("pattern"), "pattern", "left_semi"), "pii-graph")
     # a place that follows a letter or digit is not counted, so a pattern may have no occurrences but its instances
     often = candidates.join(occurrences(docs, candidates), "pattern", "left").na.fill(0, ["occurrences"])
     often = written(often, "pii-patterns")
     scores = graph.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
-    for _ in range(turns):
+    before = None
+    while True:
         good = (
-            graph.join(scores, "value").groupBy("pattern").agg(F.sum(F.col("times") * F.col("score")).alias("good"), F.sum("times").alias("times"))
+            graph.join(scores, "value").groupBy("pattern")
+            .agg(
+                F.sum(F.col("times") * F.col("score")).alias("good"), F.sum("times").alias("times"),
+                F.sum((F.col("score") >= least).cast("long")).alias("seeds"),
+            )
             .join(often, "pattern")
             .select("pattern", "seeds", (F.col("good") / F.greatest("times", "occurrences")).alias("confidence"))
         )
@@ -241,7 +246,12 @@ def confident_patterns(docs: DataFrame, scanned: DataFrame, least_seeds: int = L
             .select("value", F.when(F.col("seed") == 1, 1.0).when(F.col("found") >= least, F.col("found")).otherwise(0.0).alias("score")),
             "pii-values",
         )
-    return good.where((F.col("confidence") >= least) & (F.col("seeds") >= least_seeds)).select("pattern", "confidence")
+        chosen = good.where((F.col("confidence") >= least) & (F.col("seeds") >= least_seeds))
+        # scores only rise, so equal numbers are equal sets
+        now = (chosen.count(), scores.where(F.col("score") >= least).count())
+        if now == before:
+            return chosen.select("pattern", "confidence")
+        before = now
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

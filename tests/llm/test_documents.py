@@ -309,6 +309,16 @@ def test_patterns_are_counted_in_documents_without_instances(spark):
     assert got[6].spans == "" and all(r.n_context == 0 for r in got.values())
 
 
+def test_found_values_support_further_patterns(spark):
+    texts = [f"word the mailbox: u{i}@mail.example.com then" for i in range(60)]
+    texts += [f"word the mailbox: 83920-11{i} then" for i in range(10, 20)]
+    texts += [f"his acct no: 83920-11{i} too" for i in range(10, 20)] + ["her acct no: 55501-7 too"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(frame).collect()}
+    assert got[80].spans == "context:13:20" and got[70].n_context == 1 and got[60].n_context == 1
+    assert got[0].n_context == 0
+
+
 # classifiers
 
 
