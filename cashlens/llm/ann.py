@@ -25,6 +25,8 @@ from . import shards
 DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 128
+#: The beam is at least this many times as wide as the number of neighbours asked for.
+BEAM_PER_NEIGHBOUR = 4
 ALPHA = 1.2
 #: Nodes that are inserted together, and nodes that a search expands at a time.
 BATCH = 256
@@ -155,7 +157,7 @@ def search(index, query_ids, queries, floors, k):
             nodes = np.tile(np.arange(len(distinct)), (len(part), 1))
         else:
             scaled = part / np.abs(part).max(axis=1, keepdims=True)
-            nodes, _ = beam_search(unit, edges, entry, scaled.astype(np.float32), SEARCH_BEAM)
+            nodes, _ = beam_search(unit, edges, entry, scaled.astype(np.float32), max(SEARCH_BEAM, BEAM_PER_NEIGHBOUR * k))
         scores = np.where(nodes >= 0, shards.products(distinct[nodes], part[:, None, :]), -np.inf)
         for i, query in enumerate(query_ids[low : low + BATCH].tolist()):
             found = []

@@ -95,3 +95,11 @@ def test_ball_tree_is_exact(spark, scale):
         scores = q @ q[query]
         order = sorted((i for i in ids if i != query), key=lambda i: (-scores[i], i))[:5]
         assert got[query] == [(int(i), int(scores[i])) for i in order]
+
+
+def test_graph_search_gives_more_neighbours_than_its_beam():
+    rows = np.random.default_rng(9).standard_normal((1000, 16))
+    index = ann.build(np.arange(1000), rows)
+    for query, ids, _ in ann.search(index, np.arange(5), rows[:5], None, 200):
+        want = [i for i in np.argsort(-(rows @ rows[query])).tolist() if i != query][:200]
+        assert len(ids) == 200 and len(set(ids) & set(want)) > 190
