@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, balltree, dedup, edits, mixing, negatives, pieces, pii, quality, secrets, simhash, toxicity
+from . import ann, balltree, dedup, edits, mixing, negatives, pieces, pii, quality, runs, secrets, simhash, toxicity
 from .common import table
 
 QUERIES = {}
@@ -124,6 +124,11 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    return runs.contract(table(spark, sf_dir, "documents"))
+
+
 @query("op12_simhash_duplicates")
 def op12_simhash_duplicates(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
