@@ -1,26 +1,32 @@
 """Personal data by fixed patterns, and by contexts bootstrapped from what they find.
 
 The fixed patterns give the seed entities. Every identifier-like token (one with enough digits) is an instance,
-and the text just before it is a lexical pattern. Spark scores the graph of patterns and instances in turns: a
-pattern is as good as the share of its occurrences that stand before good instances, an instance is as good as
-its patterns leave no doubt. An instance that scores the confidence supports patterns like a seed, and turns go on
-until no new pattern or instance qualifies. Instances behind a pattern of high confidence with enough support are
-added as spans of kind "context".
+and the text just before it is a lexical pattern: up to two words within PATTERN_CHARS characters. Spark scores
+the graph of patterns and instances in turns: a pattern is as good as the share of its occurrences that stand
+before good instances, an instance is as good as its patterns leave no doubt. An instance that scores the
+confidence supports patterns like a seed, and turns go on until no score moves by more than a billionth.
 
-Occurrences of a candidate pattern are counted at every place of all documents in a second pass, so that ordinary
-words, which stand before anything, never become patterns. A bitmap of the candidates' checksums lets only them and
-a few others into the shuffle; a join removes the others.
+An occurrence is a place of any document with the pattern before it, so ordinary words, which stand before
+anything, never become patterns. Counting that for all patterns would cost more than all else, so the graph is
+first scored with the instances alone as occurrences. Scores rise with every score and fall with every
+occurrence, so this bounds them from above: only patterns that qualify there, and those before a value that
+reached the confidence there, can matter. Occurrences in SAMPLE_ROWS documents tighten the bound, and what is left
+is counted over all documents before the turns are taken again.
+
+Behind a pattern of high confidence with enough support, every token with a digit, underscore or @ is added as a
+span of kind "context", of whatever length. Spans never overlap base spans.
 
 Defined results: a null text counts as the empty one; repeated rows are scanned one by one and count once in
-the graph; an instance is at most MOST_CHARS long; an empty table gives an empty result.
+the graph; instances of the graph are at most MOST_CHARS long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from zlib import crc32
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cashlens.session import written
 
-from .common import sha256, spans_text, texts
+from .common import bounded_sample, sha256, spans_text, texts
 
 KINDS = {"email": 0, "ip": 1, "card": 2, "phone": 3, "context": 4}
 
@@ -49,6 +55,8 @@ LEAST_SEEDS, LEAST_CONFIDENCE = 5, 0.8
 PATTERN_CHARS = 48
 #: A run with the blanks behind it, and the last of a pattern.
 RUN, LAST_RUN = re.compile(r"\S+\s*"), re.compile(r"\S+\s*\Z")
+#: Patterns that are sought by one automaton at most, some 50 MB of it; documents that tighten the first bound.
+MOST_SOUGHT, SAMPLE_ROWS = 100_000, 20_000
 #: Bits of a bitmap at most; with more candidates than that suits, more others reach the join.
 MOST_BITS = 1 << 25
 
@@ -163,32 +171,84 @@ def bitmaps(patterns: DataFrame) -> tuple[bytes, bytes]:
     return total[: bits // 8].tobytes(), total[bits // 8 :].tobytes()
 
 
-def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, occurrences: how often each of `patterns` stands before a place of any text; repeated rows count once."""
-    whole, last = bitmaps(patterns)
+def is_place(text: str, at: int) -> bool:
+    """Whether `at` is one of the places of the text."""
+    return at == len(text) or not (text[at].isspace() or text[at - 1].isalnum())
+
+
+def token(text: str, at: int) -> int:
+    """The end of the identifier-like token of any length that begins at a place, or the place itself if there is none."""
+    end = at
+    if at and text[at - 1] not in ENDS:
+        return at
+    while end < len(text) and text[end] not in ENDS:
+        end += 1
+    while end > at and text[end - 1] in ".-/":
+        end -= 1
+    return end if any(c.isdigit() or c in "_@" for c in text[at:end]) else at
+
+
+def behind(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """row_key, pattern, n, found: how often each of `patterns` stands before a place of a text, and tokens there as spans.
+
+    Up to MOST_SOUGHT patterns are sought by an automaton; with more, bitmaps of checksums let only them and a few
+    others out of the texts, and a join removes the others.
+    """
+    sought = [r["pattern"] for r in patterns.select("pattern").limit(MOST_SOUGHT + 1).collect()]
+    few = len(sought) <= MOST_SOUGHT
+    if few:
+        whole = last = b""
+    else:
+        sought, (whole, last) = [], bitmaps(patterns)
     bits = 8 * len(whole)
 
     def known(bitmap: bytes, text: str) -> int:
         at = checksum(text) % bits
         return bitmap[at >> 3] >> (at & 7) & 1
 
+    def before_places(text, automaton):
+        if few:
+            for end, pattern in automaton.iter(text):
+                if is_place(text, end + 1) and pattern in patterns_before(text, end + 1):
+                    yield end + 1, pattern
+        else:
+            for at, run in places(text):
+                if known(last, run):
+                    yield from ((at, p) for p in patterns_before(text, at) if known(whole, p))
+
     def count(batches):
+        automaton = ahocorasick.Automaton()
+        for pattern in sought:
+            automaton.add_word(pattern, pattern)
+        automaton.make_automaton()
         for batch in batches:
             out = []
             for key, text in zip(batch["row_key"], batch["text"], strict=True):
-                times = Counter()
-                for at, run in places(text):
-                    if known(last, run):
-                        times.update(p for p in patterns_before(text, at) if known(whole, p))
-                out += [(key, pattern, n) for pattern, n in times.items()]
-            yield pd.DataFrame(out, columns=["row_key", "pattern", "n"]).astype({"row_key": "int64", "pattern": object, "n": "int64"})
-
-    found = texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).select("row_key", "text").mapInPandas(count, "row_key long, pattern string, n long")
-    return (
-        found.groupBy("row_key", "pattern").agg(F.max("n").alias("n"))
-        .groupBy("pattern").agg(F.sum("n").alias("occurrences"))
-        .join(patterns.select("pattern"), "pattern", "left_semi")
-    )
+                at_places = defaultdict(list)
+                for at, pattern in before_places(text, automaton):
+                    at_places[pattern].append(at)
+                base = base_spans(text) if at_places else []
+                for pattern, ats in at_places.items():
+                    spans = [(at, token(text, at)) for at in ats]
+                    found = [f"context:{a}:{b}" for a, b in spans if b > a and not any(s < b and a < e for s, e, _ in base)]
+                    out.append((key, pattern, len(ats), found))
+            yield pd.DataFrame(out, columns=["row_key", "pattern", "n", "found"], dtype=object).astype({"row_key": "int64", "n": "int64"})
+
+    rows = texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).select("row_key", "text")
+    if few and not sought:
+        rows = rows.limit(0)
+    each = rows.mapInPandas(count, "row_key long, pattern string, n long, found array<string>")
+    once = each.groupBy("row_key", "pattern").agg(F.max("n").alias("n"), F.max("found").alias("found"))
+    return once if few else once.join(patterns.select("pattern"), "pattern", "left_semi")
+
+
+def total(at_places: DataFrame) -> DataFrame:
+    return at_places.groupBy("pattern").agg(F.sum("n").alias("occurrences"))
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, occurrences: how often each of `patterns` stands before a place of any text; repeated rows count once."""
+    return total(behind(docs, patterns))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -213,29 +273,21 @@ def scan(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text")).mapInPandas(find, schema)
 
 
-def confident_patterns(docs: DataFrame, scanned: DataFrame, least_seeds: int = LEAST_SEEDS, least: float = LEAST_CONFIDENCE) -> DataFrame:
-    """pattern, confidence of the patterns that enough seeds or found values support, from the graph of both."""
-    rows = scanned.where(F.size("instances") > 0).dropDuplicates(["row_key"])
-    each = rows.select("row_key", F.explode("instances").alias("i")).select("row_key", "i.*")
-    # value: 1 for a seed anywhere, else what its patterns make of it
-    graph = each.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("int")).alias("seed"), F.count(F.lit(1)).alias("times"))
-    # those with too few values can never qualify
-    values = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_seeds)
-    candidates = written(values.select("pattern"), "pii-candidates")
-    graph = written(graph.join(candidates.select("pattern"), "pattern", "left_semi"), "pii-graph")
-    # a place that follows a letter or digit is not counted, so a pattern may have no occurrences but its instances
-    often = candidates.join(occurrences(docs, candidates), "pattern", "left").na.fill(0, ["occurrences"])
-    often = written(often, "pii-patterns")
-    scores = graph.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
-    before = None
+def turns(graph: DataFrame, often: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The fixed point of the scores: (pattern, seeds, confidence) and (value, seed, score).
+
+    graph: pattern, value, seed, times. often: pattern, occurrences; a pattern has as many as its instances at least.
+    """
+    scores, before = graph.groupBy("value").agg(F.max("seed").cast("double").alias("score")), None
     while True:
         good = (
-            graph.join(scores, "value").groupBy("pattern")
+            graph.join(scores.select("value", "score"), "value").groupBy("pattern")
             .agg(
                 F.sum(F.col("times") * F.col("score")).alias("good"), F.sum("times").alias("times"),
                 F.sum((F.col("score") >= least).cast("long")).alias("seeds"),
             )
-            .join(often, "pattern")
+            .join(often, "pattern", "left")
+            # a place that follows a letter or digit is not counted, so a pattern may have no occurrences but its instances
             .select("pattern", "seeds", (F.col("good") / F.greatest("times", "occurrences")).alias("confidence"))
         )
         good = written(good, "pii-confidence")
@@ -243,27 +295,60 @@ def confident_patterns(docs: DataFrame, scanned: DataFrame, least_seeds: int = L
         scores = written(
             graph.join(good, "pattern").groupBy("value")
             .agg(F.max("seed").alias("seed"), (1 - doubt).alias("found"))
-            .select("value", F.when(F.col("seed") == 1, 1.0).when(F.col("found") >= least, F.col("found")).otherwise(0.0).alias("score")),
+            .select("value", "seed", F.when(F.col("seed") == 1, 1.0).when(F.col("found") >= least, F.col("found")).otherwise(0.0).alias("score")),
             "pii-values",
         )
-        chosen = good.where((F.col("confidence") >= least) & (F.col("seeds") >= least_seeds))
-        # scores only rise, so equal numbers are equal sets
-        now = (chosen.count(), scores.where(F.col("score") >= least).count())
-        if now == before:
-            return chosen.select("pattern", "confidence")
-        before = now
+        # scores only rise, so an equal sum of billionths says that none moved
+        now = scores.agg(F.sum(F.floor(F.col("score") * 1e9).cast("decimal(38,0)"))).first()[0]
+        if before is not None and (now or 0) <= before:
+            return good, scores
+        before = now or 0
+
+
+def confident_patterns(docs: DataFrame, scanned: DataFrame, least_seeds: int = LEAST_SEEDS, least: float = LEAST_CONFIDENCE):
+    """Patterns that enough seeds or found values support (pattern, confidence), and what stands behind them (see `behind`)."""
+    rows = scanned.where(F.size("instances") > 0).dropDuplicates(["row_key"])
+    each = rows.select("row_key", F.explode("instances").alias("i")).select("row_key", "i.*")
+    # value: 1 for a seed anywhere, else what its patterns make of it
+    graph = each.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("int")).alias("seed"), F.count(F.lit(1)).alias("times"))
+    # those with too few values can never qualify
+    values = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_seeds)
+    graph = written(graph.join(written(values.select("pattern"), "pii-candidates"), "pattern", "left_semi"), "pii-graph")
+
+    def qualified(good):
+        return good.where((F.col("confidence") >= least) & (F.col("seeds") >= least_seeds)).select("pattern", "confidence")
+
+    def matter(graph, often):
+        """The part of the graph that can still decide anything, by scores that are not below the final ones."""
+        good, scores = turns(graph, often, least)
+        lifted = scores.where((F.col("seed") == 0) & (F.col("score") >= least)).select("value")
+        near = graph.join(lifted, "value", "left_semi").select("pattern").join(good.where("confidence > 0"), "pattern", "left_semi")
+        left = written(qualified(good).select("pattern").union(near).distinct(), "pii-patterns")
+        return left, written(graph.join(left, "pattern", "left_semi"), "pii-graph")
+
+    left, graph = matter(graph, graph.groupBy("pattern").agg(F.sum("times").alias("occurrences")))
+    if not left.isEmpty():
+        some = bounded_sample(docs.select("doc_id", "text"), SAMPLE_ROWS, "doc_id", "text")
+        left, graph = matter(graph, written(occurrences(some, left), "pii-sampled"))
+    at_places = written(behind(docs, left), "pii-places")
+    if left.isEmpty():
+        return left.withColumn("confidence", F.lit(1.0)), at_places
+    good, _ = turns(graph, written(total(at_places), "pii-occurrences"), least)
+    return qualified(good), at_places
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, counts of base spans, base_sha256, spans (base and context), n_context."""
     scanned = written(scan(docs), "pii-scan")
-    patterns = confident_patterns(docs, scanned)
-    found = (
+    patterns, at_places = confident_patterns(docs, scanned)
+    tokens = at_places.join(patterns, "pattern", "left_semi").select("row_key", F.explode("found").alias("span"))
+    instances_ = (
         scanned.where(F.size("instances") > 0).dropDuplicates(["row_key"])
         .select("row_key", F.explode("instances").alias("i")).select("row_key", "i.*").where("NOT seed")
         .join(patterns, "pattern", "left_semi")
-        .groupBy("row_key").agg(F.collect_set(F.concat_ws(":", F.lit("context"), "start", "end")).alias("found"))
+        .select("row_key", F.concat_ws(":", F.lit("context"), "start", "end").alias("span"))
     )
+    found = tokens.union(instances_).groupBy("row_key").agg(F.collect_set("span").alias("found"))
     rank = F.create_map(*[F.lit(x) for item in KINDS.items() for x in item])
     parts = F.filter(F.concat(F.split("base_spans", ","), "found"), lambda x: x != "")
     ranked = F.transform(parts, lambda x: F.struct(F.split(x, ":")[1].cast("long"), F.element_at(rank, F.split(x, ":")[0]), x.alias("span")))

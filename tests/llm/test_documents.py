@@ -319,6 +319,83 @@ def test_found_values_support_further_patterns(spark):
     assert got[0].n_context == 0
 
 
+def test_turns_go_on_until_no_score_moves(spark):
+    """The second pattern reaches the confidence only two turns after the first has found its values."""
+    texts = [f"word mailbox: u{i}@mail.example.com then" for i in range(41)]
+    texts += [f"word mailbox: 83920-11{i} then" for i in range(10, 19)]
+    texts += [f"his refno: 83920-11{i} too" for i in range(10, 19)] + ["her refno: 55501-77 too"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(frame).collect()}
+    assert got[len(texts) - 1].spans == "context:11:19"
+
+
+def test_tokens_behind_a_pattern_have_no_limits(spark):
+    texts = [f"word mailbox: u{i}@mail.example.com then" for i in range(60)]
+    texts += ["word mailbox: 7x then", "word mailbox: the_handle.", f"word mailbox: {'9k' * 300} then", "word mailbox: nothing", "word mailbox: "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(frame).collect()}
+    assert [got[i].spans for i in range(60, 65)] == ["context:14:16", "context:14:24", "context:14:614", "", ""]
+
+
+def plain_contexts(texts, least_seeds=5, least=0.8):
+    """Spans of the whole method, in memory and with all occurrences counted from the start."""
+    base = [pii.base_spans(t or "") for t in texts]
+    near = [pii.instances(t or "", b) for t, b in zip(texts, base, strict=True)]
+    often = collections.Counter(p for t in texts for at, _ in pii.places(t or "") for p in pii.patterns_before(t, at))
+    graph, seeds = collections.Counter(), set()
+    for found in near:
+        for _, _, value, pattern, seed in found:
+            graph[pattern, value] += 1
+            if seed:
+                seeds.add((pattern, value))
+    values = collections.Counter(p for p, _ in graph)
+    graph = {k: n for k, n in graph.items() if values[k[0]] >= least_seeds}
+    seed_values = {v for p, v in seeds if (p, v) in graph}
+    score = {v: float(v in seed_values) for _, v in graph}
+    for _ in range(100):
+        good, times, support = collections.Counter(), collections.Counter(), collections.Counter()
+        for (p, v), n in graph.items():
+            good[p] += n * score[v]
+            times[p] += n
+            support[p] += score[v] >= least
+        confidence = {p: good[p] / max(times[p], often[p]) for p in times}
+        doubt = collections.defaultdict(float)
+        for p, v in graph:
+            doubt[v] += np.log(max(1 - confidence[p], 1e-6))
+        score = {v: 1.0 if v in seed_values else x if (x := 1 - np.exp(doubt[v])) >= least else 0.0 for v in score}
+    chosen = {p for p in confidence if confidence[p] >= least and support[p] >= least_seeds}
+    out = []
+    for text, b, found in zip(texts, base, near, strict=True):
+        spans = {(s, e) for s, e, _, p, seed in found if not seed and p in chosen}
+        for at, _ in pii.places(text or ""):
+            end = pii.token(text, at)
+            if end > at and chosen & pii.patterns_before(text, at) and not any(s < end and at < e for s, e, _ in b):
+                spans.add((at, end))
+        out.append(pii.spans_text([*b, *[(s, e, "context") for s, e in spans]], pii.KINDS))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "sought"), [(1, 100_000), (2, 0), (3, 100_000)])
+def test_contexts_match_a_plain_graph(spark, monkeypatch, seed, sought):
+    monkeypatch.setattr(pii, "MOST_SOUGHT", sought)
+    monkeypatch.setattr(pii, "SAMPLE_ROWS", 40)
+    rng = random.Random(seed)
+    contexts, fill = ["mail: ", "acct no. ", "ref #", "call ", "id=", "see "], ["then", "call", "see", "the", "mail", "no."]
+    known = [f"u{i}@x.example.com" for i in range(12)] + [f"{70000 + i}-77" for i in range(12)] + ["81x", "a_b", "word"]
+    texts = [None, ""]
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(contexts))
+            low = 0 if at < 2 else 8
+            parts += [rng.choice(fill), contexts[at] + rng.choice(known[low : low + 14] if rng.random() < 0.93 else known)]
+        texts.append(" ".join(parts))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame).collect()}
+    want = plain_contexts(texts)
+    assert [got[i] for i in range(len(texts))] == want and any("context" in w for w in want)
+
+
 # classifiers
 
 
