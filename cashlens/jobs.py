@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from .operators import marts, models, quality, recon
-from .operators.merge import mark_removed, upsert_ledger_path, upsert_table
+from .operators.merge import mark_removed_path, upsert_ledger_path, upsert_table
 from .session import written
 from .sources import feeds
 from .sources.ledger import read_ledger
@@ -27,9 +27,7 @@ def ingest_bank_sync(spark, pages_path, ledger_path):
 
 def remove_bank_rows(spark, ids, ledger_path):
     """Mark bank rows removed by their feed ids (column transaction_id)."""
-    key = F.concat(F.lit("plaid_"), "transaction_id").alias("transaction_id")
-    hit = read_ledger(spark, ledger_path).join(ids.select(key), "transaction_id", "left_semi")
-    upsert_ledger_path(spark, ledger_path, mark_removed(hit, ids))
+    mark_removed_path(spark, ledger_path, ids)
 
 
 def reconcile(spark, ledger_path, as_of, days=7, shown=20):

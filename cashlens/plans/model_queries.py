@@ -143,7 +143,7 @@ def _stream_hourly_counts(w):
 def _stream_daily_stats(w):
     path, ledger = w.scratch("stats"), w.scratch("stats_ledger")
     streams.stream_daily_stats(_events(w), ledger, path, w.scratch("ckpt")).awaitTermination()
-    return w.spark.read.parquet(path)
+    return w.spark.read.parquet(path).select("day", "volume", "total_usd", "success_rate")
 
 
 @query(

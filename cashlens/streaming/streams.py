@@ -1,16 +1,17 @@
 """Structured Streaming forms of ingestion and live statistics."""
 
-from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions.money import count_when, or_zero, ratio, usd_sum
+from ..functions.money import cents_sum, or_zero, ratio, to_usd
 from ..functions.rules import from_micros, wall_micros
 from ..operators.marts import settled
-from ..operators.merge import mark_removed, upsert_ledger_path, write_partitions
+from ..operators.merge import ledger_changes, ledger_state, mark_removed_path, upsert_ledger_path, write_partitions
 from ..schema import BANK_WEBHOOK
 from ..sources.feeds import normalize_processor, removed_ids
-from ..sources.ledger import month_number, read_ledger
+from ..sources.ledger import read_ledger
+from ..sources.tablelog import TableLog
 
 
 def _run(writer, trigger):
@@ -30,9 +31,11 @@ def stream_to_ledger(events, ledger_path, checkpoint, account_id="acct_main", tr
         rows = normalize_processor(
             batch.withColumn("event_created", F.col("created")), account_id, keep=("event_created",)
         )
-        touched = upsert_ledger_path(spark, ledger_path, rows, order_by=("event_created", "occurred_at"))
-        if hourly or daily:
-            refresh_live(spark, ledger_path, rows.select("transaction_id"), touched, hourly, daily)
+        upsert_ledger_path(spark, ledger_path, rows, order_by=("event_created", "occurred_at"))
+        if hourly:
+            follow_ledger(spark, ledger_path, hourly, HOURLY)
+        if daily:
+            follow_ledger(spark, ledger_path, daily, DAILY)
 
     return _run(events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint), trigger)
 
@@ -45,12 +48,7 @@ def stream_removals(webhooks, ledger_path, checkpoint, trigger=None):
     """Removal notifications mark their rows in the ledger."""
 
     def remove(batch, _batch_id):
-        spark = batch.sparkSession
-        ids = removed_ids(batch)
-        key = F.concat(F.lit("plaid_"), "transaction_id").alias("transaction_id")
-        ledger = read_ledger(spark, ledger_path)
-        hit = ledger.join(ids.select(key).distinct(), "transaction_id", "left_semi")
-        upsert_ledger_path(spark, ledger_path, mark_removed(hit, ids))
+        mark_removed_path(batch.sparkSession, ledger_path, removed_ids(batch))
 
     return _run(removed_ids_stream(webhooks).writeStream.foreachBatch(remove).option("checkpointLocation", checkpoint), trigger)
 
@@ -69,12 +67,12 @@ def _wall(instant):
     return from_micros(F.unix_micros(instant))
 
 
-def hourly_counts(rows):
-    """Counts by source and status over sliding hours, moving five minutes at a time."""
+def _signed_counts(rows):
+    """Per day of the window's start: signed counts by source and status over sliding hours, five minutes apart."""
     return (
         _timed(rows)
         .groupBy(F.window("event_time", "1 hour", "5 minutes"), "source", "status")
-        .agg(F.count(F.lit(1)).alias("transactions"))
+        .agg(F.sum("sign").alias("transactions"))
         .select(
             _wall("window.start").alias("start"),
             _wall("window.end").alias("end"),
@@ -82,53 +80,112 @@ def hourly_counts(rows):
             "status",
             "transactions",
         )
+        .withColumn("day", F.to_date("start"))
     )
 
 
-def daily_stats(rows):
-    """Count, volume and settled share per day."""
+def _signed_stats(rows):
+    """Per day: signed count, exact cents and settled count."""
+    cents = F.coalesce(cents_sum(F.col("amount") * F.col("sign")), F.lit(0)).cast("decimal(38,11)")
     return (
-        rows.groupBy(F.to_date("occurred_at").alias("day"))
+        rows.filter("occurred_at IS NOT NULL")
+        .groupBy(F.to_date("occurred_at").alias("day"))
         .agg(
-            F.count(F.lit(1)).alias("volume"),
-            or_zero(usd_sum("amount")).alias("total_usd"),
-            count_when(settled()).alias("succeeded"),
+            F.sum("sign").alias("volume"),
+            cents.alias("cents"),
+            F.sum(F.when(settled(), F.col("sign")).otherwise(0)).alias("succeeded"),
         )
-        .select("day", "volume", "total_usd", ratio("succeeded", "volume").alias("success_rate"))
     )
 
 
-def refresh_live(spark, ledger_path, ids, touched=None, hourly=None, daily=None):
-    """Recompute the live statistics of the days on which the named transactions lie.
+class Followed:
+    """A table of live statistics: sums per key that changed rows are added to.
 
-    ``touched`` lists the months (year, month) that hold them; None looks through all. The list of
-    days is calendar-sized, and only their months are read. A day's statistics are replaced as a
-    whole, so a status that a transaction left disappears, and a repeated refresh changes nothing.
+    ``signed`` gives the sums of rows with a column ``sign``, and their day; ``shown`` the columns of
+    the statistics. Rows whose ``count`` has come to nothing are not kept.
     """
-    ledger = read_ledger(spark, ledger_path)
-    inside = ledger if touched is None else ledger.filter(_in_months(touched))
-    days = inside.join(ids.distinct(), "transaction_id", "left_semi").select("occurred_date").distinct()
-    days = {r[0] for r in days.collect() if r[0] is not None}
-    if not days:
-        return
-    if daily:
-        write_partitions(daily_stats(_on_days(ledger, days)), daily, ["day"])
-    if hourly:
-        # a window that starts on a day reaches into the next one, and a row lies in windows that start the day before
-        one = timedelta(days=1)
-        starts = days | {d - one for d in days}
-        counts = hourly_counts(_on_days(ledger, starts | {d + one for d in starts}))
-        counts = counts.withColumn("day", F.to_date("start")).filter(F.col("day").isin(sorted(starts)))
-        write_partitions(counts, hourly, ["day"])
 
+    def __init__(self, signed, keys, sums, count, shown):
+        self.signed, self.keys, self.sums, self.count, self.shown = signed, keys, sums, count, shown
+
+    def of(self, rows):
+        """The statistics of ledger rows, with the sums they are made of."""
+        return self.shown(self.signed(rows.withColumn("sign", F.lit(1).cast("long"))))
+
+    def added(self, stored, deltas):
+        both = stored.select("day", *self.keys, *self.sums).unionByName(deltas.select("day", *self.keys, *self.sums))
+        sums = [F.sum(c).cast(both.schema[c].dataType).alias(c) for c in self.sums]
+        return self.shown(both.groupBy("day", *self.keys).agg(*sums).filter(F.col(self.count) != 0))
+
+
+HOURLY = Followed(
+    _signed_counts,
+    ["start", "end", "source", "status"],
+    ["transactions"],
+    "transactions",
+    lambda rows: rows.select("start", "end", "source", "status", "transactions", "day"),
+)
+DAILY = Followed(
+    _signed_stats,
+    [],
+    ["volume", "cents", "succeeded"],
+    "volume",
+    lambda rows: rows.select(
+        "day", "volume", or_zero(to_usd(F.col("cents"))).alias("total_usd"), ratio("succeeded", "volume").alias("success_rate"), "cents", "succeeded"
+    ),
+)
+
+
+def hourly_counts(rows):
+    """Counts by source and status over sliding hours, moving five minutes at a time."""
+    return HOURLY.of(rows).drop("day")
+
+
+def daily_stats(rows):
+    """Count, volume and settled share per day."""
+    return DAILY.of(rows).select("day", "volume", "total_usd", "success_rate")
 
-def _in_months(months):
-    numbers = sorted({int(year) * 12 + int(month) for year, month in months})
-    return month_number().isin(numbers)
 
+def follow_ledger(spark, ledger_path, path, kind):
+    """Bring a written table of live statistics up to the ledger's version by the changes since its own.
 
-def _on_days(ledger, days):
-    return ledger.filter(_in_months({(d.year, d.month) for d in days}) & F.col("occurred_date").isin(sorted(days)))
+    A changed row takes its former self out of the sums and brings its present self in, so no ledger
+    row is read again, however late an event comes. The table's version of the ledger is moved into place
+    together with its rows: a change is added once, whatever is repeated. A table without a version, or one
+    that has missed changes which are no longer kept, is computed from the whole ledger.
+    """
+    ledger, log = ledger_state(spark, ledger_path), TableLog(spark, path)
+    state, now = log.state(), ledger.get("version", 0)
+    seen = state.get("ledger_version")
+    if seen == now:
+        return
+    missed = None
+    if seen is not None and seen + 1 >= ledger.get("followed_from", 0):
+        missed = [ledger_changes(spark, ledger_path, v) for v in range(seen + 1, now + 1)]
+    staging, after = log.staging(), {**state, "ledger_version": now}
+    moves = []
+    if missed is None or any(m is None for m in missed):
+        write_partitions(kind.of(read_ledger(spark, ledger_path)).filter("day IS NOT NULL"), f"{staging}/rows", ["day"])
+        former = [n for n in log.names(path) if n.startswith("day=")]
+        moves = [(None, f"{path}/{n}") for n in former]
+    else:
+        changes = reduce(lambda a, b: a.unionByName(b), missed)
+        out = changes.filter("before IS NOT NULL").select("before.*", F.lit(-1).cast("long").alias("sign"))
+        rows = out.unionByName(changes.select("after.*", F.lit(1).cast("long").alias("sign")))
+        deltas = kind.signed(rows)
+        deltas = deltas.filter(reduce(lambda a, b: a | b, [F.col(c) != 0 for c in kind.sums]) & F.col("day").isNotNull())
+        deltas.write.parquet(f"{staging}/deltas")
+        deltas = spark.read.schema(deltas.schema).parquet(f"{staging}/deltas")
+        # the list of days is calendar-sized
+        days = [r[0] for r in deltas.select("day").distinct().collect()]
+        if days:
+            stored = spark.read.parquet(path).withColumn("day", F.col("day").cast("date"))
+            write_partitions(kind.added(stored.filter(F.col("day").isin(days)), deltas), f"{staging}/rows", ["day"])
+            # a day whose rows have all gone has nothing staged: its folder goes
+            moves = [(None, f"{path}/day={d}") for d in days]
+    placed = log.moves_of(f"{staging}/rows", path, 1)
+    kept = {target for _, target in placed}
+    log.commit(state.get("version", 0), staging, [m for m in moves if m[1] not in kept] + placed, **after)
 
 
 def stream_hourly_counts(events, ledger_path, path, checkpoint, account_id="acct_main", trigger=None):
