@@ -44,3 +44,14 @@ def spans_text(spans: list[tuple[int, int, str]], order: dict[str, int]) -> str:
 
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the table has such a column."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found

@@ -12,8 +12,8 @@ components after that meet pair by pair in small buckets and block by block in l
 
 Defined results: null or empty texts have no shingles and are linked with nothing; a text with fewer words
 than a shingle is one shingle; rows with a null doc_id are returned, linked with nothing; rows that share a
-doc_id are one document, and if their texts differ one of them speaks for its near duplicates; an empty table
-gives an empty result.
+doc_id are one document, and if their texts differ the one with the least fingerprint speaks for its near
+duplicates; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cashlens.session import written
 
-from .common import texts
+from .common import texts, unused
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -50,6 +50,8 @@ _BANDS = _BUCKETS // BAND_REGISTERS
 
 #: A random odd number for each byte, the same for both cases of A-Z; 0 for white space.
 _BYTE_VALUES = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: A random number for each place of a byte in its word.
+_PLACES = np.uint64(0xD1342543DE82EF95)
 _BYTE_VALUES[65:91] = _BYTE_VALUES[97:123]
 _BYTE_VALUES[[32, 9, 10, 11, 12, 13]] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -60,16 +62,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _scattered(h: np.ndarray) -> np.ndarray:
+    """Numbers without any structure left: what two words share in sums of them is chance."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash and first byte of every word: byte values weighted by powers of a base, summed per word."""
+    """64-bit hash and first byte of every word: a random number for each (byte, place), summed per word."""
     values = _BYTE_VALUES[np.frombuffer(data, np.uint8)]
     word = values != 0
     starts = np.flatnonzero(word & ~np.append(False, word[:-1]))
     if not len(starts):
         return np.empty(0, np.uint64), starts
     place = np.arange(len(values)) - np.repeat(np.append(0, starts), np.diff(np.concatenate(([0], starts, [len(values)]))))
-    powers = np.cumprod(np.full(int(place.max()) + 1, _BASE))
-    return _mixed(np.add.reduceat(values * powers[place], starts)), starts
+    drawn = np.where(word, _scattered(values + place.astype(np.uint64) * _PLACES), np.uint64(0))
+    return _mixed(np.add.reduceat(drawn, starts)), starts
 
 
 def _pieces(data: bytes):
@@ -180,7 +189,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def signatures(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, fingerprint of the whole set, registers; the last two null without shingles."""
+    """doc_id, text_hash, n_shingles, fingerprint of the whole set, registers; the last two null without shingles."""
 
     def sign(batches):
         order = _borrowing_order()
@@ -190,9 +199,11 @@ def signatures(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                 sets = list(shingle_hashes_of(part["text"].tolist(), words))
                 rows = iter(registers(full, order)) if (full := [x for x in sets if len(x)]) else None
                 out = [(len(x), xxhash.xxh3_128_digest(x.tobytes()), next(rows).tobytes()) if len(x) else (0, None, None) for x in sets]
-                yield pd.DataFrame(out, columns=["n_shingles", "fingerprint", "registers"]).assign(doc_id=part["doc_id"].astype("Int64").array)
+                names = ["n_shingles", "fingerprint", "registers"]
+                yield pd.DataFrame(out, columns=names).assign(doc_id=part["doc_id"].astype("Int64").array, text_hash=part["text_hash"].array)
 
-    return texts(docs).mapInPandas(sign, "n_shingles long, fingerprint binary, registers binary, doc_id long")
+    schema = "n_shingles long, fingerprint binary, registers binary, doc_id long, text_hash long"
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInPandas(sign, schema)
 
 
 def _banded(sketches: DataFrame) -> DataFrame:
@@ -355,16 +366,22 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: flo
     signed = written(signatures(docs, words), "signatures")
     sketches = written(
         signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("fingerprint")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("s"))
-        .select("fingerprint", F.col("s.doc_id").alias("node"), "s.n_shingles", "s.registers"),
+        .agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "registers")).alias("s"))
+        .select("fingerprint", F.col("s.doc_id").alias("node"), "s.text_hash", "s.n_shingles", "s.registers"),
         "sketches",
     )
+    # of different sets that the same document leads, the one with the least fingerprint is compared
+    led = sketches.groupBy("node").agg(F.min("fingerprint").alias("least"), F.count(F.lit(1)).alias("sets"))
+    clashing = written(led.where("sets > 1").select("node", "least"), "clashing")
+    if not clashing.isEmpty():
+        sketches = written(sketches.join(clashing, "node", "left").where("least IS NULL OR least = fingerprint").drop("least"), "sketches")
     banded = _banded(sketches)
     leaders = banded.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = written(banded.join(leaders.select("bucket", "a"), "bucket"), "crowded")
     # only these nodes are ever compared: their texts cross the network once
-    near = crowded.select("node").distinct().join(sketches.select("node", "n_shingles", "registers"), "node")
-    members = written(texts(docs).withColumnRenamed("doc_id", "node").join(near, "node").dropDuplicates(["node"]), "members")
+    near = crowded.select("node").distinct().join(sketches.select("node", "text_hash", "n_shingles", "registers"), "node")
+    hashed = texts(docs).withColumnRenamed("doc_id", "node").withColumn("text_hash", F.xxhash64("text"))
+    members = written(hashed.join(near, ["node", "text_hash"]).dropDuplicates(["node"]).drop("text_hash"), "members")
 
     met = crowded.where("node != a").select("a", F.col("node").alias("b")).distinct()
     links = written(_confirmed(met, members, words, similarity), "confirmed")
@@ -382,10 +399,17 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: flo
 
 
 def distinct_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, as it came: the one with the smallest doc_id. Of repeated rows one stays."""
+    """One document of each class, as it came: the one with the smallest doc_id.
+
+    Of rows that share that doc_id one stays, by the least hash of its text. Rows without doc_id are linked with
+    nothing and stay. Columns keep names and values; an empty table gives an empty result.
+    """
+    kept_id, rows_of_id, text_hash, least = unused(docs, "kept_id", "rows_of_id", "text_hash", "least_hash")
     kept = near_duplicates(docs, words, similarity).where("kept AND doc_id IS NOT NULL")
-    ids = written(kept.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("rows_of_id")), "kept")
-    rows = docs.join(ids, docs["doc_id"] == ids["kept_id"])
-    once = rows.where("rows_of_id = 1").select(*docs.columns)
-    repeated = rows.where("rows_of_id > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    ids = written(kept.groupBy(F.col("doc_id").alias(kept_id)).agg(F.count(F.lit(1)).alias(rows_of_id)), "kept")
+    rows = docs.join(ids, docs["doc_id"] == ids[kept_id])
+    once = rows.where(F.col(rows_of_id) == 1).select(*docs.columns)
+    repeated = rows.where(F.col(rows_of_id) > 1).withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
+    first = repeated.groupBy(F.col(kept_id).alias(least)).agg(F.min(text_hash).alias(f"{least}_"))
+    one = repeated.join(first, (F.col(kept_id) == F.col(least)) & (F.col(text_hash) == F.col(f"{least}_"))).dropDuplicates(["doc_id"])
+    return once.unionByName(one.select(*docs.columns)).unionByName(docs.where("doc_id IS NULL"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cashlens.session import written
 
-from .common import WORD
+from .common import WORD, unused
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -96,10 +96,14 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights=WEIGHTS) ->
     taken: words the mix takes of the document, repeats counted, at most `most` times its size. offset: words
     of the mix before the document's first one; null if nothing is taken.
     """
+    return _planned(docs, share, most, weights).drop("tie")
+
+
+def _planned(docs: DataFrame, share: float, most: int, weights) -> DataFrame:
     sizes = written(sized(docs), "mix-sizes")
     targets = source_targets(sizes, share, most, weights)
     queued = written(
-        _queued(sizes, targets).select("doc_id", "source", "slice", "place", "size", "source_size", "target", "queue_start"), "mix-queue"
+        _queued(sizes, targets).select("doc_id", "source", "slice", "place", "size", "source_size", "target", "queue_start", "tie"), "mix-queue"
     )
     totals = queued.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).first()
     ranges, budget = max(1, -(-totals["n"] * most // RANGE_ROWS)), int(share * (totals["words"] or 0))
@@ -135,28 +139,37 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights=WEIGHTS) ->
         & (F.col("place") == F.col("t_place"))
     )
     return queued.join(taken, same, "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "offset"
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "offset", "tie"
     )
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.5, most: int = 2, weights=WEIGHTS) -> DataFrame:
     """The documents of the mix: `docs` rows once for each time they are taken, the last one cut to the words left.
 
-    Rows that share doc_id, source and text take the mean of what was taken of them.
+    A document is known by doc_id, source and text, nulls included. Rows that share all three are alike: one of
+    them stands for what is taken of all. Documents without words are in no mix. n_chars, where there is such a
+    column, follows the text. Other columns keep names and values, an empty table gives an empty result.
     """
-    plan = mix(docs, share, most, weights)
-    per_id = (
-        plan.where("taken > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"))
-        .agg(F.floor(F.avg("taken")).alias("m_taken"))
+    taken, turn, text, n, size = unused(docs, "taken", "turn", "taken_text", "rows", "words")
+    plan_id, plan_source, plan_tie = unused(docs, "plan_id", "plan_source", "plan_tie")
+    plan = _planned(docs, share, most, weights)
+    per_text = (
+        plan.groupBy(F.col("doc_id").alias(plan_id), F.col("source").alias(plan_source), F.col("tie").alias(plan_tie))
+        .agg(F.sum("taken").alias(taken), F.max("size").alias(size), F.count(F.lit(1)).alias(n))
+        .where(F.col(taken) > 0)
     )
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    here = docs.withColumn("m_words", size)
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("m_words") == F.col("m_size"))
-    whole = F.floor((F.col("m_taken") - 1) / F.col("m_size"))
-    rows = here.join(per_id, same).withColumn("m_turn", F.explode(F.sequence(F.lit(0), whole)))
-    left = F.least(F.col("m_size"), F.col("m_taken") - F.col("m_turn") * F.col("m_size"))
+    same = (
+        F.col("doc_id").cast("long").eqNullSafe(F.col(plan_id))
+        & F.col("source").cast("string").eqNullSafe(F.col(plan_source))
+        & (F.xxhash64("text", F.lit("tie")) == F.col(plan_tie))
+    )
+    found = docs.join(written(per_text, "mix-taken"), same)
+    alike = found.where(F.col(n) > 1).dropDuplicates([plan_id, plan_source, plan_tie])
+    rows = found.where(F.col(n) == 1).unionByName(alike)
+    rows = rows.withColumn(turn, F.explode(F.sequence(F.lit(0), F.floor((F.col(taken) - 1) / F.col(size)))))
+    left = F.least(F.col(size), F.col(taken) - F.col(turn) * F.col(size))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), left.cast("int")), "")
-    return rows.withColumn("m_text", F.when(left < F.col("m_size"), cut).otherwise(F.col("text"))).select(
-        *[F.col("m_text").alias(c) if c == "text" else F.length("m_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return rows.withColumn(text, F.when(left < F.col(size), cut).otherwise(F.col("text"))).select(
+        *[F.col(text).alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     )

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cashlens.session import written
 
-from .common import bounded_sample, held_out, texts
+from .common import bounded_sample, held_out, texts, unused
 
 #: At most about this many labelled rows are learned from, chosen by hash.
 TRAINING_ROWS = 100_000
@@ -71,13 +71,14 @@ def statistics(text: str) -> list[float]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every whole text."""
+    """doc_id, a hash of the text, and the statistics of every whole text."""
 
     def measure(batches):
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "stats": [statistics(t) for t in batch["text"]]})
+            stats = [statistics(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "stats": stats})
 
-    return texts(docs).mapInPandas(measure, "doc_id long, stats array<double>")
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInPandas(measure, "doc_id long, text_hash long, stats array<double>")
 
 
 @dataclass
@@ -165,7 +166,7 @@ def fit(labelled: DataFrame, bound: int = TRAINING_ROWS, features: int = FEATURE
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, taught, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted for every document; `taught` is the condition on doc_id of rows to learn from."""
+    """doc_id, text_hash, score, predicted for every document; `taught` is the condition on doc_id of rows to learn from."""
     measured = written(with_statistics(docs), "statistics")
     marks = labels.where(F.col("quality").isNotNull() & taught).groupBy("doc_id").agg(F.max("quality").cast("long").alias("label"))
     model = fit(measured.dropDuplicates(["doc_id"]).join(marks, "doc_id"))
@@ -173,9 +174,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, taught, threshold: float =
     def score(batches):
         for batch in batches:
             scores = model.score(_matrix(batch["stats"])) if len(batch) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": np.clip(scores, 0, 1)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "score": np.clip(scores, 0, 1)})
 
-    return measured.mapInPandas(score, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return measured.mapInPandas(score, "doc_id long, text_hash long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -185,6 +186,13 @@ def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, as they came."""
-    rejected = contract(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["rejected_id"], "left_anti")
+    """The documents that the classifier does not reject, as they came.
+
+    A document is judged by its own text, so of rows that share a doc_id, or have none, each goes or stays by what
+    it holds; repeated rows fare alike. A null text counts as the empty one. Columns keep names and values.
+    """
+    of_id, of_text = unused(docs, "rejected_id", "rejected_text")
+    judged = score_quality(docs, labels, ~held_out(5, 0)).where("predicted = 0")
+    rejected = judged.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_text)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(of_text))
+    return docs.join(rejected, same, "left_anti")

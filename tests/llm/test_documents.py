@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cashlens.llm import dedup, edits, mixing, pieces, pii, quality, secrets, toxicity
 
@@ -125,9 +126,69 @@ def test_near_duplicates_of_odd_rows(odd):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 6, 7, 8]
 
 
+def test_words_of_equal_sums_stay_apart(spark):
+    """A Thue-Morse word and its complement hash alike under any polynomial modulo a power of two."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert dedup.word_hashes(word.encode())[0] != dedup.word_hashes(other.encode())[0]
+    rows = [(1, word), (2, other), (3, f"some words {word} amid others"), (4, f"some words {other} amid others")]
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(1, 5)}
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(2)
+    texts = [" ".join(str(rng.randrange(999)) for _ in range(60)) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0] + " x"), (3, texts[1] + " y"), (4, texts[2]), (4, texts[2].upper()), (5, texts[2] + " z"), (6, texts[3])]
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, rows_of_id int, kept_id int, text_hash int")
+    prints = {r.text_hash: r.fingerprint for r in dedup.signatures(frame).select("text_hash", "fingerprint").collect()}
+    by_text = {r.text: r.h for r in frame.selectExpr("text", "xxhash64(text) AS h").collect()}
+    first = min((0, 1), key=lambda i: bytes(prints[by_text[texts[i]]]))
+    for _ in range(2):
+        got = {(r.doc_id, r.component_id) for r in dedup.near_duplicates(frame.repartition(3)).collect()}
+        assert got == {(1, 1), (2, 1 if first == 0 else 2), (3, 3 if first == 0 else 1), (4, 4), (5, 4), (6, 6)}
+        kept = dedup.distinct_documents(frame)
+        assert kept.columns == frame.columns
+        assert sorted(r.doc_id for r in kept.collect()) == sorted([1, 4, 6, 3 if first == 0 else 2])
+
+
 # mixing
 
 
+def test_mixed_rows_that_share_an_id(spark):
+    """Rows without id, and equal rows, come out as often as they were taken, under columns with the plan's names."""
+    rng = random.Random(6)
+    rows = [(None, " ".join(f"w{rng.randrange(10**6)}" for _ in range(10)), "a" if i % 3 else "b") for i in range(600)]
+    rows += [(7, "one two three four five", "b")] * 9 + [(None, "six seven", "a")] * 5 + [(8, None, "a"), (9, "", "b")]
+    frame = spark.createDataFrame([(*r, "t", 1, 2) for r in rows], "doc_id long, text string, source string, m_id string, taken int, words int")
+    planned = mixing.mix(frame).groupBy("source").sum("taken").collect()
+    mixed = mixing.mixed_documents(frame)
+    assert mixed.columns == frame.columns
+    words = collections.Counter()
+    for r in mixed.collect():
+        words[r.source] += len(r.text.split())
+    assert words == {r[0]: r[1] for r in planned}
+
+
+def test_rows_without_id_are_judged_by_their_text(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    scored = {r.doc_id: r.predicted for r in quality.contract(docs, labels).collect()}
+    bad = next(i for i, p in sorted(scored.items()) if p == 0)
+    good = next(i for i, p in sorted(scored.items()) if p == 1)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    more = spark.createDataFrame(
+        [(None, text[bad], "en", "x", 1), (None, text[good], "en", "x", 1), (bad, text[good], "en", "x", 1), (None, None, "en", "x", 0)], rows.schema
+    )
+    kept = quality.accepted(rows.unionByName(more).withColumn("rejected_id", F.lit(1)), labels)
+    assert "rejected_id" in kept.columns
+    found = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert found[None, text[bad]] == 0 and found[None, text[good]] == 1
+    assert found[bad, text[good]] == 1 and found[bad, text[bad]] == 0
+
+
 def test_mix_meets_targets(docs):
     got = rows_of(mixing.mix(docs))
     taken, size, target = collections.Counter(), collections.Counter(), {}
