@@ -404,12 +404,17 @@ def distinct_documents(docs: DataFrame, words: int = SHINGLE_WORDS, similarity:
     Of rows that share that doc_id one stays, by the least hash of its text. Rows without doc_id are linked with
     nothing and stay. Columns keep names and values; an empty table gives an empty result.
     """
-    kept_id, rows_of_id, text_hash, least = unused(docs, "kept_id", "rows_of_id", "text_hash", "least_hash")
+    kept_id, text_hash, least = unused(docs, "kept_id", "text_hash", "least_hash")
     kept = near_duplicates(docs, words, similarity).where("kept AND doc_id IS NOT NULL")
-    ids = written(kept.groupBy(F.col("doc_id").alias(kept_id)).agg(F.count(F.lit(1)).alias(rows_of_id)), "kept")
-    rows = docs.join(ids, docs["doc_id"] == ids[kept_id])
-    once = rows.where(F.col(rows_of_id) == 1).select(*docs.columns)
-    repeated = rows.where(F.col(rows_of_id) > 1).withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
+    ids = written(kept.groupBy(F.col("doc_id").alias(kept_id)).agg(F.count(F.lit(1)).alias("rows")), "kept")
+    several = written(ids.where("rows > 1").select(kept_id), "kept-several")
+    only = ids.where("rows = 1").select(kept_id)
+    rows = docs.join(only, docs["doc_id"] == only[kept_id]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    if several.isEmpty():
+        return rows
+    # read apart from the others, so that these texts alone cross the network again
+    hashed = docs.withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
+    repeated = written(hashed.join(several, hashed["doc_id"] == several[kept_id]), "kept-repeated")
     first = repeated.groupBy(F.col(kept_id).alias(least)).agg(F.min(text_hash).alias(f"{least}_"))
-    one = repeated.join(first, (F.col(kept_id) == F.col(least)) & (F.col(text_hash) == F.col(f"{least}_"))).dropDuplicates(["doc_id"])
-    return once.unionByName(one.select(*docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+    one = repeated.join(first, (F.col(kept_id) == F.col(least)) & (F.col(text_hash) == F.col(f"{least}_"))).dropDuplicates([kept_id])
+    return rows.unionByName(one.select(*docs.columns))
