@@ -7,12 +7,13 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import count_when, ratio
 from ..schema import MODEL_REGISTRY
 from ..session import written
+from . import trees
 from .features import (
     current_cash,
     feature_columns,
@@ -98,9 +99,10 @@ def fit_quantiles(frame, validation_rows=30, calibration=0.2, max_iter=30):
 
 
 def feature_importance(spark, model, columns, k=15):
-    """The k most important features of a fitted tree pipeline."""
-    weights = model.stages[-1].featureImportances.toArray().tolist()
-    rows = spark.createDataFrame(list(zip(columns, weights)), "feature string, importance double")
+    """The k most important features of a fitted tree pipeline, from the gains of its nodes."""
+    found = trees.importance(trees.tree_table(spark, model, columns))
+    every = spark.createDataFrame([(c,) for c in columns], "feature string")
+    rows = every.join(found, "feature", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
     return rows.orderBy(F.col("importance").desc(), "feature").limit(k)
 
 
@@ -184,8 +186,13 @@ def classifier_metrics(scored, label="target"):
 
 
 def score_declines(model, ledger, scored_at, n=100, version="v1", keep=()):
-    """Recommendations for the n latest declines."""
-    return recommend(with_probability(model, scoring_rows(ledger, n)), scored_at, version, keep)
+    """Recommendations for the n latest declines, scored by the table of the model's trees.
+
+    ``model`` is a fitted pipeline or such a table (see ``trees``).
+    """
+    rows = scoring_rows(ledger, n)
+    nodes = model if isinstance(model, DataFrame) else trees.tree_table(ledger.sparkSession, model, FEATURES)
+    return recommend(rows.withColumn("probability", trees.probability(trees.margin(nodes))), scored_at, version, keep)
 
 
 def save_model(spark, model, path, name, version, columns, target, metrics_json, trained_at):
