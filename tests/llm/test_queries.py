@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert set(QUERIES) <= set(names) and set(ORACLES) <= set(entry.oracle_sql())
 
