@@ -3,8 +3,8 @@
 Every function takes (spark, docs, sf_dir). All but the last return the columns of documents; the last one
 returns the token ids. Every stage takes nulls in any column (a null text counts as the empty one, a null doc_id is
 judged by its text and linked with nothing), empty and very long texts, repeated rows, columns of any name and empty
-tables; what each of these gives stands in the operators' docstrings. SQL cannot express the classifier or the pieces, so there is no ORACLE_SQL; tests compare
-the stages with plain versions.
+tables; what each of these gives stands in the operators' docstrings. SQL cannot express the classifier or the
+pieces, so there is no ORACLE_SQL; tests compare the stages with plain versions.
 """
 
 from __future__ import annotations
