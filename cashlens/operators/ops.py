@@ -16,8 +16,8 @@ from ..functions.money import (
 from .marts import newest_first, settled
 
 
-def success_trend(rates, n=60):
-    """Latest n day-source success rates in percent."""
+def success_trend(rates, n=60, counts=False):
+    """Latest n day-source success rates in percent, with the counts behind them if told so."""
     return (
         rates.orderBy(*newest_first("occurred_date", "source"))
         .limit(n)
@@ -25,15 +25,22 @@ def success_trend(rates, n=60):
             F.col("occurred_date").alias("date"),
             "source",
             round_half_up(F.col("success_rate") * 100.0, 1).alias("rate"),
+            *(["succeeded_count", "total_transactions"] if counts else []),
         )
     )
 
 
 def success_pivot(trend, sources=fv.SOURCES):
-    """Date by source matrix of rates, NULL where a source has none; ``other`` is the best rate of sources not listed."""
+    """Date by source matrix of rates, NULL where a source has none.
+
+    ``other`` is the rate of all sources not listed together; a trend without counts gives their best rate.
+    """
     column = F.when(F.col("source").isin(*sources), F.col("source")).otherwise("other")
     pivot = trend.withColumn("_column", column).groupBy("date").pivot("_column", [*sources, "other"])
-    return pivot.agg(F.max("rate")).orderBy("date")
+    if "total_transactions" not in trend.columns:
+        return pivot.agg(F.max("rate")).orderBy("date")
+    good, total = F.sum("succeeded_count"), F.sum("total_transactions")
+    return pivot.agg(round_half_up(ratio(good, total) * 100.0, 1)).orderBy("date")
 
 
 def decline_counts(analysis):

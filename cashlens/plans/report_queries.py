@@ -351,14 +351,15 @@ query(
 # --- operations ----------------------------------------------------------------------------
 _SUCCESS = f"""SELECT occurred_date AS date, source, {rnd("success_rate * 100.0", 1)} AS rate FROM rates
     ORDER BY occurred_date DESC NULLS FIRST, source LIMIT 60"""
+_SUCCESS_COUNTS = _SUCCESS.replace(" AS rate FROM", " AS rate, succeeded_count, total_transactions FROM")
 query("success_trend", _SUCCESS)(lambda w: ops.success_trend(rates(w)))
 query(
     "success_pivot",
     "SELECT date, "
     + ", ".join(f"MAX(rate) FILTER (WHERE source = '{s}') AS {s}" for s in fv.SOURCES)
-    + f""", MAX(rate) FILTER (WHERE COALESCE(source NOT IN {tuple(fv.SOURCES)}, TRUE)) AS other
-    FROM ({_SUCCESS}) GROUP BY date""",
-)(lambda w: ops.success_pivot(ops.success_trend(rates(w))))
+    + f""", {rnd("(100.0 * SUM(succeeded_count) FILTER (WHERE outside) / SUM(total_transactions) FILTER (WHERE outside))", 1)} AS other
+    FROM (SELECT *, COALESCE(source NOT IN {tuple(fv.SOURCES)}, TRUE) AS outside FROM ({_SUCCESS_COUNTS})) GROUP BY date""",
+)(lambda w: ops.success_pivot(ops.success_trend(rates(w), counts=True)))
 _TOP = """SELECT decline_code AS code, total_declines AS count FROM declines
     ORDER BY total_declines DESC, decline_code LIMIT 10"""
 query("top_declines", _TOP)(lambda w: ops.top_declines(marts.decline_analysis(w.ledger)))

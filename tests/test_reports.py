@@ -178,6 +178,10 @@ def test_nothing_falls_outside_the_lists(spark):
     trend = spark.createDataFrame([("2024-01-01", "stripe", 90.0), ("2024-01-01", "manual", 80.0)], "date string, source string, rate double")
     row = ops.success_pivot(trend).first()
     assert row["stripe"] == 90.0 and row["other"] == 80.0
+    rows = [("2024-01-01", "stripe", 0.9, 9, 10), ("2024-01-01", "new", 0.5, 1, 2), ("2024-01-01", "newer", 1.0, 98, 98), ("2024-01-02", "stripe", 0.5, 1, 2)]
+    rates = spark.createDataFrame(rows, "occurred_date string, source string, success_rate double, succeeded_count long, total_transactions long")
+    first, second = ops.success_pivot(ops.success_trend(rates, counts=True), ["stripe"]).collect()
+    assert first["stripe"] == 90.0 and first["other"] == 99.0 and second["other"] is None
 
 
 def test_budget_keeps_lines_of_both_sides(spark):
