@@ -58,7 +58,7 @@ def train_forecast(spark, ledger_path, model_path, as_of, version, days=365, reg
     """Fit and save the cash forecast, register it; returns the fitted model and its registry row."""
     frame = models.training_frame(read_ledger(spark, ledger_path), as_of, days)
     fitted = models.fit_quantiles(frame)
-    details = json.dumps({**fitted.metrics, "low": fitted.low, "high": fitted.high})
+    details = json.dumps(fitted.metrics)
     trained = spark.range(1).select(feeds.utc_now()).first()[0]
     row = models.save_model(
         spark, fitted.model, model_path, "cash_forecast", version, fitted.columns, models.FLOW_TARGET, details, trained

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.money import count_when, ratio
 from ..schema import MODEL_REGISTRY
 from ..session import written
-from . import trees
+from . import quantiles, trees
 from .features import (
     current_cash,
     feature_columns,
@@ -31,6 +31,7 @@ SEED = 42
 # ranges of scores between 0 and 1 that are summed on their own
 SCORE_RANGES = 1000
 FLOW_TARGET = "target_net_flow_1d"
+QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 
 
 def training_frame(ledger, as_of, days=365):
@@ -39,34 +40,32 @@ def training_frame(ledger, as_of, days=365):
 
 
 class QuantileForecast:
-    """Median model with outer-quantile offsets, so that P10 <= P50 <= P90 always holds."""
+    """Median model and the trees of the outer quantiles, ordered so that P10 <= P50 <= P90 always holds."""
 
-    def __init__(self, model, columns, low, high, metrics):
-        self.model, self.columns, self.low, self.high, self.metrics = model, columns, low, high, metrics
+    def __init__(self, model, columns, outer, metrics):
+        self.model, self.columns, self.outer, self.metrics = model, columns, outer, metrics
 
     def predict(self, rows):
         """Rows with p10, p50 and p90 columns."""
-        scored = self.model.transform(rows)
-        return scored.withColumns(
+        middle = F.col("prediction")
+        return self.model.transform(rows).withColumns(
             {
-                "p10": F.col("prediction") + F.lit(min(self.low, 0.0)),
-                "p50": F.col("prediction"),
-                "p90": F.col("prediction") + F.lit(max(self.high, 0.0)),
+                "p10": F.least(trees.margin(self.outer["p10"]), middle),
+                "p50": middle,
+                "p90": F.greatest(trees.margin(self.outer["p90"]), middle),
             }
         ).drop("features", "prediction")
 
 
-def fit_quantiles(frame, validation_rows=30, calibration=0.2, max_iter=30):
+def fit_quantiles(frame, validation_rows=30, max_iter=30, rounds=8):
     """P10/P50/P90 of next-day net flow.
 
-    The median is a boosted-tree fit of the absolute error. The outer quantiles are the median plus
-    the 10th and 90th percentile of its residuals on the last part of the training rows, which
-    the fit does not see. The newest rows validate, and boosting stops when they no longer gain.
+    The median is a boosted-tree fit of the absolute error, the outer quantiles are boosted on the pinball loss
+    (see ``quantiles``). The newest rows validate; each boosting ends where they no longer gain.
     """
     columns = feature_columns(frame)
     split = time_split(written(frame, "forecast-training"), "posted_date", last=validation_rows)
-    train, held = split.filter(F.col("split") == "train").drop("split"), split.filter(F.col("split") == "validate")
-    parts = time_split(train, "posted_date", frac=1.0 - calibration)
+    train, held = (split.filter(F.col("split") == part).drop("split") for part in ("train", "validate"))
     stages = [
         VectorAssembler(inputCols=columns, outputCol="features"),
         GBTRegressor(
@@ -74,25 +73,16 @@ def fit_quantiles(frame, validation_rows=30, calibration=0.2, max_iter=30):
             validationIndicatorCol="stops",
         ),
     ]
-    seen = parts.filter(F.col("split") == "train").withColumn("stops", F.lit(False))
-    model = Pipeline(stages=stages).fit(seen.unionByName(held.withColumn("stops", F.lit(True))))
-    residual = F.col(FLOW_TARGET) - F.col("prediction")
-    low, high = (
-        model.transform(parts.filter(F.col("split") == "validate"))
-        .agg(F.percentile(residual, 0.1), F.percentile(residual, 0.9))
-        .first()
-    )
-    fitted = QuantileForecast(model, columns, low, high, {})
-    scored = fitted.predict(held)
-    error = {q: F.col(FLOW_TARGET) - F.col(q) for q in ("p10", "p50", "p90")}
-    alphas = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    model = Pipeline(stages=stages).fit(split.withColumn("stops", F.col("split") == "validate"))
+    outer = {
+        q: quantiles.fit_quantile(train, held, columns, FLOW_TARGET, QUANTILES[q], rounds, seed=SEED) for q in ("p10", "p90")
+    }
+    fitted = QuantileForecast(model, columns, outer, {})
+    scored, actual = fitted.predict(held), F.col(FLOW_TARGET)
     row = scored.agg(
-        *[F.avg(F.abs(e)).alias(f"{q}_mae") for q, e in error.items()],
-        *[
-            F.avg(F.greatest(alphas[q] * e, (alphas[q] - 1.0) * e)).alias(f"{q}_pinball_loss")
-            for q, e in error.items()
-        ],
-        F.avg(F.col(FLOW_TARGET).between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage"),
+        *[F.avg(F.abs(actual - F.col(q))).alias(f"{q}_mae") for q in QUANTILES],
+        *[F.avg(quantiles.pinball(actual, F.col(q), alpha)).alias(f"{q}_pinball_loss") for q, alpha in QUANTILES.items()],
+        F.avg(actual.between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage"),
     ).first()
     fitted.metrics = row.asDict()
     return fitted
@@ -207,17 +197,20 @@ def load_model(path):
 
 
 def save_forecast(spark, fitted, path):
-    """Save all that a forecast needs: the pipeline, and beside it columns, offsets and metrics."""
+    """Save all that a forecast needs: the pipeline, and beside it columns, metrics and the outer quantiles' trees."""
     fitted.model.write().overwrite().save(path)
-    row = [(list(fitted.columns), float(fitted.low), float(fitted.high), json.dumps(fitted.metrics))]
-    rows = spark.createDataFrame(row, "columns array<string>, low double, high double, metrics_json string")
+    row = [(list(fitted.columns), json.dumps(fitted.metrics))]
+    rows = spark.createDataFrame(row, "columns array<string>, metrics_json string")
     rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/quantiles")
+    for q, nodes in fitted.outer.items():
+        nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/trees_{q}")
 
 
 def load_forecast(spark, path):
     """The forecast that ``save_forecast`` saved, in any session."""
     row = spark.read.parquet(f"{path}/quantiles").first()
-    return QuantileForecast(load_model(path), row["columns"], row["low"], row["high"], json.loads(row["metrics_json"]))
+    outer = {q: spark.read.parquet(f"{path}/trees_{q}") for q in ("p10", "p90")}
+    return QuantileForecast(load_model(path), row["columns"], outer, json.loads(row["metrics_json"]))
 
 
 def registered(row, registry_path):

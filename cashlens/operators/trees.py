@@ -7,6 +7,7 @@ the data size, so it becomes an expression: scoring needs neither a shuffle nor
 
 import uuid
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -43,10 +44,18 @@ def tree_table(spark, model, features):
     )
 
 
+def node(tree, node, feature=None, threshold=None, left_node=None, right_node=None, value=None, gain=None, rows=None, weight=1.0):
+    """A row of the table."""
+    return Row(
+        tree=tree, node=node, feature=feature, threshold=threshold, left_node=left_node, right_node=right_node, value=value,
+        gain=gain, rows=rows, weight=weight,
+    )
+
+
 def _trees(nodes):
-    """tree -> node -> row; bounded by rounds and depth of the fit, not by data."""
+    """tree -> node -> row, of a table or a list; bounded by rounds and depth of the fit, not by data."""
     found = {}
-    for row in nodes.collect():
+    for row in nodes if isinstance(nodes, list) else nodes.collect():
         found.setdefault(row["tree"], {})[row["node"]] = row
     return dict(sorted(found.items()))
 
@@ -68,6 +77,12 @@ def margin(nodes):
     return total
 
 
+def leaves(nodes):
+    """The leaf of each tree that a row falls into, as an array column of tree and node."""
+    at = lambda t, n: F.struct(F.lit(t).alias("tree"), F.lit(n).alias("node"))
+    return F.array(*[_walk(tree, lambda row, _, t=t: at(t, row["node"])) for t, tree in _trees(nodes).items()])
+
+
 def probability(margin_):
     """Probability of the positive class of trees boosted on the logistic loss."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin_))
