@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 from .operators import marts, models, quality, recon
 from .operators.merge import mark_removed_path, upsert_ledger_path, upsert_table
 from .session import written
-from .sources import feeds
-from .sources.ledger import read_ledger
+from .sources import feeds, quarantine
+from .sources.ledger import quarantine_path, read_ledger
 
 
-def ingest_processor_events(spark, events_path, ledger_path, account_id, start, end):
-    """Landed processor events of a time range into the ledger."""
-    events = feeds.read_processor_events(spark, events_path, start, end)
-    events = events.withColumn("event_created", F.col("created"))
+def ingest_processor_events(spark, events_path, ledger_path, account_id, start, end, batch="latest"):
+    """Landed processor events of a time range into the ledger; returns how many rows could not be read.
+
+    Those are kept under the ledger's log, by the name of the batch.
+    """
+    rows = feeds.processor_event_lines(spark, events_path, start, end)
+    aside = quarantine.keep_broken(rows, quarantine_path(ledger_path, "events"), batch)
+    events = quarantine.readable(rows).withColumn("event_created", F.col("created"))
     rows = feeds.normalize_processor(events, account_id, keep=("event_created",))
     upsert_ledger_path(spark, ledger_path, rows, order_by=("event_created", "occurred_at"))
+    return aside
 
 
-def ingest_bank_sync(spark, pages_path, ledger_path):
-    """Landed bank sync pages into the ledger."""
-    rows = feeds.normalize_bank(feeds.read_bank_sync(spark, pages_path))
-    upsert_ledger_path(spark, ledger_path, rows)
+def ingest_bank_sync(spark, pages_path, ledger_path, batch="latest"):
+    """Landed bank sync pages into the ledger; returns how many pages and rows could not be read.
+
+    Those are kept under the ledger's log, by the name of the batch.
+    """
+    rows = feeds.bank_sync_lines(spark, pages_path)
+    aside = quarantine.keep_broken(rows, quarantine_path(ledger_path, "bank"), batch)
+    upsert_ledger_path(spark, ledger_path, feeds.normalize_bank(quarantine.readable(rows)))
+    return aside
 
 
 def remove_bank_rows(spark, ids, ledger_path):

@@ -169,6 +169,33 @@ def event_rows(w):
     )
 
 
+def event_lines(w):
+    """A text line for each event: some cut short, some with a time or an amount that is no number, some without a type."""
+    e, n = w.table("events"), F.col("event_id")
+    created = F.floor(wall_micros("ts") / 1_000_000).cast("string")
+    text = F.concat(
+        F.lit('{"id": "obj_'), n.cast("string"), F.lit('", "created": '),
+        F.when(n % 103 == 0, F.lit('"soon"')).otherwise(created), F.lit(', "amount": '),
+        F.when(n % 109 == 0, F.lit("[1]")).otherwise(F.lit("5")), F.when(n % 107 != 0, F.lit(', "type": "charge.succeeded"')).otherwise(F.lit("")), F.lit("}"),
+    )
+    return e.select(F.when(n % 101 == 0, F.substring(text, 1, 14)).otherwise(text).alias("value"))
+
+
+VIEWS["event_lines"] = """
+  SELECT CASE WHEN event_id % 101 = 0 THEN substr(line, 1, 14) ELSE line END AS line,
+    CASE WHEN event_id % 101 = 0 THEN 'not a JSON object' WHEN event_id % 103 = 0 OR event_id % 109 = 0 THEN 'a value of the wrong type'
+      WHEN event_id % 107 = 0 THEN 'no type' END AS reason
+  FROM (SELECT event_id, '{"id": "obj_' || event_id || '", "created": ' || CASE WHEN event_id % 103 = 0 THEN '"soon"'
+      ELSE CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR) END || ', "amount": ' || CASE WHEN event_id % 109 = 0 THEN '[1]' ELSE '5' END
+      || CASE WHEN event_id % 107 <> 0 THEN ', "type": "charge.succeeded"' ELSE '' END || '}' AS line FROM events)"""
+
+
+def landed_lines(w, name, build):
+    """Text files of a feed, written once per workspace."""
+    path = f"{w.root}/{name}"
+    return w.once(f"landed {name}", lambda: (build(w).write.mode("overwrite").text(path), path)[1])
+
+
 def landed(w, name, build):
     """JSON files of a feed, written once per workspace."""
     path = f"{w.root}/{name}"

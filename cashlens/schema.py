@@ -155,6 +155,8 @@ BANK_SYNC_PAGE = _struct(
     ("modified", T.ArrayType(BANK_TRANSACTION)),
     ("removed", T.ArrayType(_struct(("transaction_id", _STR)))),
 )
+# a page as it is read first: each transaction still a text
+BANK_SYNC_TEXT = _struct(("account_id", _STR), ("added", T.ArrayType(_STR)), ("modified", T.ArrayType(_STR)))
 BANK_WEBHOOK = _struct(
     ("webhook_type", _STR),
     ("webhook_code", _STR),

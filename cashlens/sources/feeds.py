@@ -13,7 +13,8 @@ from ..functions.rules import (
     net_cents,
     with_date_parts,
 )
-from ..schema import BANK_SYNC_PAGE, EVENT_PAYLOAD, PROCESSOR_EVENT
+from ..schema import BANK_SYNC_TEXT, BANK_TRANSACTION, EVENT_PAYLOAD, PROCESSOR_EVENT
+from . import quarantine
 from .ledger import stored_columns
 
 
@@ -31,19 +32,37 @@ def _text_or(*choices):
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in choices[:-1]], choices[-1])
 
 
+def processor_event_lines(spark, path, start, end):
+    """Landed events of a time range, with the broken lines of all files (see ``quarantine``)."""
+    rows = quarantine.parsed(quarantine.lines(spark.read, path), PROCESSOR_EVENT, required=("type", "created"))
+    wanted = F.col("created").between(start, end) & F.col("type").isin(list(fv.EVENT_TYPES))
+    return rows.filter(F.col("reason").isNotNull() | wanted)
+
+
 def read_processor_events(spark, path, start, end):
-    """Landed event files: supported types created within two epoch seconds (inclusive)."""
-    return (
-        spark.read.schema(PROCESSOR_EVENT)
-        .json(path)
-        .filter(F.col("created").between(start, end) & F.col("type").isin(list(fv.EVENT_TYPES)))
-    )
+    """Landed event files: supported types created within two epoch seconds (inclusive).
+
+    What cannot be read is left out here; ``processor_event_lines`` has it.
+    """
+    return quarantine.readable(processor_event_lines(spark, path, start, end))
+
+
+def bank_sync_lines(spark, path):
+    """Added and modified rows of landed sync pages, with the pages and the rows in them that are broken.
+
+    A broken row of a page is set aside alone.
+    """
+    pages = quarantine.parsed(quarantine.lines(spark.read, path), BANK_SYNC_TEXT)
+    rows = [
+        quarantine.parsed(pages.filter("reason IS NULL").select("account_id", F.explode(part).alias("line")), BANK_TRANSACTION)
+        for part in ("added", "modified")
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(quarantine.broken(pages), allowMissingColumns=True)
 
 
 def read_bank_sync(spark, path):
-    """Added and modified rows of landed sync pages, one row per transaction."""
-    pages = spark.read.schema(BANK_SYNC_PAGE).json(path)
-    return bank_sync_rows(pages)
+    """Added and modified rows of landed sync pages, one row per transaction, without what cannot be read."""
+    return quarantine.readable(bank_sync_lines(spark, path))
 
 
 def bank_sync_rows(pages):
@@ -51,12 +70,20 @@ def bank_sync_rows(pages):
     return rows("added").unionByName(rows("modified"))
 
 
-def stream_processor_events(spark, path, **options):
-    """Event files as a stream; unsupported types are dropped."""
-    reader = spark.readStream.schema(PROCESSOR_EVENT)
+def stream_processor_events(spark, path, broken=False, **options):
+    """Event files as a stream; unsupported types are dropped.
+
+    With ``broken`` the lines that cannot be read stay, with their text and a reason, and
+    ``stream_to_ledger`` sets them aside.
+    """
+    reader = spark.readStream
     for key, value in options.items():
         reader = reader.option(key, value)
-    return reader.json(path).filter(F.col("type").isin(list(fv.EVENT_TYPES)))
+    rows = quarantine.parsed(quarantine.lines(reader, path), PROCESSOR_EVENT, required=("type",))
+    if not broken:
+        rows = quarantine.readable(rows)
+        return rows.filter(F.col("type").isin(list(fv.EVENT_TYPES)))
+    return rows.filter(F.col("reason").isNotNull() | F.col("type").isin(list(fv.EVENT_TYPES)))
 
 
 def route_bank_webhooks(df):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import with_usd
 from ..schema import LEDGER, LEDGER_PARTITIONS, LEDGER_STORED
+from .tablelog import FOLDER
 
 _DEFAULTS = {
     "is_recurring": False,
@@ -65,6 +66,11 @@ def write_ledger(df, path, mode="overwrite", arranged=False):
     )
 
 
+def quarantine_path(path, feed):
+    """Where a feed's lines that could not be read are kept, in the folder of the ledger's log."""
+    return f"{path.rstrip('/')}/{FOLDER}/quarantine/{feed}"
+
+
 def read_ledger(spark, path, start=None, end=None):
     """Scan with the declared schema; a date range also prunes year/month partitions."""
     df = spark.read.schema(LEDGER).parquet(path)

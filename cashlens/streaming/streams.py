@@ -9,8 +9,9 @@ from ..functions.rules import from_micros, wall_micros
 from ..operators.marts import settled
 from ..operators.merge import ledger_changes, ledger_state, mark_removed_path, upsert_ledger_path, write_partitions
 from ..schema import BANK_WEBHOOK
+from ..sources import quarantine
 from ..sources.feeds import normalize_processor, removed_ids
-from ..sources.ledger import read_ledger
+from ..sources.ledger import quarantine_path, read_ledger
 from ..sources.tablelog import TableLog
 
 
@@ -23,11 +24,15 @@ def stream_to_ledger(events, ledger_path, checkpoint, account_id="acct_main", tr
 
     Every micro-batch is a keyed merge, so a repeated batch or event leaves the table as it was and
     an event may come any time late. Within a batch the event created last wins. ``hourly`` and
-    ``daily`` name tables of live statistics that follow the ledger.
+    ``daily`` name tables of live statistics that follow the ledger. Lines that a stream with ``broken``
+    could not read are kept under the ledger's log, by batch.
     """
 
-    def merge(batch, _batch_id):
+    def merge(batch, batch_id):
         spark = batch.sparkSession
+        if "reason" in batch.columns:
+            quarantine.keep_broken(batch, quarantine_path(ledger_path, "events"), batch_id)
+            batch = quarantine.readable(batch)
         rows = normalize_processor(
             batch.withColumn("event_created", F.col("created")), account_id, keep=("event_created",)
         )
