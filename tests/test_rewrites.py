@@ -90,6 +90,43 @@ def test_recon_match(books, monkeypatch, rows_per_salt):
     assert sizes == sorted(sizes, reverse=True)
 
 
+def test_blocks_of_one_hot_cell_are_even(ledger_of, monkeypatch):
+    """All rows of both sides in one day and one amount cell: no block holds more than thrice the median of either side."""
+    monkeypatch.setattr(recon, "ROWS_PER_SALT", 40)
+    rows = [
+        row(i, posted_date=str(START.date()), source="stripe" if i % 3 == 0 else "plaid", type="payout" if i % 3 == 0 else "charge",
+            amount=250000 + i % 7, net_amount=-250000 - i % 7 if i % 3 == 0 else 250000 + i % 7)
+        for i in range(900)
+    ]
+    ledger = ledger_of(rows)
+    sides = recon.payout_candidates(ledger, "2024-01-05"), recon.deposit_candidates(ledger, "2024-01-05")
+    for side, parts in zip(recon.match_blocks(*sides), (8, 15), strict=True):
+        sizes = sorted(r["count"] for r in side.groupBy("bank_date", "cell", "payouts_block", "deposits_block").count().collect())
+        assert len(sizes) == 8 * 15 and sizes[-1] <= 3 * sizes[len(sizes) // 2] and sizes[-1] < 3 * 40, (parts, sizes)
+    assert recon.recon_match(*sides).count() == 300 * 600
+
+
+@pytest.mark.parametrize("n", [1, 7, 20, 5000])
+def test_largest_discrepancies_open_few_pairs(books, n):
+    """Ties by the hundred at one date and amount: the same first rows as through all pairs."""
+    sides = recon.payout_candidates(books, "2024-01-05"), recon.deposit_candidates(books, "2024-01-05")
+    every = recon.recon_discrepancies(*sides).collect()
+    assert recon.recon_discrepancies(*sides, n=n).collect() == every[:n]
+    # one pair for each two amounts, down to the nth gap and what equals it
+    apart = [r for r in every if r.diff_usd is not None]
+    amounts = {(r.payout_date, r.payout_amount, r.bank_date, r.bank_amount): abs(r.diff_usd) for r in apart}
+    last = sorted(amounts.values(), reverse=True)[: n][-1] if n <= len(amounts) else 0
+    opened = recon.amount_gaps(*sides, n=n).count()
+    assert opened == sum(g >= last for g in amounts.values()) and opened < len(apart) / 3
+
+
+def test_largest_discrepancies_of_odd_tables(books):
+    pay, dep = recon.payout_candidates(books, "2024-01-05"), recon.deposit_candidates(books, "2024-01-05")
+    assert recon.recon_discrepancies(pay, dep.limit(0), n=5).count() == 5
+    assert recon.recon_discrepancies(pay.limit(0), dep, n=5).count() == 0
+    assert recon.widest_gaps(pay, dep.limit(0)).count() == 0
+
+
 def test_no_deposits(books):
     pay = recon.payout_candidates(books, "2024-01-05")
     none = recon.deposit_candidates(books.limit(0), "2024-01-05")
