@@ -1,10 +1,14 @@
 """Secrets by assignment-aware lexing, beside three fixed patterns.
 
 Source and configuration syntax is lexed into name-literal pairs: `name = "literal"`, `name: literal`,
-`"name": "literal"`, `name := other_name`, `a = b + "tail"`. Names carry their literals forward, so a literal
-that reaches a sensitive name through other names counts as well; its own span is reported. A literal's score
-combines how sensitive the name is and how random the literal looks. Operands that are joined are scored as one
-value as well, and all of its pieces are reported.
+`"name": "literal"`, `table["name"] = "literal"`, `name: type = "literal"`, `name := other_name`, `a = b = "literal"`,
+`a = b + "tail"`, `a = ("head" "tail")`, `a = call("literal")`. Strings are read with their escapes, prefixes and
+triple quotes; a string over several lines gives a piece for each line. Names carry their literals forward, so a
+literal that reaches a sensitive name through other names counts as well; its own span is reported. A literal's
+score combines how sensitive the name is and how random the literal looks. Operands that are joined are scored as
+one value as well, and all of its pieces are reported. Within a call or a list, literals that look like names of
+things (no digit, or CAPITALS_WITH_UNDERSCORES) are arguments of a lookup and do not count. The time grows in
+proportion to the text.
 
 Defined results: a null text counts as the empty one; overlapping finds of the lexer and of the fixed patterns
 are all kept, a lexed literal only where no base span covers it; repeated rows are scanned one by one; an empty
@@ -15,8 +19,9 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,17 +46,25 @@ SENSITIVE = {
 #: Least product of the name's and the literal's score.
 LEAST_SCORE = 0.45
 LEAST_CHARS = 8
-#: From this name's score on, literals may hold white space.
-HIGHLY_SENSITIVE = 0.9
+#: From this name's score on, literals may hold white space and be as short as SHORT_CHARS.
+HIGHLY_SENSITIVE, SHORT_CHARS = 0.9, 5
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*+(?:[.-][A-Za-z_][A-Za-z0-9_]*+)*+"
-# one operand: a quoted literal, a bare literal or a name
-_OPERAND = r"(?:\"[^\"\n]*+\"|'[^'\n]*+'|`[^`\n]*+`|[A-Za-z0-9_][^\s\"'`,;(){}\[\]<>|&!*%#$]*+)"
-_PAIR = re.compile(
-    r"(?<![A-Za-z0-9_.-])(?P<quote>[\"']?)(?P<name>" + _NAME + r")(?P=quote)[ \t]*(?::=|=>|=(?![=~>])|:(?![:/]))[ \t]*(?P<value>"
-    + _OPERAND + r"(?:[ \t]*\+[ \t]*" + _OPERAND + r")*+)"
+# the left side of a pair and its operator; a type may stand between the two
+_TYPE = r"[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\]\n=\"']*+\]|<[^>\n=\"']*+>)?(?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_]*+)*+\??"
+_TARGET = re.compile(
+    r"(?<![A-Za-z0-9_.-])(?P<quote>[\"']?)(?P<name>" + _NAME + r")(?:(?P=quote)|\\(?P=quote))\]?(?P<gap>[ \t]*)"
+    r"(?:\??:[ \t]*(?P<type>" + _TYPE + r")[ \t]+=(?![=~>])|(?P<op>:=|=>|\+=|=(?![=~>])|:(?![:/])))[ \t]*"
 )
-_PART = re.compile(_OPERAND)
+_STRING = re.compile(
+    r"""(?P<prefix>(?:[rRbBuUfF]{1,2}(?=["']))?)(?:(?P<triple>\"{3}|'{3})(?P<long>(?:[^\\]|\\.)*?)(?P=triple)"""
+    r"""|(?P<mark>["'`])(?P<short>(?:[^"'`\\\n]|\\.|(?!(?P=mark))["'`])*+)(?P=mark)|(?P<plain>["'])(?P<raw>(?:(?!(?P=plain))[^\n])*+)(?P=plain)"""
+    r"""|\\(?P<nested>["'])(?P<inner>[^"'\\\n]*+)\\(?P=nested))""",
+    re.S,
+)
+_BARE = re.compile(r"[A-Za-z0-9_][^\s\"'`,;(){}\[\]<>|&!*%#$]*+")
+_BLANKS, _WIDE_BLANKS, _PLUS = re.compile(r"[ \t]*+"), re.compile(r"(?:[ \t\r]|\n(?![ \t\r]*\n))*+"), re.compile(r"[ \t]*+\+(?![+=])[ \t]*+")
+_LOOKED_UP = re.compile(r"[^0-9]*|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -64,18 +77,139 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
-    """Name and operands (start, end, quoted) of each assignment, in order."""
-    found = []
-    if "=" not in text and ":" not in text:
+class _Lexer:
+    """Name, joined operands and loose operands of each assignment of a text.
+
+    The assignments are read from the last to the first, so that one which stands within the value of another
+    is read once and then passed over.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.targets = list(_TARGET.finditer(text))
+        self.at = {m.start("name"): i for i, m in enumerate(self.targets)}
+        self.values: list = [None] * len(self.targets)
+        self.ends = [m.end() for m in self.targets]
+        for i in range(len(self.targets) - 1, -1, -1):
+            joined, loose = [], []
+            self.ends[i] = self.value(self.targets[i].end(), joined, loose)
+            self.values[i] = joined, loose
+
+    def pairs(self) -> list:
+        found = []
+        for m, (joined, loose) in zip(self.targets, self.values, strict=True):
+            if joined or loose:
+                found.append((m["name"], joined, loose))
+                # `note: password = "..."` looks like a type
+                if m["type"] and name_score(m["type"]):
+                    found.append((m["type"], joined, loose))
         return found
-    for m in _PAIR.finditer(text):
-        at, operands = m.start("value"), []
-        for part in _PART.finditer(m["value"]):
-            quoted = part[0][0] in "\"'`"
-            operands.append((at + part.start() + quoted, at + part.end() - quoted, quoted))
-        found.append((m["name"], operands))
-    return found
+
+    def string(self, at: int):
+        """Pieces of a string and its end: one piece, or one for each line that is not blank."""
+        m = _STRING.match(self.text, at)
+        if m is None:
+            return None
+        part = next(p for p in ("long", "short", "raw", "inner") if m[p] is not None)
+        if "\n" not in m[part]:
+            return [(m.start(part), m.end(part), True)], m.end()
+        pieces, start = [], m.start(part)
+        for line in m[part].split("\n"):
+            kept = line.strip()
+            if kept:
+                left = start + line.index(kept)
+                pieces.append((left, left + len(kept), True))
+            start += len(line) + 1
+        return pieces, m.end()
+
+    def chained(self, at: int) -> int | None:
+        """The assignment that starts here, as in `a = b = value`."""
+        i = self.at.get(at)
+        if i is None or not self.values[i] or not any(self.values[i]):
+            return None
+        m = self.targets[i]
+        spaced = m["gap"] or m["type"] or self.text[m.end() : m.end() + 1] in ("\"", "'")
+        return i if spaced and m["op"] != ":" else None
+
+    def value(self, at: int, joined: list, loose: list) -> int:
+        """Reads operands joined by + or standing side by side; returns where they end."""
+        text = self.text
+        while True:
+            string = self.string(at)
+            if string:
+                pieces, at = string
+                joined += pieces
+            elif text[at : at + 1] in ("(", "["):
+                at = self.enclosed(at, joined if text[at] == "(" else None, loose)
+            else:
+                inner = self.chained(at)
+                bare = _BARE.match(text, at)
+                if inner is not None:
+                    m = self.targets[inner]
+                    joined.append((m.start("name"), m.end("name"), False))
+                    return self.ends[inner]
+                if bare is None:
+                    return at
+                at = bare.end()
+                if text[at : at + 1] == "(":
+                    at = self.enclosed(at, None, loose)
+                else:
+                    joined.append((bare.start(), bare.end(), False))
+            plus = _PLUS.match(text, at)
+            if plus:
+                at = plus.end()
+                continue
+            after = _BLANKS.match(text, at).end()
+            if not string or not _STRING.match(text, after):
+                return at
+            at = after
+
+    def enclosed(self, at: int, joined: list | None, loose: list) -> int:
+        """Reads up to the closing bracket or a blank line.
+
+        Without commas what a round bracket holds is one joined value; otherwise the literals are loose ones.
+        """
+        text, depth, pieces, alone = self.text, 0, [], joined is not None
+        while at < len(text):
+            at = _WIDE_BLANKS.match(text, at).end()
+            c = text[at : at + 1]
+            if not c or c == "\n":
+                break
+            i = self.at.get(at, self.at.get(at + 1) if c in "\"'" else None)
+            if i is not None and self.values[i] is not None:
+                m = self.targets[i]
+                if any(self.values[i]):
+                    pieces.append((m.start("name"), m.end("name"), False))
+                alone, at = False, self.ends[i]
+                continue
+            string = self.string(at) if c in "\"'`\\rRbBuUfF" else None
+            if string:
+                pieces += string[0]
+                at = string[1]
+                continue
+            bare = _BARE.match(text, at)
+            if bare:
+                if text[bare.end() : bare.end() + 1] == "(":
+                    alone = False
+                else:
+                    pieces.append((bare.start(), bare.end(), False))
+                at = bare.end()
+                continue
+            depth += (c in "([{") - (c in ")]}")
+            alone = alone and c in "()+"
+            at += 1
+            if not depth:
+                break
+        if alone:
+            joined += pieces
+        else:
+            loose += pieces
+        return at
+
+
+def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]], list[tuple[int, int, bool]]]]:
+    """Name, joined operands and loose ones (start, end, quoted) of each assignment, in order."""
+    return _Lexer(text).pairs() if "=" in text or ":" in text else []
 
 
 def name_score(name: str) -> float:
@@ -87,14 +221,14 @@ def name_score(name: str) -> float:
     return 1 - left
 
 
-def literal_score(value: str | Counter, blanks: bool = False) -> float:
+def literal_score(value: str | Counter, trusted: bool = False) -> float:
     """How random a literal looks: its entropy a character, and whether it mixes kinds of characters.
 
-    A literal with white space scores only where `blanks` allows it.
+    A literal with white space or fewer than LEAST_CHARS characters scores only where its name is `trusted`.
     """
     counts = Counter(value)
     n = sum(counts.values())
-    if n < LEAST_CHARS or (not blanks and any(map(str.isspace, counts))):
+    if n < (SHORT_CHARS if trusted else LEAST_CHARS) or (not trusted and any(map(str.isspace, counts))):
         return 0.0
     entropy = -sum(x / n * math.log2(x / n) for x in counts.values())
     every = "".join(counts)
@@ -122,7 +256,7 @@ class _Joined:
     def __init__(self, text: str, found: list):
         self.text, self.found, self.known = text, found, {}
         self.lines: dict[str, list[int]] = {}
-        for i, (name, _) in enumerate(found):
+        for i, (name, _, _) in enumerate(found):
             self.lines.setdefault(name, []).append(i)
 
     def operands(self, i: int) -> list:
@@ -163,12 +297,19 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     holds: dict[str, set[tuple[int, int]]] = {}
     takes: dict[str, set[str]] = {}
     found = pairs(text)
-    names = {name for name, _ in found}
-    for name, operands in found:
-        for start, end, quoted in operands:
+    names = {name for name, _, _ in found}
+    short = set()
+    for name, operands, loose in found:
+        for start, end, quoted in [*operands, *loose]:
             if not quoted and text[start:end] in names:
                 takes.setdefault(name, set()).add(text[start:end])
-            else:
+        for start, end, quoted in operands:
+            if quoted or text[start:end] not in names:
+                holds.setdefault(name, set()).add((start, end))
+                if not quoted and end - start < LEAST_CHARS:
+                    short.add((start, end))
+        for start, end, quoted in loose:
+            if quoted and not _LOOKED_UP.fullmatch(text, start, end):
                 holds.setdefault(name, set()).add((start, end))
     # the most sensitive name that each name's constants reach decides
     weights, reached = {}, set()
@@ -180,9 +321,10 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     def scores(weight: float, value: str | Counter) -> bool:
         return weight * literal_score(value, weight >= HIGHLY_SENSITIVE) >= LEAST_SCORE
 
-    spans = {s for n, weight in weights.items() for s in holds.get(n, ()) if scores(weight, text[s[0] : s[1]])}
+    # a short word without quotes is no literal of its own
+    spans = {s for n, weight in weights.items() for s in holds.get(n, ()) if s not in short and scores(weight, text[s[0] : s[1]])}
     joined, whole = _Joined(text, found), set()
-    for i, (name, operands) in enumerate(found):
+    for i, (name, operands, _) in enumerate(found):
         if len(operands) > 1 and name in weights and scores(weights[name], joined.value(i)):
             spans |= {(s, e) for s, e, quoted in operands if quoted or text[s:e] not in names}
             for n in _closure({text[s:e] for s, e, quoted in operands if not quoted and text[s:e] in names}, takes, whole):
@@ -194,9 +336,11 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
     """Base spans, and those that the lexer adds outside of them."""
     base = base_spans(text)
     covers = sorted((s, e) for s, e, _ in base)
+    starts, reach = [s for s, _ in covers], list(accumulate((e for _, e in covers), max))
     more = []
     for span in lexed_spans(text):
-        if not any(s <= span[0] and span[1] <= e for s, e in covers):
+        before = bisect_right(starts, span[0])
+        if not before or reach[before - 1] < span[1]:
             more.append(span)
     return base, more
 
