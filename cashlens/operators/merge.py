@@ -188,7 +188,7 @@ BUCKET_KEYS, BUCKET_FILES = 1 << 20, 16
 #: Versions whose changes are kept for tables that follow the ledger.
 KEPT_CHANGES = 1000
 #: What the tables that follow the ledger need to know of a changed row.
-FOLLOWED = ["occurred_at", "source", "status", "amount", "fx_rate"]
+FOLLOWED = ["occurred_at", "source", "status", "amount", "fx_rate", "net_amount", "basis", "posted_date"]
 
 
 def bucket_of(key, n):
@@ -314,7 +314,6 @@ def _changes(before, after):
 def _merge_into_ledger(spark, path, rows, merge, only_known=False):
     """Merge rows, one per key, into a written ledger through its key index."""
     state, log = _indexed(spark, path), TableLog(spark, path)
-    kinds = {f.name: f.dataType for f in LEDGER if f.name in LEDGER_PARTITIONS}
 
     def locate(rows, _table):
         hits = known_months(spark, log, state, rows)
@@ -322,7 +321,7 @@ def _merge_into_ledger(spark, path, rows, merge, only_known=False):
 
     def more(staging, rows, before, fresh):
         moves, after = _stage_keys(log, staging, state, fresh)
-        merged, keys = _read_partitions(spark, f"{staging}/merged", kinds), rows.select(KEY)
+        merged, keys = spark.read.schema(LEDGER).parquet(f"{staging}/merged"), rows.select(KEY)
         changed = _changes(before.join(keys, KEY, "left_semi"), merged.join(keys, KEY, "left_semi"))
         changed.write.parquet(f"{staging}/changes")
         version = state.get("version", 0) + 1
@@ -371,10 +370,13 @@ def ledger_state(spark, path):
 
 
 def ledger_changes(spark, path, version):
-    """transaction_id with the followed columns before and after, of one version; None if they are not kept."""
+    """transaction_id with the followed columns before and after, of one version; None if they are not (all) kept."""
     log = TableLog(spark, path)
     folder = f"{log.root}/changes/{version}"
-    return spark.read.parquet(folder) if log.exists(folder) else None
+    if not log.exists(folder):
+        return None
+    found = spark.read.parquet(folder)
+    return found if set(FOLLOWED) <= set(found.schema["after"].dataType.names) else None
 
 
 def count_by_source(ledger, source):

@@ -146,6 +146,26 @@ def _stream_daily_stats(w):
     return w.spark.read.parquet(path).select("day", "volume", "total_usd", "success_rate")
 
 
+@query(
+    "followed_cash_position",
+    """SELECT posted_date AS date, CAST(SUM(CASE WHEN net_amount > 0 THEN net_amount ELSE 0 END) AS DOUBLE) / 100.0 AS inflows_usd,
+      CAST(SUM(CASE WHEN net_amount < 0 THEN -net_amount ELSE 0 END) AS DOUBLE) / 100.0 AS outflows_usd,
+      CAST(SUM(net_amount) AS DOUBLE) / 100.0 AS net_flow_usd,
+      CAST(SUM(SUM(net_amount)) OVER (ORDER BY posted_date ASC NULLS LAST ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 100.0 AS cumulative_cash_usd
+    FROM (SELECT posted_date, net_amount FROM ledger WHERE basis = 'cash' AND status = 'succeeded'
+      UNION ALL SELECT occurred_date + 5, net_amount FROM ledger WHERE basis = 'cash' AND status = 'pending'
+      UNION ALL SELECT posted_date, -amount FROM ledger WHERE basis = 'cash' AND status = 'disputed') GROUP BY posted_date""",
+)
+def _followed_cash_position(w):
+    """The position of a ledger to which settlements and chargebacks came after its day sums were stored."""
+    path, cash = w.scratch("followed_ledger"), w.scratch("followed_cash")
+    write_ledger(w.ledger, path)
+    streams.follow_ledger(w.spark, path, cash, streams.CASH)
+    merge.upsert_ledger_path(w.spark, path, inputs.ledger_updates(w))
+    streams.follow_ledger(w.spark, path, cash, streams.CASH)
+    return streams.cash_position(w.spark, cash)
+
+
 @query(
     "upsert_ledger_path",
     """SELECT status, COUNT(*) AS row_count, CAST(SUM(net_amount) AS BIGINT) AS net, CAST(SUM(fee_amount) AS BIGINT) AS fee

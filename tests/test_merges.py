@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from cashlens.operators import merge
+from cashlens.operators import marts, merge
 from cashlens.sources.ledger import read_ledger, write_ledger
 from cashlens.sources.tablelog import ConcurrentChange, TableLog
 from cashlens.streaming import streams
@@ -177,6 +177,56 @@ def test_statistics_follow_changes_without_reading_the_ledger(spark, new_dir, mo
     assert stats_of(spark, stats, plain(read_ledger(spark, path)))
 
 
+def postings(spark, first, n, status, days, months=5):
+    """Cash rows posted up to ``days`` before their event, every eleventh undated or without a rate or an amount."""
+    rows = rows_of(spark, first, n, months, status)
+    gone = lambda c, k: F.when(F.col("amount") % 1100 == k, None).otherwise(F.col(c))
+    net = F.when(F.col("amount") % 300 == 0, -F.col("net_amount")).otherwise(F.col("net_amount"))
+    return (
+        rows.withColumn("posted_date", F.date_sub("occurred_date", days))
+        .withColumn("net_amount", net).withColumn("net_amount", gone("net_amount", 100)).withColumn("fx_rate", gone("fx_rate", 200))
+        .withColumn("posted_date", gone("posted_date", 300))
+    )
+
+
+def test_cash_position_follows_backdated_changes(spark, new_dir, monkeypatch):
+    path, cash = new_dir("ledger"), new_dir("cash")
+    merge.upsert_ledger_path(spark, path, postings(spark, 0, 0, "succeeded", 0))
+    streams.follow_ledger(spark, path, cash, streams.CASH)
+    assert streams.cash_position(spark, cash).count() == 0
+
+    def same(**bounds):
+        want = marts.daily_cash_position(read_ledger(spark, path))
+        if bounds:
+            want = want.filter(F.col("date").between(bounds["start"], bounds["end"]))
+        got = streams.cash_position(spark, cash, **bounds)
+        assert got.columns == want.columns
+        return sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count()
+
+    touched = []
+    commit = TableLog.commit
+
+    def noted(self, since, staging, moves, **state):
+        if self.path == cash:
+            touched.append({t.rsplit("month=", 1)[1] for _, t in moves if "month=" in t})
+        return commit(self, since, staging, moves, **state)
+
+    monkeypatch.setattr(TableLog, "commit", noted)
+    with monkeypatch.context() as m:
+        m.setattr(streams, "read_ledger", lambda *a: pytest.fail("the ledger was read"))
+        # new rows; some settle later; backdated ones; some are taken back, a month as a whole
+        for first, n, status, days in ((0, 80, "pending", 0), (0, 60, "succeeded", 0), (500, 3, "succeeded", 200), (20, 10, "failed", 0), (500, 3, "failed", 0)):
+            merge.upsert_ledger_path(spark, path, postings(spark, first, n, status, days))
+            streams.follow_ledger(spark, path, cash, streams.CASH)
+            streams.follow_ledger(spark, path, cash, streams.CASH)
+            assert same() or status == "pending"
+    # the three backdated postings touched their months alone, though every later balance moved
+    assert len(touched[2]) <= 3 < len(touched[1]) and touched[4] == touched[2]
+    assert same(start="2020-02-03", end="2020-04-02")
+    scan = streams.cash_position(spark, cash, "2020-03-01", "2020-03-09")._jdf.queryExecution().executedPlan().toString()
+    assert "month" in scan.split("PartitionFilters: [", 1)[1].split("]")[0]
+
+
 def test_removals_name_ids_only(spark, new_dir):
     path = new_dir("ledger")
     bank = rows_of(spark, 0, 40, 2).withColumn("transaction_id", F.concat(F.lit("plaid_"), F.substring("transaction_id", 2, 9)))

@@ -10,7 +10,7 @@ from cashlens.plans.registry import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 ACTIONS = {
     "fit_quantiles", "feature_importance", "forecast_cash", "fit_retry", "score_declines",
-    "stream_to_ledger", "stream_removals", "stream_hourly_counts", "stream_daily_stats", "upsert_ledger_path",
+    "stream_to_ledger", "stream_removals", "stream_hourly_counts", "stream_daily_stats", "upsert_ledger_path", "followed_cash_position",
 }
 
 
@@ -64,5 +64,5 @@ def test_every_query_is_named_once():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(names) <= set(entry.queries()) and len(names) >= 150
     without = set(names) - set(oracles)
     assert without == ACTIONS - {
-        "stream_to_ledger", "stream_removals", "stream_hourly_counts", "stream_daily_stats", "upsert_ledger_path",
+        "stream_to_ledger", "stream_removals", "stream_hourly_counts", "stream_daily_stats", "upsert_ledger_path", "followed_cash_position",
     }
