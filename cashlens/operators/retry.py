@@ -9,6 +9,8 @@ from ..functions.rules import day_micros, map_lookup, retry_action
 from .marts import as_date, latest, occurred_on_or_after, occurred_since, revenue_type, settled
 
 WINDOW_DAYS = 7
+#: Microseconds of the slices a customer's day of instants is cut into: a minute, 1440 in a day.
+SLICE = 60_000_000
 
 
 def declined_events(ledger, as_of=None, days=180):
@@ -37,8 +39,11 @@ def retry_outcomes(declined, ledger):
     The span (t, t + 7 d] is cut at day borders: the rest of the first day, six whole days, and
     the start of the eighth. The days with declines name the eight days they need, and payments
     meet these in one join, so that each crosses the network once and those far from any decline
-    go no further. What the whole days hold shrinks to totals; a window holds one customer's two
-    days of instants and the totals, not the customer's whole history.
+    go no further. What the whole days hold shrinks to totals.
+
+    The two days of instants are cut into slices of ``SLICE``. A window holds the instants of one slice
+    of a customer's day; what its other slices hold comes in as one row, carried over at most as many
+    totals as a day has slices. So an account that pools all customers is dealt like the others.
     """
     day, offset = F.to_date("occurred_at"), day_micros("occurred_at")
     asked = declined.filter(F.col("customer_id").isNotNull()).select(
@@ -52,35 +57,60 @@ def retry_outcomes(declined, ledger):
         settled().cast("int").alias("good"), (F.col("status") == "failed").cast("int").alias("bad"),
     )
     near = payments.join(needed.withColumn("on", F.date_add("day", "later")), ["customer_id", "on"])
+    # an offset of -1 holds what the days between come to
     later = F.col("later")
-    parts = {"own": later == 0, "tail": later == WINDOW_DAYS, "mid": later.between(1, WINDOW_DAYS - 1)}
+    between = later.between(1, WINDOW_DAYS - 1)
+    parts = {"own": later < WINDOW_DAYS, "tail": later == WINDOW_DAYS}
     seen = near.groupBy(
-        "customer_id", "day", F.when(parts["mid"], F.lit(-1).cast("long")).otherwise(F.col("offset")).alias("offset")
+        "customer_id", "day", F.when(between, F.lit(-1).cast("long")).otherwise(F.col("offset")).alias("offset")
     ).agg(
         *[F.sum(F.when(is_, F.col(kind))).alias(f"{part}_{kind}") for part, is_ in parts.items() for kind in ("good", "bad")],
         *[F.min(F.when(is_ & (F.col("good") > 0), F.col("occurred_at"))).alias(f"{part}_at") for part, is_ in parts.items()],
     )
-    rows = asked.unionByName(seen, allowMissingColumns=True)
-
-    cell = Window.partitionBy("customer_id", "day")
-    after = cell.orderBy("offset").rangeBetween(1, Window.unboundedFollowing)
-    upto = cell.orderBy("offset").rangeBetween(Window.unboundedPreceding, 0)
-
-    def total(kind):
-        own = F.sum(f"own_{kind}").over(after)
-        tail = F.sum(f"tail_{kind}").over(upto)
-        mid = F.sum(f"mid_{kind}").over(cell)
-        return F.coalesce(own, F.lit(0)) + F.coalesce(mid, F.lit(0)) + F.coalesce(tail, F.lit(0))
+    sliced = lambda rows: rows.withColumn("slice", F.floor(F.col("offset") / F.lit(SLICE)).cast("int"))
+    asked, seen = sliced(asked), sliced(seen)
 
-    first = F.coalesce(
-        F.min("own_at").over(after), F.min("mid_at").over(cell), F.min("tail_at").over(upto)
+    # a day's slices with what the others hold: later ones of the own day, earlier ones of the last, the days between
+    slices = seen.unionByName(asked.select("customer_id", "day", "slice").distinct(), allowMissingColumns=True).groupBy(
+        "customer_id", "day", "slice"
+    ).agg(
+        *[F.sum(f"{part}_{kind}").alias(f"{part}_{kind}") for part in parts for kind in ("good", "bad")],
+        *[F.min(f"{part}_at").alias(f"{part}_at") for part in parts],
+    )
+    of_day = Window.partitionBy("customer_id", "day")
+    others = {
+        "own": of_day.orderBy("slice").rowsBetween(1, Window.unboundedFollowing),
+        "tail": of_day.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1),
+    }
+    mid = lambda column: F.when(F.col("slice") < 0, F.col(column))
+    total = lambda of, frames, kind: sum((F.coalesce(of(f"{p}_{kind}").over(w), F.lit(0)) for p, w in frames.items()), F.lit(0))
+    carried = slices.select(
+        "customer_id", "day", "slice",
+        *[(total(F.sum, others, k) + F.coalesce(F.sum(mid(f"own_{k}")).over(of_day), F.lit(0))).alias(f"other_{k}") for k in ("good", "bad")],
+        *[F.min(f"{part}_at").over(w).alias(f"other_{part}_at") for part, w in others.items()],
+        F.min(mid("own_at")).over(of_day).alias("other_mid_at"),
+    )
+    of_slice = Window.partitionBy("customer_id", "day", "slice")
+    within = {
+        "own": of_slice.orderBy("offset").rangeBetween(1, Window.unboundedFollowing),
+        "tail": of_slice.orderBy("offset").rangeBetween(Window.unboundedPreceding, 0),
+    }
+    found = (
+        asked.unionByName(seen, allowMissingColumns=True)
+        .select(
+            "transaction_id", "customer_id", "day", "slice", *[total(F.sum, within, k).alias(k) for k in ("good", "bad")],
+            *[F.min(f"{part}_at").over(w).alias(f"{part}_at") for part, w in within.items()],
+        )
+        .filter(F.col("transaction_id").isNotNull())
+        .join(carried, ["customer_id", "day", "slice"])
+        .select(
+            "transaction_id",
+            (F.col("good") + F.col("other_good")).alias("n_successful_retries"),
+            (F.col("bad") + F.col("other_bad")).alias("n_failed_retries"),
+            # the first day comes before the days between, and these before the last
+            F.coalesce("own_at", "other_own_at", "other_mid_at", "other_tail_at", "tail_at").alias("first_success_at"),
+        )
     )
-    found = rows.select(
-        "transaction_id",
-        total("good").alias("n_successful_retries"),
-        total("bad").alias("n_failed_retries"),
-        first.alias("first_success_at"),
-    ).filter(F.col("transaction_id").isNotNull())
     nobody = declined.filter(F.col("customer_id").isNull()).select(
         "transaction_id",
         F.lit(0).cast("long").alias("n_successful_retries"),

@@ -169,6 +169,34 @@ def test_retry_outcomes(ledger_of, grain):
     assert got == want and any(v[0] for v in want.values())
 
 
+def test_a_pooled_account_is_dealt_in_slices(spark, ledger_of, monkeypatch):
+    """One customer has all payments, most of them in two days; ties at one instant, on both sides of a border."""
+    rng, rows, minute = random.Random(9), [], 60_000_000
+    for i in range(500):
+        second = rng.choice([rng.randrange(86400), 43200, 43199, 43260])
+        at = START + timedelta(days=rng.choice([0, 0, 7, 7, 3, 8]), seconds=second)
+        status = rng.choice(["succeeded", "failed", "failed", "pending"]) if i % 50 else "succeeded"
+        rows.append(row(i, occurred_at=str(at), customer_id="guest", status=status, decline_code="x" if status == "failed" else None))
+    ledger = ledger_of(rows)
+    declined = retry.declined_events(ledger)
+    found = {}
+    for width in (minute, 1_000_000, 86400 * 1_000_000):
+        monkeypatch.setattr(retry, "SLICE", width)
+        found[width] = {r.transaction_id: tuple(r)[1:] for r in retry.retry_outcomes(declined, ledger).collect()}
+    attempts = ledger.select("transaction_id", "occurred_at", "status").collect()
+    for d in attempts:
+        if d.status == "failed":
+            after = [r for r in attempts if d.occurred_at < r.occurred_at <= d.occurred_at + timedelta(days=7)]
+            good = [r.occurred_at for r in after if r.status == "succeeded"]
+            want = int(bool(good)), min(good) if good else None, len(good), sum(r.status == "failed" for r in after)
+            assert all(got[d.transaction_id] == want for got in found.values())
+    # no window is dealt by customer and day alone, but that over the totals of slices
+    monkeypatch.setattr(retry, "SLICE", minute)
+    text = retry.retry_outcomes(declined, ledger)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    assert any("slice" in line.split("], [")[1] for line in windows)
+
+
 def test_time_split_is_exact(ledger_of):
     """Ties at one instant hold a third of the rows, around the boundary too."""
     rng = random.Random(3)
