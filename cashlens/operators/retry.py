@@ -39,20 +39,20 @@ def retry_outcomes(declined, ledger):
     The span (t, t + 7 d] is cut at day borders: the rest of the first day, six whole days, and
     the start of the eighth. The days with declines name the eight days they need, and payments
     meet these in one join, so that each crosses the network once and those far from any decline
-    go no further. What the whole days hold shrinks to totals.
+    go no further. What the whole days hold shrinks to totals. A decline without a customer or a time
+    has no outcome.
 
     The two days of instants are cut into slices of ``SLICE``. A window holds the instants of one slice
     of a customer's day; what its other slices hold comes in as one row, carried over at most as many
     totals as a day has slices. So an account that pools all customers is dealt like the others.
     """
     day, offset = F.to_date("occurred_at"), day_micros("occurred_at")
-    asked = declined.filter(F.col("customer_id").isNotNull()).select(
-        "transaction_id", "customer_id", day.alias("day"), offset.alias("offset")
-    )
+    known = F.col("customer_id").isNotNull() & day.isNotNull()
+    asked = declined.filter(known).select("transaction_id", "customer_id", day.alias("day"), offset.alias("offset"))
     needed = asked.select("customer_id", "day").distinct().select(
         "customer_id", "day", F.explode(F.sequence(F.lit(0), F.lit(WINDOW_DAYS))).alias("later")
     )
-    payments = ledger.filter(revenue_type() & F.col("customer_id").isNotNull()).select(
+    payments = ledger.filter(revenue_type() & known).select(
         "customer_id", day.alias("on"), offset.alias("offset"), "occurred_at",
         settled().cast("int").alias("good"), (F.col("status") == "failed").cast("int").alias("bad"),
     )
@@ -64,7 +64,7 @@ def retry_outcomes(declined, ledger):
     seen = near.groupBy(
         "customer_id", "day", F.when(between, F.lit(-1).cast("long")).otherwise(F.col("offset")).alias("offset")
     ).agg(
-        *[F.sum(F.when(is_, F.col(kind))).alias(f"{part}_{kind}") for part, is_ in parts.items() for kind in ("good", "bad")],
+        *[F.sum(F.when(is_, F.col(kind))).alias(f"{part}_{kind}") for kind in ("good", "bad") for part, is_ in parts.items()],
         *[F.min(F.when(is_ & (F.col("good") > 0), F.col("occurred_at"))).alias(f"{part}_at") for part, is_ in parts.items()],
     )
     sliced = lambda rows: rows.withColumn("slice", F.floor(F.col("offset") / F.lit(SLICE)).cast("int"))
@@ -74,7 +74,7 @@ def retry_outcomes(declined, ledger):
     slices = seen.unionByName(asked.select("customer_id", "day", "slice").distinct(), allowMissingColumns=True).groupBy(
         "customer_id", "day", "slice"
     ).agg(
-        *[F.sum(f"{part}_{kind}").alias(f"{part}_{kind}") for part in parts for kind in ("good", "bad")],
+        *[F.sum(f"{part}_{kind}").alias(f"{part}_{kind}") for kind in ("good", "bad") for part in parts],
         *[F.min(f"{part}_at").alias(f"{part}_at") for part in parts],
     )
     of_day = Window.partitionBy("customer_id", "day")
@@ -102,7 +102,9 @@ def retry_outcomes(declined, ledger):
             *[F.min(f"{part}_at").over(w).alias(f"{part}_at") for part, w in within.items()],
         )
         .filter(F.col("transaction_id").isNotNull())
-        .join(carried, ["customer_id", "day", "slice"])
+        # every asked slice is carried; an inner join would filter one use of `seen` and so compute it twice, as
+        # would sums in another order
+        .join(carried, ["customer_id", "day", "slice"], "left")
         .select(
             "transaction_id",
             (F.col("good") + F.col("other_good")).alias("n_successful_retries"),
@@ -111,7 +113,7 @@ def retry_outcomes(declined, ledger):
             F.coalesce("own_at", "other_own_at", "other_mid_at", "other_tail_at", "tail_at").alias("first_success_at"),
         )
     )
-    nobody = declined.filter(F.col("customer_id").isNull()).select(
+    nobody = declined.filter(~known).select(
         "transaction_id",
         F.lit(0).cast("long").alias("n_successful_retries"),
         F.lit(0).cast("long").alias("n_failed_retries"),

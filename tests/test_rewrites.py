@@ -190,6 +190,8 @@ def test_a_pooled_account_is_dealt_in_slices(spark, ledger_of, monkeypatch):
             good = [r.occurred_at for r in after if r.status == "succeeded"]
             want = int(bool(good)), min(good) if good else None, len(good), sum(r.status == "failed" for r in after)
             assert all(got[d.transaction_id] == want for got in found.values())
+    timeless = declined.withColumn("occurred_at", F.lit(None).cast("timestamp_ntz"))
+    assert {tuple(r)[1:] for r in retry.retry_outcomes(timeless, ledger).collect()} == {(0, None, 0, 0)}
     # no window is dealt by customer and day alone, but that over the totals of slices
     monkeypatch.setattr(retry, "SLICE", minute)
     text = retry.retry_outcomes(declined, ledger)._jdf.queryExecution().optimizedPlan().toString()
