@@ -1,7 +1,8 @@
 """Toxicity by compression distance: windows of a text are compressed with a toxic and with an ordinary dictionary.
 
 The ordinary dictionary is trained on windows of ordinary labelled text. The toxic one holds the same, led by
-the beginnings of words that mark toxic rows: those far more frequent in toxic than in ordinary documents. So
+what marks toxic rows: short words, beginnings of longer ones, pairs of words, and pieces of text without blanks
+that are far more frequent in toxic than in ordinary documents. So
 the two differ in what marks toxicity alone, and a window's gap (ordinary less toxic length in bytes) is not
 blurred by how well each happens to know ordinary words. Thresholds on gaps, counted over a document's
 windows, are weighed by a logistic fit on the labelled rows.
@@ -32,10 +33,13 @@ from .common import bounded_sample, held_out, texts
 TRAINING_ROWS, TRAINING_WINDOWS = 6000, 8000
 WINDOW_BYTES, SAMPLE_BYTES = 128, 256
 DICTIONARY_BYTES, LEVEL = 12_288, 16
-#: A marking beginning has this many characters, is in this many toxic rows and has this log odds ratio.
-BEGINNING, LEAST_ROWS, LEAST_ODDS, MOST_MARKS = (4, 10), 8, 4.5, 2000
+#: A marking beginning has this many characters; shorter words count whole, longer ones than UNSPACED by pieces of this size.
+BEGINNING, UNSPACED, PIECE = (4, 10), 24, (3, 6)
+#: A mark is in this many toxic rows and has this log odds ratio. Of at most MOST_CANDIDATES that do, the MOST_MARKS with the
+#: highest odds are taken after those within others have been left out.
+LEAST_ROWS, LEAST_ODDS, MOST_CANDIDATES, MOST_MARKS = 8, 4.5, 50_000, 2000
 #: Gaps in bytes that are thresholds.
-GAPS = (2, 3, 4, 5, 6, 7)
+GAPS = (1, 2, 3, 4, 5, 6, 7)
 RIDGE = 1.0
 
 
@@ -51,26 +55,45 @@ def windows(text: str, size: int) -> list[bytes]:
     return out
 
 
-def beginnings(text: str) -> set[str]:
-    """The distinct beginnings of a text's words, and the words."""
+def candidates(text: str) -> set[str]:
+    """What may mark a text, blanks showing where words end: short words, beginnings of others, pairs, pieces."""
     low, high = BEGINNING
-    found = set()
-    for word in set(text.lower().split()):
-        found.update(word[:n] for n in range(low, min(len(word), high) + 1))
+    words = text.lower().split()
+    found = {f" {a} {b} " for a, b in zip(words, words[1:], strict=False) if len(a) <= UNSPACED and len(b) <= UNSPACED}
+    for word in set(words):
+        if len(word) < low:
+            found.add(f" {word} ")
+        else:
+            found.update(" " + word[:n] for n in range(low, min(len(word), high) + 1))
+        if len(word) > UNSPACED:
+            for n in range(PIECE[0], PIECE[1] + 1):
+                found.update(word[i : i + n] for i in range(len(word) - n + 1))
     return found
 
 
 def marking(counts: dict[str, tuple[int, int]], n_toxic: int, n_ordinary: int) -> list[str]:
-    """Beginnings with high odds, rarest first; one that a longer one nearly always continues is left out."""
+    """Candidates with high odds, rarest first.
+
+    A pair goes if one of its words is marking by itself, a beginning or piece if a longer one nearly always
+    stands for it. The bound comes after that, so that a mark takes one place.
+    """
     odds = {
         g: math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_ordinary + 1))
         for g, (a, b) in counts.items() if a >= LEAST_ROWS
     }
-    kept: dict[str, int] = {}
-    for g in sorted((g for g, o in odds.items() if o > LEAST_ODDS), key=lambda g: (-len(g), g)):
-        if not any(h.startswith(g) and kept[h] >= 0.8 * counts[g][0] for h in kept):
-            kept[g] = counts[g][0]
-    return sorted(kept, key=lambda g: (kept[g], g))
+    high = {g for g, o in odds.items() if o > LEAST_ODDS}
+    pairs = {g for g in high if " " in g[1:-1]}
+    kept, covered = [], Counter()
+    for g in sorted(high - pairs, key=lambda g: (-len(g), g)):
+        if covered[g] < 0.8 * counts[g][0]:
+            kept.append(g)
+            # every shorter candidate within this one occurs wherever this one does
+            for part in {g[i:j] for i in range(len(g)) for j in range(i + PIECE[0], len(g) + 1)} - {g}:
+                covered[part] = max(covered[part], counts[g][0])
+    alone = high - pairs
+    kept += [g for g in pairs if not any(m in alone for m in candidates(g) - {g})]
+    best = sorted(kept, key=lambda g: (-odds[g], -counts[g][0], g))[:MOST_MARKS]
+    return sorted(best, key=lambda g: (counts[g][0], g))
 
 
 @dataclass
@@ -126,13 +149,13 @@ def dictionaries(rows: DataFrame) -> ToxicityModel:
         counts = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"], strict=True):
-                counts[int(label)].update(beginnings(text))
-        # beginnings that this partition saw in ordinary rows only still count against those of others
+                counts[int(label)].update(candidates(text))
+        # candidates that this partition saw in ordinary rows only still count against those of others
         found = sorted(counts[0].keys() | counts[1].keys())
         for low in range(0, len(found), 100_000):
             part = found[low : low + 100_000]
-            out = {"beginning": part, "toxic": [counts[1][g] for g in part], "ordinary": [counts[0][g] for g in part]}
-            yield pd.DataFrame(out).astype({"beginning": object})
+            out = {"mark": part, "toxic": [counts[1][g] for g in part], "ordinary": [counts[0][g] for g in part]}
+            yield pd.DataFrame(out).astype({"mark": object})
 
     def cut(batches):
         for batch in batches:
@@ -140,21 +163,21 @@ def dictionaries(rows: DataFrame) -> ToxicityModel:
 
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = (
-        rows.select("text", "label").mapInPandas(count, "beginning string, toxic long, ordinary long")
-        .groupBy("beginning").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+        rows.select("text", "label").mapInPandas(count, "mark string, toxic long, ordinary long")
+        .groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
         .where(F.col("toxic") >= LEAST_ROWS)
         .withColumn("odds", F.log(F.col("toxic") + 0.5) - F.log(F.col("ordinary") + 0.5))
-        .orderBy(F.desc("odds"), F.desc("toxic"), "beginning").limit(MOST_MARKS).collect()
+        .orderBy(F.desc("odds"), F.desc("toxic"), "mark").limit(MOST_CANDIDATES).collect()
     )
-    marks = marking({r["beginning"]: (r["toxic"], r["ordinary"]) for r in found}, sizes.get(1, 0), sizes.get(0, 0))
+    marks = marking({r["mark"]: (r["toxic"], r["ordinary"]) for r in found}, sizes.get(1, 0), sizes.get(0, 0))
     ordinary_windows = written(rows.where("label = 0").select("text").mapInPandas(cut, "window binary"), "toxic-windows")
     samples = sorted(bytes(r[0]) for r in bounded_sample(ordinary_windows, TRAINING_WINDOWS, "window").collect())
     try:
         ordinary = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few windows to train on: they are the dictionary
         ordinary = b"".join(samples)[:DICTIONARY_BYTES]
-    lead = b"".join(b" " + m.encode() for m in marks)
-    return ToxicityModel(ordinary or b" ", (lead + b" " + ordinary))
+    lead = "\n".join(marks).encode("utf-8", "replace")
+    return ToxicityModel(ordinary or b" ", lead + b"\n" + ordinary)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, taught, threshold: float = 0.7) -> DataFrame:
