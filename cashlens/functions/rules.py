@@ -50,20 +50,23 @@ def net_cents(txn_type, status, amount, fee):
     )
 
 
-def with_date_parts(df, column="occurred_at"):
+def date_parts(column="occurred_at"):
     """Calendar columns of the event time: Sunday is day 0, weeks are ISO weeks."""
     at = F.col(column)
-    return df.withColumns(
-        {
-            "occurred_date": F.to_date(at),
-            "occurred_hour": F.hour(at).cast("short"),
-            "occurred_dow": (F.dayofweek(at) - 1).cast("short"),
-            "occurred_week": F.weekofyear(at).cast("short"),
-            "occurred_month": F.month(at).cast("short"),
-            "occurred_quarter": F.quarter(at).cast("short"),
-            "occurred_year": F.year(at).cast("short"),
-        }
-    )
+    return {
+        "occurred_date": F.to_date(at),
+        "occurred_hour": F.hour(at).cast("short"),
+        "occurred_dow": (F.dayofweek(at) - 1).cast("short"),
+        "occurred_week": F.weekofyear(at).cast("short"),
+        "occurred_month": F.month(at).cast("short"),
+        "occurred_quarter": F.quarter(at).cast("short"),
+        "occurred_year": F.year(at).cast("short"),
+    }
+
+
+def with_date_parts(df, column="occurred_at", known=()):
+    """The rows with their calendar columns, of which those ``known`` are there already."""
+    return df.withColumns({name: part for name, part in date_parts(column).items() if name not in known})
 
 
 def day_micros(at):

@@ -45,6 +45,18 @@ def shared_dir(spark):
     return root
 
 
+def unsorted_writes(spark):
+    """A session of its own whose partitioned writes keep the files of a few partitions open instead of sorting all rows.
+
+    For rows that are read from a table partitioned in the same way: a task reads a few of its files, each
+    of one partition. A task that meets more partitions sorts the rows that are left.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.maxConcurrentOutputFileWriters", "8")
+    own.conf.set("spark.sql.files.maxPartitionBytes", "32m")
+    return own
+
+
 def written(df, name):
     """The frame written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/cashlens-{name}-{uuid.uuid4().hex}"

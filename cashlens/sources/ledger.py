@@ -2,10 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.rules import with_usd
+from ..functions.rules import date_parts, with_usd
 from ..schema import LEDGER, LEDGER_PARTITIONS, LEDGER_STORED
+from ..session import unsorted_writes
 from .tablelog import FOLDER
 
+#: What the written rows of a task are sorted by.
+DAYS = [*LEDGER_PARTITIONS, "occurred_date"]
+
 _DEFAULTS = {
     "is_recurring": False,
     "fx_rate": 1.0,
@@ -50,15 +54,24 @@ def by_month(df):
     return df.hint("rebalance", *LEDGER_PARTITIONS)
 
 
+def with_days(df):
+    """Rows with the columns of ``DAYS`` from their event time."""
+    return df.withColumns({name: part for name, part in date_parts().items() if name in DAYS})
+
+
+def sorted_by_day(df):
+    return df.sortWithinPartitions(*DAYS)
+
+
 def write_ledger(df, path, mode="overwrite", arranged=False):
     """Partitioned zstd Parquet by year and month, with the generated columns stored.
 
-    ``arranged`` rows come from ``by_month`` already and are not shuffled again.
+    ``arranged`` rows come from ``by_month`` and ``sorted_by_day`` already and are neither shuffled nor
+    sorted again.
     """
     rows = with_usd(conform_to_schema(df))
     (
-        (rows if arranged else by_month(rows))
-        .sortWithinPartitions(*LEDGER_PARTITIONS, "occurred_date")
+        (rows if arranged else sorted_by_day(by_month(rows)))
         .write.partitionBy(*LEDGER_PARTITIONS)
         .option("compression", "zstd")
         .mode(mode)
@@ -66,6 +79,11 @@ def write_ledger(df, path, mode="overwrite", arranged=False):
     )
 
 
+def copy_ledger(spark, source, path):
+    """A written ledger under another path; its rows lie by month already and are neither shuffled nor sorted."""
+    write_ledger(read_ledger(unsorted_writes(spark), source), path, arranged=True)
+
+
 def quarantine_path(path, feed):
     """Where a feed's lines that could not be read are kept, in the folder of the ledger's log."""
     return f"{path.rstrip('/')}/{FOLDER}/quarantine/{feed}"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.rules import tag_recurring, with_date_parts, with_usd
 from ..session import shared_dir
-from .ledger import by_month, conform_to_schema, read_ledger, write_ledger
+from .ledger import DAYS, by_month, conform_to_schema, copy_ledger, read_ledger, sorted_by_day, with_days, write_ledger
 
 AS_OF = "2001-08-01"
 FX_RATES = [1.0, 0.92, 0.79, 0.73, 0.65, 0.0067]
@@ -31,8 +31,8 @@ def _pick(values, index):
 def build_ledger(spark, sf_dir, multi_currency=False, arranged=False):
     """One ledger row per sales line, joined to its order for customer and product.
 
-    ``arranged`` groups the narrow source rows by month before the wide columns are derived, so
-    that a partitioned write does not shuffle the wide ones.
+    ``arranged`` groups the narrow source rows by month and sorts them before the wide columns are
+    derived, so that a partitioned write neither shuffles nor sorts the wide ones.
     """
     lines = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders").select(
@@ -43,9 +43,13 @@ def build_ledger(spark, sf_dir, multi_currency=False, arranged=False):
         joined = by_month(
             joined.withColumns({"occurred_year": F.year("l_shipdate"), "occurred_month": F.month("l_shipdate")})
         ).drop("occurred_year", "occurred_month")
+    timed = joined.withColumn("h", F.expr("l_orderkey*31 + l_linenumber*17 + l_partkey*7 + l_suppkey*3")).withColumn(
+        "occurred_at", F.expr("l_shipdate + make_dt_interval(0, cast(h % 24 AS int))")
+    )
+    if arranged:
+        timed = sorted_by_day(with_days(timed))
     keyed = (
-        joined.withColumn("h", F.expr("l_orderkey*31 + l_linenumber*17 + l_partkey*7 + l_suppkey*3"))
-        .withColumns({"ht": F.expr("h % 100"), "hs": F.expr("(h div 100) % 100")})
+        timed.withColumns({"ht": F.expr("h % 100"), "hs": F.expr("(h div 100) % 100")})
         .withColumn(
             "type",
             F.expr(
@@ -85,7 +89,6 @@ def build_ledger(spark, sf_dir, multi_currency=False, arranged=False):
                 ELSE amount END"""
             ),
         )
-        .withColumn("occurred_at", F.expr("l_shipdate + make_dt_interval(0, cast(h % 24 AS int))"))
         .withColumn(
             "posted_date",
             F.expr("IF(h % 499 = 0, NULL, date_add(to_date(l_shipdate), cast((h div 7) % 3 AS int)))"),
@@ -145,8 +148,9 @@ def build_ledger(spark, sf_dir, multi_currency=False, arranged=False):
         ).alias("metadata_json"),
         F.expr("occurred_at + INTERVAL 1 HOUR").alias("ingested_at"),
         F.concat(F.lit("batch_"), F.col("l_linestatus")).alias("batch_id"),
+        *(DAYS if arranged else []),
     )
-    return with_usd(conform_to_schema(tag_recurring(with_date_parts(rows))))
+    return with_usd(conform_to_schema(tag_recurring(with_date_parts(rows, known=DAYS if arranged else ()))))
 
 
 def build_customers(spark, sf_dir):
@@ -236,13 +240,25 @@ class Workspace:
         self.ledger
         return read_ledger(self.spark, f"{self.root}/ledger", start, end)
 
-    def _write_ledger(self):
-        path = f"{self.root}/ledger"
+    @property
+    def fx_ledger(self):
+        """The ledger in several currencies."""
+        return self.once("fx_ledger", lambda: self._write_ledger("fx_ledger", multi_currency=True))
+
+    def copied_ledger(self, name):
+        """The path of a copy of the ledger for one run."""
+        self.ledger
+        path = self.scratch(name)
+        copy_ledger(self.spark, f"{self.root}/ledger", path)
+        return path
+
+    def _write_ledger(self, name="ledger", multi_currency=False):
+        path = f"{self.root}/{name}"
         # wide projections outgrow what the JVM compiles as one method; a session of its own lets
         # this job split them without touching the caller's settings
         builder = self.spark.newSession()
         builder.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-        write_ledger(build_ledger(builder, self.sf_dir, arranged=True), path, arranged=True)
+        write_ledger(build_ledger(builder, self.sf_dir, multi_currency, arranged=True), path, arranged=True)
         return read_ledger(self.spark, path)
 
 
