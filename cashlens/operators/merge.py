@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from .. import fixed_values as fv
 from ..functions.rules import with_usd
 from ..schema import GENERATED_COLUMNS, LEDGER, LEDGER_PARTITIONS, LEDGER_STORED
+from ..session import unsorted_writes
 from ..sources.ledger import conform_to_schema
 from ..sources.tablelog import ConcurrentChange, TableLog
 
@@ -111,12 +112,39 @@ def upsert_table(spark, path, updates, keys, partitions, order_by=("ingested_at"
     def merge(target, rows, fresh):
         return with_new(overwritten(target, rows, keys), fresh)
 
-    return _change(TableLog(spark, path), None, latest, partitions, merge, locate)
+    return _change(TableLog(spark, path), None, latest, list(keys), partitions, merge, locate)
 
 
-def _change(log, state, updates, partitions, merge, locate, more=None):
+#: Average bytes of a touched file from which rows without an update stay apart, and the bits that tell them.
+APART_BYTES, SLOTS = 4 << 20, 1 << 26
+
+
+def _marked(rows, updates, keys):
+    """Rows with ``_marked``: false only where no update has the key.
+
+    The hashes of the updated keys set bits of a map of ``SLOTS`` bits, at most 8 MB whatever the number
+    of updates, which every task gets; other keys that share a bit are marked too. Nothing is shuffled but
+    the keys of the updates.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+    word, bit = F.shiftright(slot, 6).alias("_word"), F.pmod(slot, F.lit(64)).cast("int")
+    words = updates.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
+    words = words.groupBy("_word").agg(F.bit_or("bits").alias("_bits"))
+    seen = F.call_function("getbit", F.col("_bits"), F.col("_bit")) == 1
+    return (
+        rows.withColumns({"_word": word, "_bit": bit})
+        .join(F.broadcast(words), "_word", "left")
+        .withColumn("_marked", F.coalesce(seen, F.lit(False)))
+        .drop("_word", "_bit", "_bits")
+    )
+
+
+def _change(log, state, updates, keys, partitions, merge, locate, more=None):
     """The steps that merges into written tables share. updates: one row per key.
 
+    Where the touched files are large, rows whose keys no update has go from file to file as they are, and
+    only the others are joined and shuffled. Small files are merged and laid out anew as a whole.
+
     ``locate(rows, table)`` gives the known keys with their partitions, and the new rows; ``merge(target,
     rows, fresh)`` the touched partitions; ``more(staging, rows, before, fresh)`` may stage further folders
     and gives their moves and what the state takes on.
@@ -142,8 +170,18 @@ def _change(log, state, updates, partitions, merge, locate, more=None):
                 [reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.lit(row[p])) for p in partitions]) for row in touched],
             )
             before = table.filter(inside)
+        apart = not new and log.average_size(_folders(path, partitions, touched)) >= APART_BYTES
+        if apart:
+            marked = _marked(before, rows, keys).filter("_marked").drop("_marked")
+            before = _kept(marked, f"{staging}/before")
         write_partitions(merge(before, rows, fresh), f"{staging}/merged", partitions)
         moves, after = more(staging, rows, before, fresh) if more else ([], {})
+        if apart:
+            own = unsorted_writes(spark)
+            rows = own.read.schema(rows.schema).parquet(f"{staging}/updates")
+            rest = _marked(_read_partitions(own, path, kinds).filter(inside), rows, keys).filter("NOT _marked")
+            rest = merge(rest.drop("_marked"), rows.limit(0), rows.limit(0))
+            _partitioned(rest, partitions).mode("append").parquet(f"{staging}/merged")
         moves = moves + log.moves_of(f"{staging}/merged", path, len(partitions))
         log.commit(state.get("version", 0), staging, moves, **{**state, **after})
     except BaseException as error:
@@ -172,15 +210,22 @@ def _read_partitions(spark, path, kinds):
 
 def write_partitions(df, path, partitions):
     (
-        df.hint("rebalance", *partitions)
-        .write.partitionBy(*partitions)
-        .option("compression", "zstd")
+        _partitioned(df.hint("rebalance", *partitions), partitions)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .parquet(path)
     )
 
 
+def _partitioned(df, partitions):
+    return df.write.partitionBy(*partitions).option("compression", "zstd")
+
+
+def _folders(path, partitions, rows):
+    """The folders of partitions whose values need no escaping; others are not found."""
+    return ["/".join([path, *(f"{p}={row[p]}" for p in partitions)]) for row in rows]
+
+
 # --- merges into the written ledger -----------------------------------------------------------
 KEY = "transaction_id"
 #: Keys of an index bucket at about which it is split, and small files in one that are made one.
@@ -328,7 +373,7 @@ def _merge_into_ledger(spark, path, rows, merge, only_known=False):
         log.delete(f"{log.root}/changes/{version - KEPT_CHANGES}")
         return [*moves, (f"{staging}/changes", f"{log.root}/changes/{version}")], after
 
-    return _change(log, state, rows, LEDGER_PARTITIONS, merge, locate, more)
+    return _change(log, state, rows, [KEY], LEDGER_PARTITIONS, merge, locate, more)
 
 
 def upsert_ledger_path(spark, path, updates, order_by=("ingested_at",)):

@@ -158,8 +158,7 @@ def _stream_daily_stats(w):
 )
 def _followed_cash_position(w):
     """The position of a ledger to which settlements and chargebacks came after its day sums were stored."""
-    path, cash = w.scratch("followed_ledger"), w.scratch("followed_cash")
-    write_ledger(w.ledger, path)
+    path, cash = w.copied_ledger("followed_ledger"), w.scratch("followed_cash")
     streams.follow_ledger(w.spark, path, cash, streams.CASH)
     merge.upsert_ledger_path(w.spark, path, inputs.ledger_updates(w))
     streams.follow_ledger(w.spark, path, cash, streams.CASH)
@@ -173,8 +172,7 @@ def _followed_cash_position(w):
       UNION ALL SELECT status, net_amount, fee_amount FROM updates WHERE batch_id IN ('settle', 'chargeback')) GROUP BY 1""",
 )
 def _upsert_ledger_path(w):
-    path = w.scratch("merged_ledger")
-    write_ledger(w.ledger, path)
+    path = w.copied_ledger("merged_ledger")
     merge.upsert_ledger_path(w.spark, path, inputs.ledger_updates(w))
     return (
         read_ledger(w.spark, path)
