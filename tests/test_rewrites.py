@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from cashlens.operators import features, merge, recon, retry
@@ -127,6 +128,16 @@ def test_largest_discrepancies_of_odd_tables(books):
     assert recon.widest_gaps(pay, dep.limit(0)).count() == 0
 
 
+def test_the_whole_list_of_discrepancies_is_not_sorted(spark, books):
+    """The registered query's SQL has no order: pairs stay where they were found, and are the same ones."""
+    df = entry.queries()["recon_discrepancies"](spark, "/root/testdata/sf0.001")
+    assert "rangepartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    sides = recon.payout_candidates(books, "2024-01-05"), recon.deposit_candidates(books, "2024-01-05")
+    plain, ranked = recon.recon_discrepancies(*sides, ordered=False), recon.recon_discrepancies(*sides)
+    assert plain.count() > 1000 and plain.exceptAll(ranked).isEmpty() and ranked.exceptAll(plain).isEmpty()
+    assert recon.recon_discrepancies(*sides, n=7, ordered=False).collect() == ranked.collect()[:7]
+
+
 def test_no_deposits(books):
     pay = recon.payout_candidates(books, "2024-01-05")
     none = recon.deposit_candidates(books.limit(0), "2024-01-05")
