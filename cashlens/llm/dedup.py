@@ -22,11 +22,12 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashlens.session import written
+from cashlens.session import small_batches, written
 
 from .common import texts, unused
 
@@ -40,6 +41,10 @@ ESTIMATE_MARGIN = 0.25
 #: Members that meet pair by pair; a bucket with more is compared in blocks of about BLOCK members.
 SMALL_BUCKET = 32
 BLOCK = 256
+#: Pairs of blocks that cross to Python at a time; a block may hold a megabyte of hashes.
+BLOCK_PAIRS = 4
+#: Rows with texts that Python turns into objects at a time.
+TEXT_ROWS = 500
 #: Bytes of text that are hashed at a time.
 CHUNK_BYTES = 2_000_000
 
@@ -188,22 +193,28 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip(((a == b).mean(axis=1) - chance) / (1 - chance), 0, 1)
 
 
+def _slices(batches):
+    """The Arrow batches in slices of TEXT_ROWS rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, TEXT_ROWS):
+            yield batch.slice(low, TEXT_ROWS)
+
+
 def signatures(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, text_hash, n_shingles, fingerprint of the whole set, registers; the last two null without shingles."""
 
     def sign(batches):
         order = _borrowing_order()
-        for batch in batches:
-            for low in range(0, len(batch), 500):
-                part = batch.iloc[low : low + 500]
-                sets = list(shingle_hashes_of(part["text"].tolist(), words))
-                rows = iter(registers(full, order)) if (full := [x for x in sets if len(x)]) else None
-                out = [(len(x), xxhash.xxh3_128_digest(x.tobytes()), next(rows).tobytes()) if len(x) else (0, None, None) for x in sets]
-                names = ["n_shingles", "fingerprint", "registers"]
-                yield pd.DataFrame(out, columns=names).assign(doc_id=part["doc_id"].astype("Int64").array, text_hash=part["text_hash"].array)
+        for part in _slices(batches):
+            sets = list(shingle_hashes_of(part["text"].to_pylist(), words))
+            rows = iter(registers(full, order)) if (full := [x for x in sets if len(x)]) else None
+            out = [(len(x), xxhash.xxh3_128_digest(x.tobytes()), next(rows).tobytes()) if len(x) else (0, None, None) for x in sets]
+            types = {"n_shingles": pa.int64(), "fingerprint": pa.binary(), "registers": pa.binary()}
+            columns = {name: pa.array(values, kind) for (name, kind), values in zip(types.items(), zip(*out), strict=True)}
+            yield pa.RecordBatch.from_pydict(columns | {name: part[name].cast(pa.int64()) for name in ("doc_id", "text_hash")})
 
     schema = "n_shingles long, fingerprint binary, registers binary, doc_id long, text_hash long"
-    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInPandas(sign, schema)
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, schema)
 
 
 def _banded(sketches: DataFrame) -> DataFrame:
@@ -216,6 +227,12 @@ def _banded(sketches: DataFrame) -> DataFrame:
     return sketches.select(F.explode(F.array(*keys)).alias("bucket"), "node")
 
 
+def _links(found):
+    """The found pairs a, b as an Arrow batch."""
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _confirmed(pairs: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs a, b that are links: first by sizes and estimates, then by full shingle sets.
 
@@ -225,7 +242,7 @@ def _confirmed(pairs: DataFrame, members: DataFrame, words: int, similarity: flo
 
     def check(batches):
         last, set_a = None, None
-        for batch in batches:
+        for batch in (part.to_pandas() for part in _slices(batches)):
             a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, _BUCKETS) for c in ("registers_a", "registers_b"))
             batch = batch[estimate(a, b, batch["n_shingles_a"].to_numpy(), batch["n_shingles_b"].to_numpy()) >= least]
             out = []
@@ -236,14 +253,14 @@ def _confirmed(pairs: DataFrame, members: DataFrame, words: int, similarity: flo
                 common = len(set_a) + len(set_b) - len(np.union1d(set_a, set_b))
                 if 100 * common >= percent * (len(set_a) + len(set_b) - common):
                     out.append((a, b))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            yield _links(out)
 
     def side(name):
         return members.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n_shingles", "registers", "text")])
 
     small, large = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
     rows = pairs.join(side("b"), "b").join(side("a"), "a").where(small >= F.lit(similarity) * large - 1e-9)
-    return rows.mapInPandas(check, "a long, b long")
+    return rows.mapInArrow(check, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,7 +312,7 @@ def _links_of_large(mixed: DataFrame, members: DataFrame, words: int, similarity
 
     Members are dealt to blocks by hash; a component that fills a block of its own gets blocks of its own.
     Two blocks meet in one row unless both belong to the same component, and only confirmed links leave it. A
-    pair is judged in the first band that it shares.
+    pair is judged in the first band that it shares. Few pairs of blocks cross to Python at a time, however many meet.
     """
     rows = mixed.where(F.col("members") > SMALL_BUCKET)
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("of_component"))
@@ -307,7 +324,7 @@ def _links_of_large(mixed: DataFrame, members: DataFrame, words: int, similarity
         .select("bucket", "owner", "block", "node", "component")
         .join(members, "node")
     )
-    percent = round(similarity * 100)
+    percent, caller = round(similarity * 100), mixed.sparkSession
 
     def pack(key, rows):
         sets = list(shingle_hashes_of(rows["text"].tolist(), words))
@@ -317,6 +334,7 @@ def _links_of_large(mixed: DataFrame, members: DataFrame, words: int, similarity
     packed = written(
         dealt.groupBy("bucket", "owner", "block").applyInPandas(pack, "bucket long, owner long, block long, packed binary"),
         "blocks",
+        small_batches(caller, BLOCK_PAIRS),
     )
     other = packed.select(F.col("bucket").alias("of"), F.col("owner").alias("owner_b"), F.col("block").alias("block_b"), F.col("packed").alias("packed_b"))
     meet = (
@@ -328,10 +346,11 @@ def _links_of_large(mixed: DataFrame, members: DataFrame, words: int, similarity
     def judge(batches):
         for batch in batches:
             for bucket, blob_a, blob_b in zip(batch["bucket"], batch["packed"], batch["packed_b"], strict=True):
-                found = _links_between(int(bucket) % _BANDS, pickle.loads(blob_a), pickle.loads(blob_b), similarity, percent)
-                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                parts = (pickle.loads(blob.as_buffer()) for blob in (blob_a, blob_b))
+                yield _links(_links_between(bucket.as_py() % _BANDS, *parts, similarity, percent))
 
-    return packed.join(other, meet).select("bucket", "packed", "packed_b").mapInPandas(judge, "a long, b long").distinct()
+    found = packed.join(other, meet).select("bucket", "packed", "packed_b").mapInArrow(judge, "a long, b long").distinct()
+    return written(found, "block-links", caller)
 
 
 def _links_between(band, block_a, block_b, similarity, percent):

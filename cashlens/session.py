@@ -57,11 +57,24 @@ def unsorted_writes(spark):
     return own
 
 
-def written(df, name):
-    """The frame written to the shared folder and read back: cuts lineage, survives lost executors."""
+def small_batches(spark, rows):
+    """A session of its own, otherwise set as the given one, that hands ``rows`` rows at a time to Python."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return own
+
+
+def written(df, name, reader=None):
+    """The frame written to the shared folder and read back: cuts lineage, survives lost executors.
+
+    ``reader`` is the session that reads it, if not the frame's own.
+    """
     path = f"{shared_dir(df.sparkSession)}/cashlens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 _local_roots = {}

@@ -6,10 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cashlens.llm import dedup, edits, mixing, pieces, pii, quality, secrets, toxicity
+from cashlens.session import small_batches
 
 SF = "/root/testdata/sf0.001"
 LONG = "word " * 50_000
@@ -104,6 +106,33 @@ def test_hashing_in_bulk_equals_one_by_one():
     assert len(dedup.shingle_hashes("a b c d e", 4)) == 2 and len(dedup.shingle_hashes("a A", 4)) == 1
 
 
+def test_few_texts_and_blocks_reach_python_at_a_time(spark, monkeypatch):
+    """One bucket of many blocks: their pairs cross to Python a few at a time, and no link is lost."""
+    batch = pa.RecordBatch.from_pydict({"text": ["x"] * 1201})
+    assert [part.num_rows for part in dedup._slices([batch])] == [500, 500, 201]
+    monkeypatch.setattr(dedup, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(dedup, "BLOCK", 2)
+    most = []
+
+    def watched(session, rows):
+        own = small_batches(session, rows)
+        sizes = own.range(40).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        most.append(max(r.n for r in sizes.collect()))
+        return own
+
+    monkeypatch.setattr(dedup, "small_batches", watched)
+    body = [f"w{i}" for i in range(60)]
+    sets = [" ".join(body[: 40 + i % 3] + [f"own{i}"]) for i in range(30)]
+    sets = [text.replace("w0 ", f"v{i % 5} ") for i, text in enumerate(sets)]
+    got = dedup.near_duplicates(spark.createDataFrame(list(enumerate(sets)), "doc_id long, text string"), words=4).collect()
+    hashes = [set(dedup.shingle_hashes(text, 4).tolist()) for text in sets]
+    linked = lambda a, b: 100 * len(hashes[a] & hashes[b]) >= 80 * len(hashes[a] | hashes[b])
+    reach = list(range(30))
+    for _ in reach:
+        reach = [min(reach[b] for b in range(30) if linked(a, b)) for a in range(30)]
+    assert most == [dedup.BLOCK_PAIRS] and {r.doc_id: r.component_id for r in got} == dict(enumerate(reach))
+
+
 def test_estimates_are_near_the_similarity():
     rng = np.random.default_rng(0)
     order = dedup._borrowing_order()
