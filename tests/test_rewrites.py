@@ -107,6 +107,42 @@ def test_blocks_of_one_hot_cell_are_even(ledger_of, monkeypatch):
     assert recon.recon_match(*sides).count() == 300 * 600
 
 
+@pytest.fixture
+def hot_sides(ledger_of):
+    """150 payouts and 450 deposits of one day and cell, with amounts that come by turns."""
+    rows = [
+        row(i, posted_date=str(START.date()), source="plaid" if i % 4 else "stripe", type="charge" if i % 4 else "payout",
+            net_amount=(210000 + i * 7919 % 23 * 100) * (1 if i % 4 else -1))
+        for i in range(600)
+    ]
+    ledger = ledger_of(rows)
+    return recon.payout_candidates(ledger, "2024-01-05"), recon.deposit_candidates(ledger, "2024-01-05")
+
+
+def test_pairs_of_a_payout_come_by_amount(hot_sides, tmp_path):
+    """A payout's pairs lie together and equal amounts follow each other, so written pairs take few bytes."""
+    found = recon.recon_match(*hot_sides)
+    rows = found.collect()
+    assert len(rows) == 150 * 450
+    turns = sum(a.payout_txn_id != b.payout_txn_id for a, b in zip(rows, rows[1:]))
+    steps = sum((a.payout_txn_id, a.bank_amount) != (b.payout_txn_id, b.bank_amount) for a, b in zip(rows, rows[1:]))
+    amounts = len({r.bank_amount for r in rows})
+    assert turns == 150 - 1 and steps == 150 * amounts - 1
+
+
+def test_tasks_of_the_match_follow_the_pairs(books, monkeypatch):
+    """The number of tasks comes from the candidate pairs, not from the bytes read; all pairs are found with any number."""
+    pay, dep = recon.payout_candidates(books, "2024-01-05"), recon.deposit_candidates(books, "2024-01-05")
+    _, _, pairs = naive_pairs(books)
+    few = recon.recon_match(pay, dep)
+    assert few.sparkSession.sparkContext.defaultParallelism == few.rdd.getNumPartitions()
+    monkeypatch.setattr(recon, "PAIRS_PER_TASK", 500)
+    many = recon.recon_match(pay, dep)
+    assert len(pairs) / 500 < many.rdd.getNumPartitions() < 4 * len(pairs) / 500
+    assert few.count() == many.count() == len(pairs) and few.exceptAll(many).isEmpty()
+    assert recon.recon_match(pay, dep, dealt=False).exceptAll(many).isEmpty()
+
+
 @pytest.mark.parametrize("n", [1, 7, 20, 5000])
 def test_largest_discrepancies_open_few_pairs(books, n):
     """Ties by the hundred at one date and amount: the same first rows as through all pairs."""
