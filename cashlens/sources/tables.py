@@ -74,9 +74,9 @@ def build_ledger(spark, sf_dir, multi_currency=False, arranged=False):
         .withColumn(
             "fee_amount",
             F.expr(
-                """CASE WHEN type = 'charge' AND status = 'succeeded'
+                """coalesce(CASE WHEN type = 'charge' AND status = 'succeeded'
                 THEN least((amount * 29 + 30000) div 1000, amount)
-                WHEN type = 'fee' THEN amount ELSE 0L END"""
+                WHEN type = 'fee' THEN amount ELSE 0L END, 0L)"""
             ),
         )
         .withColumn(
@@ -97,6 +97,9 @@ def build_ledger(spark, sf_dir, multi_currency=False, arranged=False):
             "product_line",
             _pick(fv.PRODUCT_LINES, F.array_position(F.array(*[F.lit(p) for p in ORDER_PRIORITIES]), F.col("o_orderpriority")) - 1),
         )
+        # what the wide columns use more than once: a column here, the wide projections stay one
+        .withColumn("description", _pick(DESCRIPTIONS, F.expr("(h div 37) % 4")))
+        .withColumn("fx_rate", _pick(FX_RATES, F.expr("h % 6")) if multi_currency else F.lit(1.0))
     )
     declined = (F.col("status") == "failed") & F.col("type").isin(fv.REVENUE_TYPES)
     disputed = F.col("status") == "disputed"
@@ -116,7 +119,7 @@ def build_ledger(spark, sf_dir, multi_currency=False, arranged=False):
         ).alias("source"),
         "amount",
         (_pick(fv.CURRENCIES, F.expr("h % 6")) if multi_currency else F.lit("USD")).alias("currency"),
-        (_pick(FX_RATES, F.expr("h % 6")) if multi_currency else F.lit(1.0)).alias("fx_rate"),
+        "fx_rate",
         "net_amount",
         "fee_amount",
         F.concat(F.lit("cus_"), F.col("o_custkey")).alias("customer_id"),
@@ -135,7 +138,7 @@ def build_ledger(spark, sf_dir, multi_currency=False, arranged=False):
         ).alias("risk_level"),
         F.when(disputed, F.expr("concat_ws('-', 'dp_txn', l_orderkey, l_linenumber, l_partkey, l_suppkey)")).alias("dispute_id"),
         F.when(disputed, _pick(fv.DISPUTE_STATUSES, F.expr("(h div 23) % 4"))).alias("dispute_status"),
-        _pick(DESCRIPTIONS, F.expr("(h div 37) % 4")).alias("description"),
+        "description",
         F.when(
             F.expr("h % 10 <> 0"),
             F.concat(

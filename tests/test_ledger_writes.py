@@ -46,6 +46,15 @@ def test_the_ledger_is_shuffled_and_sorted_while_narrow(spark, tmp_path, written
     assert rows.select(plain.columns).exceptAll(plain).isEmpty() and plain.exceptAll(rows.select(plain.columns)).isEmpty()
 
 
+@pytest.mark.parametrize("multi_currency", [False, True])
+def test_the_wide_columns_are_derived_in_one_projection(spark, tmp_path, written_plan, multi_currency):
+    wide = len(build_ledger(spark, SF, multi_currency).columns)
+    rows = workspace(spark, SF)._write_ledger(f"once-{multi_currency}-{tmp_path.name}", multi_currency)
+    inputs = re.findall(r"\) Project[^\n]*\nOutput \[\d+\][^\n]*\nInput \[(\d+)\]", written_plan())
+    assert inputs and max(int(n) for n in inputs) < 0.75 * wide, inputs
+    assert rows.filter("fee_amount IS NULL OR fx_rate IS NULL OR description IS NULL").isEmpty()
+
+
 def test_the_query_of_the_sink_writes_narrow_rows(spark, written_plan):
     workspace(spark, SF)._tables.pop("fx_ledger", None)
     entry.queries()["write_ledger"](spark, SF)
