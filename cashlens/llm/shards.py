@@ -67,7 +67,12 @@ def in_blocks(queries: DataFrame, shards: Column, per_block: int = QUERIES_PER_B
 
 
 def searched(index: DataFrame, blocks: DataFrame, search, score: str) -> DataFrame:
-    """query_id, vec_ids, scores: `search(index, ids, vectors, floors)` of each shard and block, best first."""
+    """query_id, vec_ids, scores: `search(index, ids, vectors, floors)` of each shard and block, best first.
+
+    Both sides are shuffled whatever size Spark takes them for: it counts neither the copies of a block, one for each
+    shard, nor what an index takes unpacked, and would send them all through the driver to broadcast them. A shard's
+    one index is the side the merge keeps, so the blocks it meets are not held.
+    """
 
     def run(batches):
         last, opened = None, None
@@ -77,7 +82,7 @@ def searched(index: DataFrame, blocks: DataFrame, search, score: str) -> DataFra
                     last, opened = (dim, shard), pickle.loads(blob)
                 yield pd.DataFrame(search(opened, *pickle.loads(block)), columns=["query_id", "vec_ids", "scores"])
 
-    return index.join(blocks, ["dim", "shard"]).select("dim", "shard", "index", "block").mapInPandas(
+    return blocks.join(index.hint("merge"), ["dim", "shard"]).select("dim", "shard", "index", "block").mapInPandas(
         run, f"query_id long, vec_ids array<long>, scores array<{score}>"
     )
 

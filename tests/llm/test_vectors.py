@@ -103,3 +103,18 @@ def test_graph_search_gives_more_neighbours_than_its_beam():
     for query, ids, _ in ann.search(index, np.arange(5), rows[:5], None, 200):
         want = [i for i in np.argsort(-(rows @ rows[query])).tolist() if i != query][:200]
         assert len(ids) == 200 and len(set(ids) & set(want)) > 190
+
+
+def test_blocks_and_indexes_are_never_broadcast(spark, tmp_path):
+    """Small by Spark's estimate, but a block is copied for each shard: nothing of the search goes through the driver."""
+    rows, n = shards.sharded(shards.taking_part(frame(spark, [(i, v.tolist()) for i, v in enumerate(vectors(600))]), zeros=True), 100)
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    shards.indexed(rows, balltree.build).write.parquet(str(tmp_path / "trees"))
+    index = spark.read.parquet(str(tmp_path / "trees"))
+    queries = rows.where("vec_id % 50 = 0").withColumn("floor", F.lit(balltree.NONE))
+    for asked, where in ((queries, None), (queries.drop("shard"), F.sequence(F.lit(0), F.lit(n - 1)))):
+        found = shards.searched(index, shards.in_blocks(asked, where), lambda *a: balltree.search(*a, 5), "long")
+        assert len(found.collect()) == (12 if where is None else 12 * n)
+        plan = found._jdf.queryExecution().executedPlan().toString()  # as it ran, in adaptive execution too
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
