@@ -130,6 +130,41 @@ def test_pairs_of_a_payout_come_by_amount(hot_sides, tmp_path):
     assert turns == 150 - 1 and steps == 150 * amounts - 1
 
 
+def test_written_pairs_of_a_large_block_take_few_bytes(ledger_of, tmp_path):
+    """Far more deposits in a block than in a tile: their ids recur within a Parquet page, so a pair stays below half a byte."""
+    rows = [
+        row(i, posted_date=str(START.date()), source="plaid" if i % 4 else "stripe", type="charge" if i % 4 else "payout",
+            net_amount=(210000 + i * 7919 % 23 * 100) * (1 if i % 4 else -1))
+        for i in range(2404)
+    ]
+    ledger = ledger_of(rows)
+    sides = recon.payout_candidates(ledger, "2024-01-05"), recon.deposit_candidates(ledger, "2024-01-05")
+    found, path = recon.recon_match(*sides), tmp_path / "pairs"
+    assert 1803 > 3 * recon.TILE
+    found.write.parquet(str(path))
+    assert ledger.sparkSession.read.parquet(str(path)).count() == 601 * 1803
+    assert sum(f.stat().st_size for f in path.glob("*.parquet")) < 601 * 1803 / 2
+    # one slice of payouts at a time meets a tile: as generated code, all pairs of a block would be kept until they are formed
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    slices = [line for line in plan if "Generate explode(transform(" in line]
+    assert slices and not any("*(" in line for line in slices)
+
+
+@pytest.mark.parametrize(("tile", "at_once"), [(1, 1), (3, 2), (7, 500)])
+def test_tiles_of_any_size_find_the_same_pairs(books, monkeypatch, tile, at_once):
+    """Rows that come twice and ids that are missing count as often as they stand there."""
+    twice = books.unionByName(books.filter("transaction_id < 't00040'")).withColumn(
+        "transaction_id", F.expr("IF(transaction_id BETWEEN 't00020' AND 't00060', NULL, transaction_id)")
+    )
+    _, _, pairs = naive_pairs(twice)
+    monkeypatch.setattr(recon, "TILE", tile)
+    monkeypatch.setattr(recon, "PAYOUTS_AT_ONCE", at_once)
+    pay, dep = recon.payout_candidates(twice, "2024-01-05"), recon.deposit_candidates(twice, "2024-01-05")
+    got = recon.recon_match(pay, dep).collect()
+    key = lambda p, d: (p or "", d or "")
+    assert sorted(key(r.payout_txn_id, r.bank_txn_id) for r in got) == sorted(key(p.transaction_id, d.transaction_id) for p, d in pairs)
+
+
 def test_tasks_of_the_match_follow_the_pairs(books, monkeypatch):
     """The number of tasks comes from the candidate pairs, not from the bytes read; all pairs are found with any number."""
     pay, dep = recon.payout_candidates(books, "2024-01-05"), recon.deposit_candidates(books, "2024-01-05")
