@@ -130,26 +130,43 @@ def test_pairs_of_a_payout_come_by_amount(hot_sides, tmp_path):
     assert turns == 150 - 1 and steps == 150 * amounts - 1
 
 
-def test_written_pairs_of_a_large_block_take_few_bytes(ledger_of, tmp_path):
-    """Far more deposits in a block than in a tile: their ids recur within a Parquet page, so a pair stays below half a byte."""
+@pytest.fixture
+def dense_sides(ledger_of):
+    """601 payouts and 1803 deposits of one day and cell, far more than a tile, with 23 amounts that come by turns."""
     rows = [
         row(i, posted_date=str(START.date()), source="plaid" if i % 4 else "stripe", type="charge" if i % 4 else "payout",
             net_amount=(210000 + i * 7919 % 23 * 100) * (1 if i % 4 else -1))
         for i in range(2404)
     ]
-    ledger = ledger_of(rows)
-    sides = recon.payout_candidates(ledger, "2024-01-05"), recon.deposit_candidates(ledger, "2024-01-05")
-    found, path = recon.recon_match(*sides), tmp_path / "pairs"
     assert 1803 > 3 * recon.TILE
-    found.write.parquet(str(path))
-    assert ledger.sparkSession.read.parquet(str(path)).count() == 601 * 1803
-    assert sum(f.stat().st_size for f in path.glob("*.parquet")) < 601 * 1803 / 2
+    ledger = ledger_of(rows)
+    return recon.payout_candidates(ledger, "2024-01-05"), recon.deposit_candidates(ledger, "2024-01-05")
+
+
+def bytes_written(df, path):
+    df.write.parquet(str(path))
+    return sum(f.stat().st_size for f in path.glob("*.parquet"))
+
+
+def test_written_pairs_of_a_large_block_take_few_bytes(dense_sides, tmp_path):
+    """Ids of deposits recur within a Parquet page, so a pair stays below half a byte."""
+    found = recon.recon_match(*dense_sides)
+    assert found.count() == 601 * 1803
+    assert bytes_written(found, tmp_path / "pairs") < 601 * 1803 / 2
     # one slice of payouts at a time meets a tile: as generated code, all pairs of a block would be kept until they are formed
     plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
     slices = [line for line in plan if "Generate explode(transform(" in line]
     assert slices and not any("*(" in line for line in slices)
 
 
+def test_written_discrepancies_of_a_large_block_take_few_bytes(dense_sides, tmp_path):
+    """The whole list holds the pairs a dollar or more apart: nearly all, and as small as the pairs."""
+    apart = recon.recon_discrepancies(*dense_sides, ordered=False)
+    equal = sum((i * 7919 - j * 7919) % 23 == 0 for i in range(0, 2404, 4) for j in range(2404) if j % 4)
+    assert apart.count() == 601 * 1803 - equal
+    assert bytes_written(apart, tmp_path / "apart") < 601 * 1803 / 2
+
+
 @pytest.mark.parametrize(("tile", "at_once"), [(1, 1), (3, 2), (7, 500)])
 def test_tiles_of_any_size_find_the_same_pairs(books, monkeypatch, tile, at_once):
     """Rows that come twice and ids that are missing count as often as they stand there."""
